@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import line_dedup, warc
+from platewise.llm import bpe_chunks, cotraining, line_dedup, mixing, quality_rules, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,59 @@ select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
 from j group by doc_id
 """
+
+
+@_register
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_rules.judge(docs, table(spark, sf_dir, "labels"), sample=4000)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@_register
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = cotraining.classify_quality(docs, table(spark, sf_dir, "labels"), labelled=3000, unlabelled=2000)
+    return out.select("doc_id", F.col("ct_text_score").alias("text_score"), F.col("ct_meta_score").alias("meta_score"), F.col("ct_score").alias("score"), F.col("ct_kept").alias("kept"))
+
+
+@_register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mix = mixing.mix_to_targets(docs, weights=(3, 1, 2), most=2, seed=42)
+    return mix.select(
+        F.col("mx_id").alias("doc_id"),
+        F.col("mx_size").alias("size"),
+        F.col("mx_source_size").alias("source_size"),
+        F.col("mx_target").alias("target"),
+        (F.col("mx_size") * F.col("mx_copies")).alias("taken"),
+    )
+
+
+@_register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), sample=4000, only=~held_out)
+    return out.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("tx_score").alias("score"),
+        (F.col("tx_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("tx_threshold").alias("lang_threshold"),
+        F.col("tx_flagged").alias("lang_flagged"),
+    )
+
+
+def word_bpe_path() -> str:
+    """The public vocabulary file that the queries use; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_register
+def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe_chunks.encode_documents(docs, word_bpe_path())
+    return out.select("doc_id", F.col("bp_n_tokens").alias("n_tokens"), F.col("bp_ids_sha256").alias("ids_sha256"), F.col("bp_decoded_sha256").alias("decoded_sha256"))
