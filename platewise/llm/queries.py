@@ -99,7 +99,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), sample=4000, only=~held_out)
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), sample=12000, only=~held_out)
     return out.select(
         "doc_id",
         held_out.alias("held_out"),

@@ -32,6 +32,8 @@ from platewise.llm.sampling import labelled_sample
 from platewise.llm.text_arrays import LOWER, blocks, row_starts, word_hashes
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
+#: Rows that a bucket is taken to have seen at the overall rate.
+SMOOTH = 3
 _LETTERS = LOWER.copy()
 _LETTERS[[b for b in range(33, 128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)]] = 32
 
@@ -44,7 +46,7 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class ConvClassifier:
     """Embeddings, filters of several widths, max pooling and a logistic output."""
 
-    def __init__(self, seed: int = 13, epochs: int = 25, batch: int = 256, rate: float = 0.02):
+    def __init__(self, seed: int = 13, epochs: int = 10, batch: int = 256, rate: float = 0.02):
         self.seed, self.epochs, self.batch, self.rate = seed, epochs, batch, rate
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -89,9 +91,8 @@ class ConvClassifier:
         found = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
         for ids, label in zip(docs, y, strict=True):
             found[int(label)][np.unique(ids)] += 1
-        rate = [(f + 0.5) / (max(1, (y == k).sum()) + 1) for k, f in enumerate(found)]
-        self.embed[:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 6) / 2
-        self.embed[found[0] + found[1] == 0, 0] = 0
+        share = (y == 1).mean()
+        self.embed[:, 0] = np.log((found[1] + SMOOTH) / ((found[0] + found[1]) * share + SMOOTH))
         for f in self.filters:
             f[:, 0, :] = np.abs(f[:, 0, :]) + 0.3
         self.out = np.abs(self.out)
@@ -167,7 +168,7 @@ def _id_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), held], ["doc_id", "lang", "label", "ids"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, only: Column | None = None) -> Calibrated:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only: Column | None = None) -> Calibrated:
     """Train on at most ``sample`` labelled rows; a fifth of them calibrates."""
     drawn = labelled_sample(docs, labels, "toxic", sample, only=only)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,7 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, only: C
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, only: Column | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only: Column | None = None) -> DataFrame:
     """All columns of ``docs`` but the text, then tx_score, tx_threshold (of the language) and tx_flagged."""
     held = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample, only))
     rest = [c for c in docs.columns if c != "text"]
