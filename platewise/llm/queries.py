@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_chunks, cotraining, line_dedup, mixing, quality_rules, toxicity, warc
+from platewise.llm import bpe_chunks, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,14 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe_chunks.encode_documents(docs, word_bpe_path())
     return out.select("doc_id", F.col("bp_n_tokens").alias("n_tokens"), F.col("bp_ids_sha256").alias("ids_sha256"), F.col("bp_decoded_sha256").alias("decoded_sha256"))
+
+
+@_register
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, least=0.8)
+
+
+@_register
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
