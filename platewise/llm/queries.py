@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_chunks, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, toxicity, warc
+from platewise.llm import bpe_chunks, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
