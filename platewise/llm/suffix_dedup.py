@@ -171,6 +171,27 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray, positions: list[tup
     return keep
 
 
+def doubtful(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, the first and the last window that may stand in another context too (last < first: none).
+
+    By a hash of each window: unique hashes are unique windows, so only doubtful stretches are merged.
+    """
+    data, offsets = byte_columns(pa.array(texts, pa.binary()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = offsets[:-1][owner] + window
+    keys = span_hash(prefix_hash(data), start, start + LENGTH)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    low, high = np.full(len(texts), 1 << 30), np.full(len(texts), -1)
+    np.minimum.at(low, owner[twice], window[twice])
+    np.maximum.at(high, owner[twice], window[twice])
+    return low, high
+
+
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in blocks(batch.column(0)):
@@ -220,7 +241,13 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[0], r[2], r[3], r[4]): r for r in rows}.values())
-        keep = repeated_windows([r[6] for r in rows], np.array([r[5] for r in rows]), [(r[3], r[4]) for r in rows])
+        keep: list[list[int]] = [list(range(r[5])) for r in rows]
+        low, high = doubtful([r[6] for r in rows], np.array([r[5] for r in rows]))
+        open_ = np.flatnonzero(high >= low)
+        parts = [(rows[i], int(low[i]), int(high[i])) for i in open_]
+        found = repeated_windows([r[6][a : b + LENGTH] for r, a, b in parts], high[open_] - low[open_] + 1, [(r[3], r[4] + a) for r, a, _ in parts]) if len(open_) else []
+        for i, own, (r, a, b) in zip(open_, found, parts, strict=True):
+            keep[i] = [*range(a), *(a + w for w in own), *range(b + 1, r[5])]
         out: list[list] = [[] for _ in names]
         for r, k in zip(rows, keep, strict=True):
             salted = r[1] >= 0
