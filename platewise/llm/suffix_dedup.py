@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.line_dedup import _slots, filter_words, twice_seen_filter
-from platewise.llm.text_arrays import blocks, byte_columns, prefix_hash, span_hash
+from platewise.llm.text_arrays import blocks, byte_columns, mix, powers, prefix_hash, span_hash
 from platewise.session import materialize
 
 LENGTH, GRAM = 100, 32
@@ -54,27 +54,32 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if n < LENGTH:
         return none
     prefix = prefix_hash(data)
-    at = np.arange(n - GRAM + 1)
-    grams = span_hash(prefix, at, at + GRAM)
-    least = (grams & ~_PLACE) | at.astype(np.uint64)
+    m = n - GRAM + 1
+    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(m)[1] + np.uint64(GRAM))
+    least = grams & ~_PLACE
+    least |= np.arange(m, dtype=np.uint64)
     span = 1
     while 2 * span <= WINDOW:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[: len(least) - (WINDOW - span)], least[WINDOW - span :])
-    sizes = np.diff(offsets)
-    whole = np.maximum(sizes - LENGTH + 1, 0)
-    rows = np.repeat(np.arange(len(sizes)), whole)
-    if not len(rows):
-        return none
-    starts = offsets[:-1][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(whole) - whole, whole)
-    anchor = (least[starts] & _PLACE).astype(np.int64)
-    new = np.ones(len(rows), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])
+    anchor = least & _PLACE
+    # windows stand inside a row: from its start to 100 bytes before its end
+    begin, stop = offsets[:-1], np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])
+    long_rows = stop > begin
+    edge = np.zeros(len(anchor) + 1, np.int8)
+    edge[begin[long_rows]] += 1
+    edge[stop[long_rows]] -= 1
+    new = np.ones(len(anchor), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    new[begin[long_rows]] = True
+    new &= np.cumsum(edge[:-1], dtype=np.int8) > 0
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(rows)))
-    begin = starts[first]
-    return rows[first], begin - offsets[rows[first]], count, grams[anchor[first]], span_hash(prefix, begin, begin + count - 1 + LENGTH)
+    if not len(first):
+        return none
+    row = np.searchsorted(offsets, first, "right") - 1
+    count = np.minimum(np.append(first[1:], n), stop[row]) - first
+    return row, first - offsets[row], count, grams[anchor[first].astype(np.int64)], span_hash(prefix, first, first + count - 1 + LENGTH)
 
 
 def suffix_array(symbols: np.ndarray, string: np.ndarray) -> np.ndarray:
