@@ -174,5 +174,5 @@ def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     limits = spark.createDataFrame(rows, "mx_pattern string, mx_class int, mx_full int, mx_want long, mx_source_size long, mx_target double")
     taken = (F.col("mx_size") > 0) & (2 * F.col("mx_before") + F.col("mx_size") <= 2 * F.col("mx_want"))
     return placed.join(F.broadcast(limits), ["mx_pattern", "mx_class"]).select(
-        "mx_id", "mx_size", "mx_pattern", "mx_source_size", "mx_target", (F.col("mx_full") + taken.cast("int")).cast("int").alias("mx_copies")
+        "mx_id", "mx_size", "mx_pattern", "mx_source_size", "mx_target", F.when(F.col("mx_size") > 0, F.col("mx_full") + taken.cast("int")).otherwise(0).cast("int").alias("mx_copies")
     )

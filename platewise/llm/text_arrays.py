@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the rolling-hash base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) < max(n, 1):
         size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             grown = np.full(size, base, np.uint64)
