@@ -44,6 +44,8 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Contexts of one gram that one block compares; more are salted over blocks.
 BLOCK_CONTEXTS = 2048
+#: Bytes of contexts that one merge takes together; small enough for the processor's cache.
+BLOCK_BYTES = 60_000
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -114,28 +116,27 @@ def merge_transforms(one: np.ndarray, two: np.ndarray, depth: int) -> tuple[np.n
     n = len(one) + len(two)
     second = np.arange(n) >= len(one)
     block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int16)
-    common[0] = 0
-    order = symbols = None
-    for t in range(1, depth + 1):
+    common = np.zeros(n, np.uint8 if depth < 256 else np.int32)
+    # the sorted symbols, and so where they change, are the same in every round
+    symbols = np.sort(np.concatenate([one, two]), kind="stable")
+    change = np.ones(n, bool)
+    change[1:] = (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)
+    line, part = np.empty(n, one.dtype), np.ones(n, bool)
+    order = None
+    for _ in range(depth):
         if order is None:
-            line = np.empty(n, one.dtype)
             line[~second], line[second] = one, two
             order = np.argsort(line, kind="stable")
-            symbols = line[order]
             moved = second[order]
             same = np.array_equal(moved, second)
             second = moved
-            change = np.ones(n, bool)
-            change[1:] = (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)
         source = block[order]
-        part = change.copy()
-        part[1:] |= source[1:] != source[:-1]
-        common[part & (common == depth)] = t - 1
-        block = np.cumsum(part, dtype=np.int32)
+        np.not_equal(source[1:], source[:-1], out=part[1:])
+        part |= change
+        common += ~part  # rounds in which two neighbours stay together
+        np.cumsum(part, dtype=np.int32, out=block)
         if not same:
             order = None
-    common[0] = 0
     return second, common
 
 
@@ -239,7 +240,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (h, salt): whole groups are compared in blocks of about 200,000 symbols."""
+    """Rows come sorted by (h, salt): whole groups are compared in blocks of about BLOCK_BYTES."""
     held: list[tuple] = []
     names = ["h", "c", "d", "s", "salted", "keep", "digests"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -250,12 +251,24 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         low, high = doubtful([r[6] for r in rows], np.array([r[5] for r in rows]))
         open_ = np.flatnonzero(high >= low)
         parts = [(rows[i], int(low[i]), int(high[i])) for i in open_]
-        found = repeated_windows([r[6][a : b + LENGTH] for r, a, b in parts], high[open_] - low[open_] + 1, [(r[3], r[4] + a) for r, a, _ in parts]) if len(open_) else []
+        # of equal stretches only the first can hold first strings
+        leaders: dict[bytes, tuple[tuple[int, int], int]] = {}
+        for j, (r, a, b) in enumerate(parts):
+            stretch, place = r[6][a : b + LENGTH], ((r[3], r[4] + a), j)
+            leaders[stretch] = min(place, leaders.get(stretch, place))
+        found: list[list[int]] = [[] for _ in parts]
+        if leaders:
+            lead = [j for _, j in leaders.values()]
+            sizes = np.array([parts[j][2] - parts[j][1] + 1 for j in lead])
+            for j, own in zip(lead, repeated_windows(list(leaders), sizes, [p for p, _ in leaders.values()]), strict=True):
+                found[j] = own
         for i, own, (r, a, b) in zip(open_, found, parts, strict=True):
             keep[i] = [*range(a), *(a + w for w in own), *range(b + 1, r[5])]
         out: list[list] = [[] for _ in names]
         for r, k in zip(rows, keep, strict=True):
             salted = r[1] >= 0
+            if not salted and len(k) == r[5]:
+                continue  # nothing of it goes, which is what a missing row says
             digests = [hashlib.blake2b(r[6][w : w + LENGTH], digest_size=16).digest() for w in k] if salted else []
             for column, value in zip(out, (r[0], r[2], r[3], r[4], salted, k, digests), strict=True):
                 column.append(value)
@@ -264,7 +277,7 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size, group = 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group is not None and row[:2] != group and size >= 200_000:
+            if group is not None and row[:2] != group and size >= BLOCK_BYTES:
                 yield finish(held)
                 held, size = [], 0
             group = row[:2]
