@@ -154,7 +154,7 @@ select id, case when length(dish_name) < 3 then 'short' when dish_name = section
   when price is null and coalesce(description, '') = '' then 'unsupported' when {d.size(d.split('dish_name', ' '))} > 8 then 'long' else 'keep' end as verdict from items""")
 sql_query("similarity_validity", lambda d: f"""
 select id, length(dish_name) >= 3 and length({d.rr('dish_name', '[^A-Za-z]', '')}) >= 3 and lower(dish_name) <> lower(coalesce(section, '')) and not (length(dish_name) > 60 and description is null) as valid from items""")
-sql_query("group_by_section", lambda d: f"select coalesce(nullif(section, ''), 'Unsorted') as section, min(id) as first_seen, count(*) as n, {d.gather('cast(id as varchar(20))', 'id', ',')} as ids from items where id < 5000 group by coalesce(nullif(section, ''), 'Unsorted')")
+sql_query("group_by_section", lambda d: f"select coalesce(nullif(section, ''), 'Unsorted') as section, min(id) as first_seen, count(*) as n, {d.gather('cast(id as varchar(20))', 'id', ',')} as ids from items group by coalesce(nullif(section, ''), 'Unsorted')")
 sql_query("rule_documents", lambda d: f"""
 select concat('ingredient:', ingredient) as doc_key, concat(ingredient, ' is found by ', {d.gather('word', 'word', ', ')}) as content from (values {', '.join(f"('{k}', '{w}')" for k, ws in L.INGREDIENT_KEYWORDS.items() for w in ws)}) as k(ingredient, word) group by ingredient""")
 sql_query("load_json_resource", lambda d: f"select ingredient, kcal, serving, round(kcal * serving / 100, 3) as portion from (values {', '.join(f"('{k}', {c}e0, {g}e0)" for k, (c, g) in L.NUTRITION.items())}) as n(ingredient, kcal, serving)")
