@@ -12,7 +12,7 @@ from platewise.operators.ranking import running_total
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["wave_plan", "percentile_rank_blend", "mixed_sort_nulls"])
+@pytest.mark.parametrize("name", ["wave_plan", "percentile_rank_blend", "mixed_sort_nulls", "round_robin_select"])
 def test_ranks_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "orders", "customer"):
