@@ -14,8 +14,9 @@ shingles (weight 1); the sketch takes any weights.
    possible are verified by the exact Jaccard similarity.
 4. Verified links become classes by large-star and small-star rounds.
 5. Buckets that still hold several classes elect again, by another seed each turn, and compare across
-   classes only; this ends when two turns in a row find no link. A pair at the threshold shares
-   seven buckets on average, so it has many elections to be found in.
+   classes only, as long as links are found and all pairs across classes would be many more.
+6. Then every pair that still shares a bucket across classes is compared, so no pair of a bucket is
+   left out: elections only save comparisons. Hot buckets are dealt out by salted blocks.
 
 Hot buckets, pivots and copies are met by aggregates that combine before the shuffle and by joins
 that Spark can split.
@@ -39,8 +40,8 @@ from platewise.llm.text_arrays import blocks, byte_columns, mix, slices, word_ha
 from platewise.session import materialize
 
 BANDS, ROWS, SHINGLE = 28, 6, 5
-#: Bands of the first turn, which joins most copies, and turns without a new link that end the search.
-FIRST_BANDS, QUIET = 8, 2
+#: Bands of the first turn, which joins most copies; pairs a bucket row that are compared without more elections; documents a block of a large bucket.
+FIRST_BANDS, PLENTY, BLOCK = 8, 16, 256
 _FLOOR = -6
 _C1, _C2, _C3 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9)
 _UNIT = 1.0 / (1 << 53)
@@ -214,6 +215,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("class")).select(F.col("b").alias("node"), "class").union(edges.select(F.col("a").alias("node"), F.col("a").alias("class")).distinct())
 
 
+def rest(named: DataFrame) -> tuple[DataFrame, int, int]:
+    """The (key, doc, class) rows of buckets of several classes without their smallest document, which turns 0 and 1 compared with all; their number, and that of their pairs across classes."""
+    sizes = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("low").alias("low")).where("n > 2 and own < n * n")
+    rows = named.join(buckets.select(F.col("key").alias("b_key"), "low", F.col("n").alias("size")), (F.col("key") == F.col("b_key")) & (F.col("doc") > F.col("low"))).select("key", "doc", "class", "size")
+    number, pairs = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - own) div 2")), F.lit(0))).first()
+    return rows, number, pairs
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents that share a bucket but no class; a bucket of n is dealt out over n / BLOCK keys."""
+    blocks = F.expr(f"cast(ceil(size / {BLOCK}) as int)")
+    one = rows.select(F.col("key").alias("o_key"), F.expr(f"pmod(xxhash64(doc), cast(ceil(size / {BLOCK}) as int))").cast("int").alias("o_block"), F.col("doc").alias("a"), F.col("class").alias("o_class"))
+    two = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc").alias("b"), "class")
+    return one.join(two, (F.col("o_key") == F.col("key")) & (F.col("o_block") == F.col("block")) & (F.col("a") < F.col("b")) & (F.col("o_class") != F.col("class"))).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """(doc_id, class_id) of each row: documents of one class are copies or are linked by similar texts."""
     spark = docs.sparkSession
@@ -228,26 +246,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spots = materialize(spots.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "buckets")
 
     links = classes = None
-    turn = quiet = 0
-    while quiet < QUIET:
+    turn, last = 0, False
+    while not last:
         rows = spots.where(F.col("band") < FIRST_BANDS) if turn == 0 else spots
         if classes is None:
             named = rows.select("key", "doc", F.col("doc").alias("class"))
         else:
             named = rows.join(classes, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("class", "doc").alias("class"))
-        # the first two turns elect each bucket's smallest document, later ones a seeded one
-        rank = F.col("doc") if turn < 2 else F.xxhash64(F.lit(turn), "key", "doc")
-        elected = named.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc", "class")).alias("e"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-        elected = elected.select(F.col("key").alias("e_key"), F.col("e.doc").alias("pivot"), F.col("e.class").alias("e_class"))
-        rivals = named.join(elected, F.col("key") == F.col("e_key")).where("class <> e_class")
-        pairs = rivals.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        near = materialize(likely(pairs, sketch, least), "likely")
+        if turn > 1:
+            left, number, number_of_pairs = rest(named)
+            last = not found or number_of_pairs <= PLENTY * number
+        if last:
+            pairs = cross_pairs(left)
+        else:
+            # the first two turns elect each bucket's smallest document, later ones a seeded one
+            rank = F.col("doc") if turn < 2 else F.xxhash64(F.lit(turn), "key", "doc")
+            elected = named.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc", "class")).alias("e"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+            elected = elected.select(F.col("key").alias("e_key"), F.col("e.doc").alias("pivot"), F.col("e.class").alias("e_class"))
+            rivals = named.join(elected, F.col("key") == F.col("e_key")).where("class <> e_class")
+            pairs = rivals.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         turn += 1
+        near = materialize(likely(pairs, sketch, least), "likely")
         more = None if near.isEmpty() else materialize(verify(near, plain.select("doc", "text"), least), "links")
-        if more is None or more.isEmpty():
-            quiet += turn > 1
+        found = more is not None and not more.isEmpty()
+        if not found:
             continue
-        quiet = 0
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn, which tables have replaced
         links = more if links is None else materialize(links.union(more), "links")
         classes = components(links)

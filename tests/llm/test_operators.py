@@ -68,6 +68,45 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def template_texts(groups: int, planted: int) -> list[tuple[int, str]]:
+    """Texts on one template with mutual similarity near 0.7, and copies of the last ones at 0.81, all with random ids."""
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(304)]
+
+    def spoil(words, holes, tag):
+        out = list(words)
+        for h, at in enumerate(rng.sample(range(2, 300, 6), holes)):
+            out[at] = f"{tag}x{h}"
+        return out
+
+    texts = [spoil(base, 5, f"d{i}") for i in range(groups)]
+    texts += [t[:-31] + [f"p{i}y{j}" for j in range(31)] for i, t in enumerate(texts[-planted:])]
+    ids = rng.sample(range(1, 10**6), len(texts))
+    return [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+
+
+def test_near_duplicates_of_a_crowded_bucket(spark):
+    rows, planted = template_texts(400, 60), 60
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert planted <= len(links) < 2 * planted
+    for i, j in links:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    keys = near_dedup.bands(near_dedup.dart_minhash(*near_dedup.shingles(*byte_columns(pa.array([t for _, t in rows]))), len(rows), near_dedup.BANDS * near_dedup.ROWS))
+    by_id = {i: set(k.tolist()) for (i, _), k in zip(rows, keys, strict=True)}
+    assert all(by_id[i] & by_id[j] for i, j in links) and max(Counter(k for s in by_id.values() for k in s).values()) > 100
+    got = dict(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+    assert got == {i: find(i) for i in sets}
+
+
 # --- WARC
 def test_warc_round_trip(spark):
     rows = [(1, "u1", "<p>\r\n\r\nWARC/1.1 not a record</p>"), (2, "u2", "same"), (3, "u3", "same"), (4, None, None), (5, "u", ""), (None, "n", "same"), (3, "u3", "same")]
