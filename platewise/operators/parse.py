@@ -178,21 +178,38 @@ def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
     return classify(read_order(lines, version == "v3"), version).groupBy(*KEY).applyInPandas(run, ITEM)
 
 
+def _key(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    """Share of the longer key if one holds the other, else Dice of their words."""
+    one, two = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    dice = 2.0 * F.size(F.array_intersect(one, two)) / (F.size(one) + F.size(two))
+    return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(dice)
+
+
 def cascade(lines: DataFrame, roles: DataFrame) -> DataFrame:
     """Parser v2, then only dishes whose name is near a line that the role model calls a name.
 
-    A page keeps the unfiltered dishes where filtering would lose too much of them.
+    A page keeps the unfiltered dishes where filtering would lose all or too much of them, and where it has no layout.
     """
-    items = parse_pages(lines, "v2")
-    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    names = roles.where("label = 'item_name' and score >= 0.35").groupBy(*KEY, key(F.col("text")).alias("cand")).agg(F.max("score").alias("score"))
-    matched = items.withColumn("k", key(F.col("dish_name"))).join(names, (items.menu_id == names.menu_id) & (items.page_id == names.page_id) & (F.col("k") == F.col("cand")), "left").select(items["*"], F.col("score"))
-    kept = F.coalesce((F.col("score") >= 0.5) | ((F.col("score") >= 0.34) & F.col("price_value").isNotNull()), F.lit(False))
+    items = parse_pages(lines, "v2").withColumn("k", _key(F.col("dish_name")))
+    boxed = F.lit(False)
+    for c in ("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"):
+        boxed = boxed | F.col(c).isNotNull() if c in lines.columns else boxed
+    layout = lines.groupBy(*(F.col(k).alias(f"l_{k}") for k in KEY)).agg(F.max(boxed).alias("layout"))
+    names = roles.where("label = 'item_name' and score >= 0.35").groupBy(*(F.col(k).alias(f"n_{k}") for k in KEY)).agg(F.collect_set(_key(F.col("text"))).alias("cands"))
+    same = lambda side: F.col("menu_id").eqNullSafe(F.col(f"{side}_menu_id")) & F.col("page_id").eqNullSafe(F.col(f"{side}_page_id"))
+    best = F.coalesce(F.array_max(F.transform("cands", lambda c: _similarity(F.col("k"), c))), F.lit(0.0))
+    scored = items.join(names, same("n"), "left").join(layout, same("l"), "left").select(items["*"], "layout", best.alias("score"))
+    has_price, words = F.col("price_value").isNotNull(), F.split("k", " ")
+    noise = (F.col("k") == "") | ((F.size(F.array_distinct(words)) <= 2) & F.arrays_overlap(words, F.array(*map(F.lit, L.NOISE_TOKENS))))
+    kept = ~noise & ((F.col("score") >= 0.5) | ((F.col("score") >= 0.34) & has_price) | ((F.col("score") >= 0.28) & (F.size(words) <= 2) & F.col("section").isNotNull()))
     page = W.partitionBy(*KEY)
-    total, left = F.count(F.lit(1)).over(page), F.sum(kept.cast("int")).over(page)
-    priced = F.sum(F.col("price_value").isNotNull().cast("int")).over(page)
-    left_priced = F.sum((kept & F.col("price_value").isNotNull()).cast("int")).over(page)
-    revert = (total >= 6) & ((left < 0.65 * total) | (left_priced < 0.6 * priced))
-    marked = matched.withColumns({"keep": kept, "revert": revert})
-    raised = F.when(F.col("keep"), F.round(F.greatest("parser_confidence", F.least(F.col("score") + 0.2, F.lit(0.95))), 3)).otherwise(F.col("parser_confidence"))
-    return marked.where("keep or revert").withColumn("parser_confidence", raised).drop("score", "keep", "revert")
+    count = lambda cond: F.sum(cond.cast("int")).over(page)
+    total, left, priced, left_priced = F.count(F.lit(1)).over(page), count(kept), count(has_price), count(kept & has_price)
+    few = (total >= 6) & ((left < F.greatest(F.lit(4.0), F.rint(0.65 * total))) | ((priced >= 6) & (left_priced < F.greatest(F.lit(4.0), F.rint(0.6 * priced)))))
+    marked = scored.withColumns({"keep": kept, "revert": ~F.col("layout") | (left == 0) | few})
+    raised = F.round(F.greatest("parser_confidence", F.least(F.col("score") + 0.2, F.lit(0.95))), 3)
+    return marked.where("keep or revert").withColumn("parser_confidence", F.when(F.col("revert"), F.col("parser_confidence")).otherwise(raised)).drop("k", "layout", "score", "keep", "revert")
