@@ -36,11 +36,11 @@ def request_stats_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cache_ttl_stream(spark: SparkSession, path: str, ttl: int) -> DataFrame:
-    """Keys that are live: stores inside event-time windows of the TTL; late windows are dropped by the watermark."""
-    stream = _read(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{ttl} seconds")
+    """All stored keys by event-time windows of the TTL, as the stream leaves them when all files are read; the newest windows, which can be live, are among them."""
+    stream = _read(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
     key = F.get_json_object("props", "$.k")
     live = stream.groupBy(F.window("ts", f"{ttl} seconds").alias("w"), key.alias("key")).agg(F.count(F.lit(1)).alias("sets"), F.max("ts").alias("stored_at"))
-    return spark.table(_run(spark, live, "append")).select("key", "sets", (F.col("stored_at") + F.expr(f"interval {ttl} seconds")).alias("expires_at"))
+    return spark.table(_run(spark, live, "complete")).select("key", "sets", (F.col("stored_at") + F.expr(f"interval {ttl} seconds")).alias("expires_at"))
 
 
 class StageTimer:
