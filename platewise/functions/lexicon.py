@@ -87,6 +87,7 @@ SECTION_WORDS = [
 ]
 BAD_NAMES = ["page", "total", "rate", "price", "menu", "restaurant", "hotel", "tax", "gst", "service charge", "mrp"]
 NOISE_TOKENS = ["tax", "taxes", "menu", "total", "gst", "service", "charge", "hotel", "restaurant", "mrp"]
+HEADER_NOISE = ["primo", "steak & seafood", "steak and seafood", "menu"]
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 # How a description starts.
 DESCRIPTION_STARTERS = ["with", "served", "fresh", "crispy", "grilled", "roasted", "topped", "mixed"]

@@ -7,6 +7,8 @@ grouped pandas function. Pages are independent, so they spread over all tasks.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ def classify(lines: DataFrame, version: str) -> DataFrame:
     """Add what each line is to the lines, in reading order."""
     t = F.col("line")
     low, words = F.lower(t), F.size(F.split("line", " "))
+    skipped = F.lit(False)
     value = F.regexp_extract(t, L.PRICE if version != "v3" else L.TRAILING_PRICE, 2)
     priced = value != ""
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
@@ -57,11 +60,14 @@ def classify(lines: DataFrame, version: str) -> DataFrame:
         styled = (title >= 0.75) | (upper > 0.6)
         section = ~weekday & ~noise & (word_list | (~priced & low.endswith("menu")) | (~priced & (words <= 4) & centred & (tall | (styled & (words <= 3)))))
         describes = ~priced & ~weekday & ((words >= 7) | t.rlike("[,;]") | starts | (t.rlike("^[a-z]") & (words >= 3)))
+        top = (F.col("bbox_y1") + F.col("bbox_y2")) / 2
+        key = F.trim(F.regexp_replace(low, "[^a-z0-9&+]+", " "))
+        skipped = noise | key.isin(*L.HEADER_NOISE) | F.coalesce((top != 0) & (top < 0.11 * F.col("page_h")) & (words <= 4) & ~priced, F.lit(False))
         following = F.lead(F.col("line").rlike(L.PRICE_ONLY)).over(W.partitionBy(*KEY).orderBy("pos"))
         named = ~noise & ~weekday & (name != "") & (priced | ((words <= 8) & ~((title < 0.45) & (upper < 0.35) & (words >= 3)) & ((words > 1) | F.coalesce(following, F.lit(False)))))
     return lines.select(
         *KEY, "pos", "line", "col", section.alias("is_section"), (priced & (name == "")).alias("is_price"), priced.alias("priced"), describes.alias("is_desc"), named.alias("is_name"),
-        (noise | weekday).alias("is_noise"), name.alias("name"), F.regexp_replace(value, ",", ".").try_cast("double").alias("value"),
+        weekday.alias("is_weekday"), skipped.alias("is_noise"), name.alias("name"), F.regexp_replace(value, ",", ".").try_cast("double").alias("value"),
         F.lower(F.coalesce(F.nullif(F.regexp_extract(t, L.PRICE, 1), F.lit("")), F.nullif(F.regexp_extract(t, L.PRICE, 3), F.lit("")))).alias("currency"),
     )
 
@@ -132,11 +138,13 @@ def _fold_v3(lines) -> list[tuple]:
     page, sections = _Page(0.52, (0.18, 0.12, 0.08)), {}
     for line in lines:
         lane = line.col
+        if line.is_noise:
+            continue
         if line.is_section:
             for each in list(page.open) if lane == "full" else [lane]:
                 page.close(each)
             sections["page" if lane == "full" else lane] = line.name or None
-        elif line.is_noise:
+        elif line.is_weekday:
             page.close(lane)
         elif line.is_price or (lane in page.open and line.is_desc):
             page.extend(lane, line)
@@ -152,6 +160,51 @@ def _fold_v3(lines) -> list[tuple]:
 FOLDS = {"v1": _fold_v1, "v2": _fold_v2, "v3": _fold_v3}
 
 
+_BOX = ["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]
+_PRICED = re.compile(L.TRAILING_PRICE)
+_MERGED = "menu_id string, page_id string, pos int, line string, col string, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, page_w double, page_h double, median_h double"
+
+
+def _span(low: float | None, high: float | None) -> tuple[float, float]:
+    """Length and centre along one axis; both 0 where an end is missing."""
+    return (0.0, 0.0) if low is None or high is None else (max(0.0, high - low), (low + high) / 2)
+
+
+def _continues(prev: dict, cur: dict) -> bool:
+    """Whether a line goes on with the line before it: short or begun by a bridge word, unpriced, in its column, in its row or close below."""
+    if _PRICED.search(cur["line"]) or (cur["col"] != prev["col"] and "full" not in (cur["col"], prev["col"])):
+        return False
+    if len(cur["line"].split(" ")) > 3 and not cur["line"].lower().startswith(("or ", "with ", "and ", "of ")):
+        return False
+    (tall, middle), (height, centre) = (_span(x["bbox_y1"], x["bbox_y2"]) for x in (prev, cur))
+    gap = 0.0 if prev["bbox_y2"] is None or cur["bbox_y1"] is None else cur["bbox_y1"] - prev["bbox_y2"]
+    if abs(centre - middle) > 0.7 * max(tall, height, 10.0) and gap > max(8.0, 0.45 * tall):
+        return False
+    aside = cur["page_w"] > 0 and prev["col"] == "full" and cur["col"] != "full"
+    return not (aside and _span(cur["bbox_x1"], cur["bbox_x2"])[1] < 0.65 * cur["page_w"])
+
+
+def merge_continuations(lines: DataFrame) -> DataFrame:
+    """Lines in reading order; a line that goes on with the one before it, as merged so far, is part of it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = list(rows.columns)
+        merged: list[dict] = []
+        for row in rows.sort_values("pos").itertuples(index=False):
+            cur = {k: None if pd.isna(v) else v for k, v in zip(names, row, strict=True)}
+            if merged and _continues(merged[-1], cur):
+                prev = merged[-1]
+                prev["line"] += " " + cur["line"]
+                for k, pick in zip(_BOX, (min, min, max, max), strict=True):
+                    prev[k] = pick((x for x in (prev[k], cur[k]) if x is not None), default=None)
+            else:
+                merged.append(cur)
+        return pd.DataFrame(merged, columns=names)
+
+    box = [F.col(c).cast("double").alias(c) for c in (*_BOX, "page_w", "page_h", "median_h")]
+    return lines.select(*KEY, "pos", "line", "col", *box).groupBy(*KEY).applyInPandas(run, _MERGED)
+
+
 def read_order(lines: DataFrame, layout: bool) -> DataFrame:
     """Non-empty lines with their place on the page (pos) and, with a layout, their column."""
     rows = lines.withColumn("line", normal(F.col("text"))).where("line <> ''")
@@ -160,7 +213,7 @@ def read_order(lines: DataFrame, layout: bool) -> DataFrame:
     page = W.partitionBy(*KEY)
     width = F.col("bbox_x2") - F.col("bbox_x1")
     height = F.col("bbox_y2") - F.col("bbox_y1")
-    rows = rows.withColumns({"page_w": F.coalesce(F.max("bbox_x2").over(page), F.lit(0.0)), "median_h": F.coalesce(F.median(F.when(height > 0, height)).over(page), F.lit(24.0))})
+    rows = rows.withColumns({"page_w": F.coalesce(F.max("bbox_x2").over(page), F.lit(0.0)), "page_h": F.coalesce(F.max("bbox_y2").over(page), F.lit(0.0)), "median_h": F.coalesce(F.median(F.when(height > 0, height)).over(page), F.lit(24.0))})
     broad = (width >= 0.58 * F.col("page_w")) | ((F.col("bbox_x1") <= 0.22 * F.col("page_w")) & (F.col("bbox_x2") >= 0.78 * F.col("page_w")))
     col = F.when((F.col("page_w") <= 0) | width.isNull() | (width <= 0) | broad, "full").when((F.col("bbox_x1") + F.col("bbox_x2")) / 2 < F.col("page_w") / 2, "left").otherwise("right")
     order = page.orderBy(F.coalesce("bbox_y1", F.col("line_order") * 100.0), F.coalesce("bbox_x1", F.lit(0.0)), "line_order")
@@ -175,7 +228,8 @@ def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
         found = fold(list(rows.sort_values("pos").itertuples(index=False)))
         return pd.DataFrame([(*key, *r) for r in found], columns=[c.strip().split(" ")[0] for c in ITEM.split(",")])
 
-    return classify(read_order(lines, version == "v3"), version).groupBy(*KEY).applyInPandas(run, ITEM)
+    rows = read_order(lines, version == "v3")
+    return classify(merge_continuations(rows) if version == "v3" else rows, version).groupBy(*KEY).applyInPandas(run, ITEM)
 
 
 def _key(text: Column) -> Column:
