@@ -22,7 +22,7 @@ def _wave_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = running_total(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.col("p_retailprice").desc(), F.col("p_partkey").asc()], "rnk")
     waves = ranked.withColumn("wave", F.expr(SPARK.idiv("(rnk - 1)", "25")) + 1)
     sized = waves.groupBy("wave").agg(F.count(F.lit(1)).alias("size"), F.min("rnk").alias("lo"), F.max("rnk").alias("hi"))
-    return sized.select(F.expr(f"concat('wave_', {SPARK.format_int('wave', 2)})").alias("wave_id"), "size", "lo", "hi")
+    return sized.select(F.format_string("wave_%02d", "wave").alias("wave_id"), "size", "lo", "hi")
 
 
 def _percentiles(part: DataFrame, column: str, name: str, rows: int) -> DataFrame:
