@@ -4,12 +4,14 @@ A rolling hash over 16 bytes cuts each text into chunks that depend on their con
 chunks that documents share are found again at any offset; a task encodes each of them once
 and keeps the ids. At a join the two chunks may have broken a word, so a window from the last whole
 word of the left chunk to the first whole word of the right one is encoded again. If the
-window's ids agree with the ids that both chunks gave their whole words, it is spliced in;
-otherwise, or if a chunk is too short to have such words, both are encoded as one, until all joins agree.
+window's ids agree with the ids that both chunks gave their whole words, it is spliced in. Pieces that
+hold too few words for such a window (a run without white space may be one word) are put together
+before anything is encoded; where a join still disagrees, the rest of the document is encoded as
+one chunk. So every byte is encoded at most twice.
 
-Within a chunk, words (split at ASCII white space, where the tokenizer always splits too)
-are memoised, so only new words reach the tokenizer. Caches are bounded and are per task;
-no text is shuffled.
+Within a new chunk, words (split at ASCII white space, where the tokenizer always splits too)
+are memoised, so only new words reach the tokenizer. Caches are bounded by their bytes and are per task;
+words over ``LONG`` bytes are encoded but not kept; no text is shuffled.
 
 Defined cases: a null text is an empty one, with no ids and an empty decoded text; rows are
 independent, so repeated rows give equal results; further columns are carried through.
@@ -31,9 +33,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from platewise.llm.text_arrays import blocks, prefix_hash, span_hash
+from platewise.llm.text_arrays import blocks, rolling_hash
 
 WINDOW = 16
+#: Longest word in bytes that the memo keeps, and words that a piece needs at least for both of its joins.
+LONG, LEAST_WORDS = 256, 4
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -60,7 +64,7 @@ def cut_points(data: np.ndarray, mean: int = 2048) -> np.ndarray:
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
     at = np.arange(WINDOW, len(data))
-    hashes = span_hash(prefix_hash(data), at - WINDOW, at)
+    hashes = rolling_hash(data, WINDOW)[:-1]
     return at[((hashes % np.uint64(mean)) == 0) & ((data[at] & 0xC0) != 0x80)]
 
 
@@ -76,14 +80,14 @@ class Chunk:
 class ChunkEncoder:
     """Encodes texts exactly as the tokenizer does, chunk by chunk."""
 
-    def __init__(self, tokenizer_json: str, mean: int = 2048, most_words: int = 300_000, most_bytes: int = 24 << 20):
+    def __init__(self, tokenizer_json: str, mean: int = 2048, most_words: int = 300_000, most_bytes: int = 24 << 20, most_word_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.mean, self.most_words, self.most_bytes = mean, most_words, most_bytes
+        self.mean, self.most_words, self.most_bytes, self.most_word_bytes = mean, most_words, most_bytes, most_word_bytes
         self.names = [b""] * (1 + max(self.tok.get_vocab().values()))
         for name, i in self.tok.get_vocab().items():
             self.names[i] = name.encode()
@@ -91,7 +95,7 @@ class ChunkEncoder:
         self.pattern = _piece_pattern(tokenizer_json)
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, Chunk] = {}
-        self.held = 0
+        self.held = self.word_bytes = 0
 
     def _plain(self, text: str) -> tuple[bytes, bytes]:
         ids = self.tok.encode(text, add_special_tokens=False).ids
@@ -104,25 +108,36 @@ class ChunkEncoder:
             got = self.pieces.get(piece)
             if got is None:
                 got = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-                self.pieces[piece] = got
+                if len(piece) <= LONG:
+                    self.pieces[piece] = got
+                    self.word_bytes += len(piece) + 8 * len(got)
             ids += got
         return ids
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words that are new."""
+    def _word(self, w: bytes) -> tuple[bytes, bytes]:
+        text = w.decode()
+        if self.pattern is None or b"<|" in w or not _SIMPLE(text):
+            return self._plain(text)
+        ids = self._by_model(text)
+        return array("I", ids).tobytes(), b" ".join([self.names[i] for i in ids])
+
+    def learn(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Encode the words that are new; the long ones among them are returned and not kept."""
         new = set(words).difference(self.words)
-        if len(self.words) + len(new) > self.most_words:
+        if len(self.words) + len(new) > self.most_words or self.word_bytes > self.most_word_bytes:
             self.words.clear()
             self.pieces.clear()
+            self.word_bytes = 0
             new = set(words)
-        names = self.names
+        long: dict[bytes, tuple[bytes, bytes]] = {}
         for w in new:
-            text = w.decode()
-            if self.pattern is None or b"<|" in w or not _SIMPLE(text):
-                self.words[w] = self._plain(text)
+            got = self._word(w)
+            if len(w) > LONG:
+                long[w] = got
             else:
-                ids = self._by_model(text)
-                self.words[w] = array("I", ids).tobytes(), b" ".join([names[i] for i in ids])
+                self.words[w] = got
+                self.word_bytes += len(w) + len(got[0]) + len(got[1])
+        return long
 
     def encode_chunk(self, raw: bytes) -> Chunk:
         """Encode a chunk once; a repeated one comes from the cache."""
@@ -133,8 +148,8 @@ class ChunkEncoder:
         try:
             parts = [self.words[w] for w in words]
         except KeyError:
-            self.learn(words)
-            parts = [self.words[w] for w in words]
+            long = self.learn(words)
+            parts = [self.words[w] if len(w) <= LONG else long[w] for w in words]
         broken_head = raw[:1] not in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
         broken_tail = raw[-1:] not in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
         head = tail = None
@@ -145,13 +160,32 @@ class ChunkEncoder:
             m = 2 if broken_tail else 1
             tail = b" ".join(words[-m:]) if broken_tail else words[-1] + b" ", parts[-m][0], m, sum(len(p[0]) for p in parts[-m:])
         chunk = Chunk(raw, b"".join([p[0] for p in parts]), [p[1] for p in parts], head, tail)
-        self.held += 6 * len(raw) + 200
+        size = 6 * len(raw) + 200
+        if size > self.most_bytes // 16:
+            return chunk  # one very long chunk would push all others out
+        self.held += size
         if self.held > self.most_bytes:
             self.chunks.clear()
-            self.held = 6 * len(raw)
+            self.held = size
         self.chunks[raw] = chunk
         return chunk
 
+    @staticmethod
+    def grouped(pieces: list[bytes]) -> list[bytes]:
+        """The pieces with those of too few words put together, each byte copied once."""
+        out: list[list[bytes]] = []
+        words = LEAST_WORDS
+        for piece in pieces:
+            if words >= LEAST_WORDS:
+                out.append([])
+                words = 1
+            out[-1].append(piece)
+            words += len(piece.split()) - 1  # a cut may have broken a word
+        if len(out) > 1 and words < LEAST_WORDS:
+            last = out.pop()
+            out[-1] += last
+        return [p[0] if len(p) == 1 else b"".join(p) for p in out]
+
     def _join(self, left: Chunk, right: Chunk) -> tuple[bytes, bytes] | None:
         """The ids and decoded text of the window over a join, or None if it doesn't agree with its chunks."""
         if left.tail is None or right.head is None:
@@ -167,7 +201,8 @@ class ChunkEncoder:
         decoded: list[bytes] = []
         chunk = None
         skip_ids = skip_words = 0
-        for piece in pieces:
+        pieces = self.grouped(pieces)
+        for k, piece in enumerate(pieces):
             right = self.encode_chunk(piece)
             if chunk is None:
                 chunk = right
@@ -175,11 +210,11 @@ class ChunkEncoder:
             window = self._join(chunk, right)
             whole = len(chunk.ids) - (chunk.tail[3] if chunk.tail else 0)
             if window is None or whole < skip_ids or len(chunk.decoded) - chunk.tail[2] < skip_words:
-                merged = self.encode_chunk(chunk.raw + piece)
+                merged = self.encode_chunk(chunk.raw + b"".join(pieces[k:]))
                 if chunk.head != merged.head and (skip_ids or skip_words):
                     raise AssertionError("a merged chunk changed its head")
                 chunk = merged
-                continue
+                break
             ids += [chunk.ids[skip_ids:whole], window[0]]
             decoded += [*chunk.decoded[skip_words : len(chunk.decoded) - chunk.tail[2]], window[1]]
             chunk, skip_ids, skip_words = right, right.head[3], right.head[2]
@@ -211,14 +246,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
                 encoder = ChunkEncoder(held.value)
             for a, b, data, offsets in blocks(batch.column(0)):
                 raw = data.tobytes()
-                encoder.learn(raw.split())
                 cuts = cut_points(data, encoder.mean)
                 counts, id_sums, text_sums, all_ids = [], [], [], []
                 at = np.searchsorted(cuts, offsets, "right")
+                pieces = []
                 for k in range(b - a):
                     lo, hi = int(offsets[k]), int(offsets[k + 1])
                     own = [lo, *(int(c) for c in cuts[at[k] : at[k + 1]] if lo + WINDOW <= c < hi), hi]
-                    ids, decoded = encoder.encode([raw[x:y] for x, y in zip(own, own[1:], strict=False) if y > x])
+                    pieces.append([raw[x:y] for x, y in zip(own, own[1:], strict=False) if y > x])
+                # the words of all new chunks at once; chunks that are known need no words
+                encoder.learn([w for own in pieces for p in own if p not in encoder.chunks for w in p.split() if len(w) <= LONG])
+                for own in pieces:
+                    ids, decoded = encoder.encode(own)
                     counts.append(len(ids) // 4)
                     id_sums.append(hashlib.sha256(ids).hexdigest())
                     text_sums.append(hashlib.sha256(decoded).hexdigest())

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.line_dedup import _slots, filter_words, twice_seen_filter
-from platewise.llm.text_arrays import blocks, byte_columns, mix, powers, prefix_hash, span_hash
+from platewise.llm.text_arrays import blocks, byte_columns, rolling_hash, span_hash
 from platewise.session import materialize
 
 LENGTH, GRAM = 100, 32
@@ -55,9 +55,8 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if n < LENGTH:
         return none
-    prefix = prefix_hash(data)
     m = n - GRAM + 1
-    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(m)[1] + np.uint64(GRAM))
+    grams = rolling_hash(data, GRAM)
     least = grams & ~_PLACE
     least |= np.arange(m, dtype=np.uint64)
     span = 1
@@ -81,7 +80,7 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return none
     row = np.searchsorted(offsets, first, "right") - 1
     count = np.minimum(np.append(first[1:], n), stop[row]) - first
-    return row, first - offsets[row], count, grams[anchor[first].astype(np.int64)], span_hash(prefix, first, first + count - 1 + LENGTH)
+    return row, first - offsets[row], count, grams[anchor[first].astype(np.int64)], span_hash(data, first, first + count - 1 + LENGTH)
 
 
 def suffix_array(symbols: np.ndarray, string: np.ndarray) -> np.ndarray:
@@ -186,7 +185,7 @@ def doubtful(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.nda
     owner = np.repeat(np.arange(len(texts)), counts)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[:-1][owner] + window
-    keys = span_hash(prefix_hash(data), start, start + LENGTH)
+    keys = rolling_hash(data, LENGTH)[start]
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     twice = np.zeros(len(keys), bool)

@@ -18,6 +18,9 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+_SIZE_SALT = np.uint64(0xD6E8FEB86659FD93)
+#: The low bytes of a little-endian lane.
+_LANE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,17 +43,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] == the sum of data[k] * base**k for i <= k < j."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span, the same for equal bytes wherever they stand."""
-    down = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every window of ``width`` bytes, the same for equal windows.
+
+    For finding candidates and cut points in short windows only: a polynomial modulo 2**64 has long
+    texts that collide, so nothing may take equal hashes for equal bytes.
+    """
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=prefix[1:])
+    m = len(data) - width + 1
+    return mix((prefix[width:] - prefix[:-width]) * powers(m)[1] + np.uint64(width))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, the same for equal bytes wherever they stand.
+
+    Each lane of eight bytes is mixed with its number before lanes are added up, so neither exchanged nor
+    repeated parts cancel out.
+    """
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = np.maximum(end - start, 0)
+    number = np.maximum((size + 7) >> 3, 1)
+    out = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return out
+    edges = np.concatenate([[0], np.cumsum(number)])
+    for a, b in slices(edges, 1 << 20):
+        n = number[a:b]
+        begin = edges[a:b] - edges[a]
+        within = np.arange(edges[b] - edges[a]) - np.repeat(begin, n)
+        at = np.repeat(start[a:b], n) + 8 * within
+        left = np.minimum(np.repeat(end[a:b], n) - at, 8)  # bytes of the lane inside the span
+        value = lanes[np.minimum(at, len(data))] & _LANE_MASKS[np.maximum(left, 0)]
+        value = mix(value + (within.astype(np.uint64) + np.uint64(1)) * _BASE)
+        out[a:b] = np.add.reduceat(value, begin)
+    return mix(out + size.astype(np.uint64) * _SIZE_SALT)
 
 
 def byte_columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +133,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     if lower:
         data = LOWER[data]
     starts, ends, rows = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), rows
+    return span_hash(data, starts, ends), rows
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 
 from platewise.llm import bpe_chunks, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from platewise.llm.queries import word_bpe_path
-from platewise.llm.text_arrays import byte_columns
+from platewise.llm.text_arrays import byte_columns, span_hash
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,6 +190,32 @@ def test_twice_seen_holds_every_repeat():
     assert ((seen.twice[at] & bits) == bits).all()
 
 
+# --- hashes
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word and its complement: polynomial hashes modulo 2**64 can't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_crafted_texts_are_told_apart():
+    one, two = thue_morse(1024)
+    assert quality_rules.statistics(*byte_columns(pa.array([one + "\n" + two])))[0][0].tolist() == brute_counts(one + "\n" + two)
+    one, two = thue_morse(2048)
+    text = " ".join(f"w{i}" for i in range(7)) + f" {one} " + " ".join(f"w{i}" for i in range(7)) + f" {two}"
+    assert quality_rules.statistics(*byte_columns(pa.array([text])))[0][0].tolist() == brute_counts(text)
+    assert near_dedup.jaccard(pa.array([one]), pa.array([two]))[0] == 0
+    data, offsets = byte_columns(pa.array([one, two]))
+    assert len(set(suffix_dedup.occurrences(data, offsets)[4].tolist())) > 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=40), min_size=1, max_size=12))
+def test_span_hashes_are_equal_for_equal_bytes_only(texts):
+    data, offsets = byte_columns(pa.array(texts))
+    hashes = span_hash(data, offsets[:-1], offsets[1:])
+    assert len(set(hashes.tolist())) == len(set(texts)) == len(set(zip(texts, hashes.tolist(), strict=True)))
+
+
 # --- quality rules
 def brute_counts(text):
     import re
@@ -325,6 +352,20 @@ def test_chunks_encode_exactly(encoder, text):
     assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == encoder.tok.decode(want, skip_special_tokens=False)
 
 
+def test_a_very_long_word_is_encoded_in_linear_time(encoder):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFG0123456789+/", k=5_000_000))
+    raw = text.encode()
+    begin = time.perf_counter()
+    cuts = [0, *map(int, bpe_chunks.cut_points(np.frombuffer(raw, np.uint8), encoder.mean)), len(raw)]
+    ids, decoded = encoder.encode([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    took, begin = time.perf_counter() - begin, time.perf_counter()
+    want = encoder.tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == encoder.tok.decode(want, skip_special_tokens=False)
+    assert took < 3 * (time.perf_counter() - begin) + 5
+    assert encoder.word_bytes < encoder.most_word_bytes and max(map(len, encoder.words)) <= bpe_chunks.LONG
+
+
 def test_encoding_odd_rows(odd):
     got = bpe_chunks.encode_documents(odd, word_bpe_path(), keep_ids=True)
     assert got.columns[:4] == ["doc_id", "lang", "source", "key"]
