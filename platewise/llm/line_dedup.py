@@ -1,52 +1,66 @@
 """Line dedup with two Bloom filters: once-seen and twice-seen line hashes.
 
-1. Each task hashes the keys of its lines (JVM side) and keeps two register-blocked Bloom
+1. Each task hashes the keys of its lines and keeps two register-blocked Bloom
    filters: a hash that the first already holds goes to the second. Tasks emit compressed
    pieces of both; merging ORs them and adds ``first AND other first`` to the second.
 2. The merged twice-seen filter, whose size is a bounded parameter, is broadcast. Only lines
    that it suspects are shuffled: (key, doc_id) pairs are counted exactly by a two-step
-   aggregate, so neither a hot line nor a long document meets in one task.
-3. Confirmed keys are joined to the suspected pairs. Documents that hold no suspect skip the
-   shuffle of texts; the others are joined by doc_id and rebuilt.
+   aggregate, so neither a hot line nor a long document meets in one task. A key travels as its
+   128-bit BLAKE2 digest, so long lines cost no more than short ones.
+3. Confirmed keys are joined to the suspected pairs; the few keys that hold more than a thousandth of the
+   pairs each are broadcast. Documents that hold no suspect skip the shuffle of texts; the others are
+   joined by doc_id and rebuilt.
+
+Lines are split, stripped and lower-cased over whole Arrow batches.
 
 When more lines come than the filter was sized for it suspects more of them; results stay
 exact, and what is shuffled stays linear in the input.
 
 Defined cases: a null or empty text is one empty line; a null doc_id is one document below
 all others; repeated rows of one doc_id are one document for counts, and each row is
-returned; further columns are carried through.
+returned; further columns are carried through, but columns named ld_text, ld_lines or ld_dropped are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.text_arrays import mix
+from platewise.llm.columns import carried, join_counted, schema_of
+from platewise.llm.text_arrays import byte_columns, mix, slices, span_hash
 from platewise.session import materialize
 
-#: The white space that is stripped, and the letters that are lower-cased.
+#: Fixed value: the white space that is stripped.
 STRIPPED = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECES = 64
+ADDED = ("ld_text", "ld_lines", "ld_dropped")
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def line_keys(column: pa.Array, min_chars: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(first row, end row, lines of each row, row of each key, keys) of bounded runs of rows; keys that are long enough to count."""
+    column = column.cast(pa.large_string()).fill_null("")
+    for a, b in slices(byte_columns(column)[1], 1 << 22):
+        lines = pc.split_pattern(column.slice(a, b - a), "\n")
+        numbers = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = pc.ascii_lower(pc.ascii_trim(lines.flatten(), characters=STRIPPED))
+        long = pc.greater_equal(pc.utf8_length(keys), min_chars)
+        yield a, b, numbers, np.repeat(np.arange(b - a), numbers)[long.to_numpy(zero_copy_only=False)], keys.filter(long)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, UPPER.lower())
+def key_hashes(keys: pa.Array) -> np.ndarray:
+    data, offsets = byte_columns(keys)
+    return span_hash(data, offsets[:-1], offsets[1:])
 
 
-def distinct_keys(text: Column, min_chars: int) -> Column:
-    """The distinct keys of a text that are long enough to count."""
-    return F.array_distinct(F.filter(F.transform(split_lines(text), line_key), lambda k: F.char_length(k) >= min_chars))
+def digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
 
 
 def _slots(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +135,75 @@ def filter_words(rows: int, words_per_row: int = 8, least: int = 1 << 12, most:
     return int(min(most, max(least, 1 << max(0, rows * words_per_row - 1).bit_length())))
 
 
-def _suspect(twice, *, arrays: bool):
-    """Keep rows whose hash (first column) the filter holds; with ``arrays``, add whether any of the hashes is held."""
+def _hash_batches(min_chars: int):
+    """The hashes of the distinct keys of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, rows, keys in line_keys(batch.column(0), min_chars):
+                hashes = key_hashes(keys)
+                first = np.unique(mix(hashes + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64))], ["h"])
+
+    return run
+
+
+def _held(twice: np.ndarray, keys: pa.Array) -> np.ndarray:
+    at, bits = _slots(key_hashes(keys), len(twice))
+    return (twice[at] & bits) == bits
+
 
-    def held(hashes: np.ndarray) -> np.ndarray:
-        at, bits = _slots(hashes.view(np.uint64), len(twice.value))
-        return (twice.value[at] & bits) == bits
+def _pair_batches(twice, min_chars: int):
+    """(document, digest) of the suspected keys, once a document."""
 
-    def keep(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(held(batch.column(0).to_numpy(zero_copy_only=False)))).select(range(1, batch.num_columns))
+            for a, _, _, rows, keys in line_keys(batch.column(0), min_chars):
+                hit = _held(twice.value, keys)
+                pairs = pa.table({"row": rows[hit], "key": keys.filter(pa.array(hit))}).group_by(["row", "key"]).aggregate([])
+                digests = pa.array([digest(k.encode()) for k in pairs["key"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(pairs["row"].to_numpy() + a)), digests], ["d", "key"])
+
+    return run
 
-    def flag(batches):
+
+def _side_batches(twice, min_chars: int, text: int, names: list[str], *, suspected: bool):
+    """The documents with a suspected line, as they are; or those without, with their final columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            hit = np.concatenate([[0], np.cumsum(held(lists.flatten().to_numpy(zero_copy_only=False)))])
-            sizes = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            marks = pa.array(hit[sizes[1:]] > hit[sizes[:-1]])
-            yield pa.RecordBatch.from_arrays([marks, *batch.columns[1:]], ["ld_suspect", *batch.schema.names[1:]])
+            for a, b, numbers, rows, keys in line_keys(batch.column(text), min_chars):
+                pick = np.bincount(rows[_held(twice.value, keys)], minlength=b - a) > 0
+                if not suspected:
+                    pick = ~pick
+                part = batch.slice(a, b - a).filter(pa.array(pick))
+                more = [] if suspected else [part.column(text).cast(pa.string()).fill_null(""), pa.array(numbers[pick]), pa.array(np.zeros(pick.sum(), np.int64))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
+
+    return run
+
 
-    return flag if arrays else keep
+def _drop_batches(text: int, names: list[str]):
+    """The last column holds the digests of the keys that the document loses, or null."""
+    white = STRIPPED.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = batch.column(text).cast(pa.string()).fill_null("")
+            texts, numbers, dropped = [], [], []
+            for value, gone in zip(body, batch.column(batch.num_columns - 1), strict=True):
+                raw = value.as_buffer().to_pybytes()
+                lines = raw.split(b"\n")
+                kept = lines
+                if gone.is_valid:
+                    own = set(gone.as_py())
+                    kept = [x for x in lines if digest(x.strip(white).lower()) not in own]
+                texts.append(raw if kept is lines else b"\n".join(kept))
+                numbers.append(len(lines))
+                dropped.append(len(lines) - len(kept))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(dropped, pa.int64())], names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -150,34 +213,21 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     only in the largest doc_id that holds the key.
     """
     spark = docs.sparkSession
-    each = docs.select(F.col(doc_id).alias("d"), F.explode(distinct_keys(F.col(text), min_chars)).alias("key"))
-    twice = spark.sparkContext.broadcast(twice_seen_filter(each.select(F.xxhash64("key").alias("h")), filter_words(docs.count())))
+    body = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("d"))
+    twice = spark.sparkContext.broadcast(twice_seen_filter(body.select("text").mapInArrow(_hash_batches(min_chars), "h long"), filter_words(docs.count())))
 
-    key_schema = f"d {docs.schema[doc_id].dataType.simpleString()}, key string"
-    suspects = materialize(each.select(F.xxhash64("key").alias("h"), "d", "key").mapInArrow(_suspect(twice, arrays=False), key_schema), "suspects")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    suspects = materialize(body.mapInArrow(_pair_batches(twice, min_chars), f"d {kind}, key binary"), "suspects")
     one_doc = F.struct("d")  # a null id is a document too
-    confirmed = suspects.groupBy("key").agg(F.countDistinct(one_doc).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs)
-    drops = (
-        suspects.join(confirmed.select(F.col("key").alias("c_key"), "last"), F.col("key") == F.col("c_key"))
-        .where(~F.col("d").eqNullSafe(F.col("last")))
-        .groupBy("d")
-        .agg(F.collect_set("key").alias("ld_drops"))
-        .withColumnRenamed("d", "ld_id")
-    )
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    doc, body = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
-    hashes = F.transform(distinct_keys(F.col(body), min_chars), lambda k: F.xxhash64(k))
-    marked = plain.select(hashes.alias("h"), *names).mapInArrow(_suspect(twice, arrays=True), f"ld_suspect boolean, {fields}")
-    clean = marked.where(~F.col("ld_suspect")).select(*names, F.lit(None).cast("array<string>").alias("ld_drops"))
-    dirty = marked.where("ld_suspect").join(drops, F.col(doc).eqNullSafe(F.col("ld_id")), "left").select(*names, "ld_drops")
-    lines = split_lines(F.col(body))
-    kept = F.when(F.col("ld_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("ld_drops", line_key(x))))
-    out = clean.unionByName(dirty).select(*names, F.size(lines).cast("long").alias("ld_lines"), kept.alias("ld_kept"))
-    return out.select(
-        *(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)),
-        F.array_join("ld_kept", "\n").alias("ld_text"),
-        "ld_lines",
-        (F.col("ld_lines") - F.size("ld_kept")).cast("long").alias("ld_dropped"),
-    )
+    confirmed = materialize(suspects.groupBy("key").agg(F.countDistinct(one_doc).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs), "confirmed")
+    drops = join_counted(suspects, confirmed, "key", "n").where(~F.col("d").eqNullSafe(F.col("last"))).groupBy("d").agg(F.collect_set("key").alias("ld_drops")).withColumnRenamed("d", "ld_id")
+
+    columns = carried(docs, ADDED)
+    names = [f"c{i}" for i in range(len(columns))]
+    plain = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
+    fields, at = schema_of(docs, columns), columns.index(text)
+    final, final_names = ", ".join([*fields, "ld_text string, ld_lines long, ld_dropped long"]), [*names, *ADDED]
+    clean = plain.mapInArrow(_side_batches(twice, min_chars, at, final_names, suspected=False), final)
+    dirty = plain.mapInArrow(_side_batches(twice, min_chars, at, names, suspected=True), ", ".join(fields))
+    joined = dirty.join(drops, F.col(names[columns.index(doc_id)]).eqNullSafe(F.col("ld_id")), "left").select(*names, "ld_drops")
+    return clean.unionByName(joined.mapInArrow(_drop_batches(at, final_names), final)).toDF(*columns, *ADDED)
