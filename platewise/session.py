@@ -62,6 +62,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator below the shared folder; each can be deleted once its successors are written."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root = spark, work_path(spark, tag)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back."""
+        path = f"{self.root}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing lazy reads any more."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove what a local run left in its fallback folder."""
     path = _LOCAL_WORK.pop(spark.sparkContext.applicationId, None)
