@@ -20,8 +20,8 @@ def schema_of(docs: DataFrame, columns: list[str]) -> list[str]:
     return [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)]
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, share: int = SHARE) -> DataFrame:
-    """Inner join with a table of unique keys of bounded width that holds the number of ``left`` rows of each key.
+def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, share: int = SHARE, how: str = "inner") -> DataFrame:
+    """Inner or left join with a table of unique keys of bounded width that holds the number of ``left`` rows of each key.
 
     Fewer than ``share`` keys hold more than one in ``share`` of the rows: these are broadcast, so a hot key
     stays spread as it is. What goes through the shuffle is free of hot keys.
@@ -30,5 +30,5 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, share:
     limit = max(1, int(total) // share)
     hot = right.where(F.col(count) > limit)
     spread = left.join(F.broadcast(hot), on)
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(count) <= limit), on)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(count) <= limit), on, how)
     return spread.unionByName(rest)

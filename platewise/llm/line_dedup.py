@@ -106,7 +106,7 @@ def _build(words: int):
     return run
 
 
-def _merge(words: int):
+def _merge(words: int, which: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, TwiceSeen] = {}
         for batch in batches:
@@ -114,22 +114,31 @@ def _merge(words: int):
                 seen = held.setdefault(k, TwiceSeen(words // PIECES))
                 seen.merge(np.frombuffer(zlib.decompress(once.as_py()), np.uint64), np.frombuffer(zlib.decompress(twice.as_py()), np.uint64), slice(None))
         for k, seen in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(seen.twice.tobytes(), 1)])], ["piece", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(getattr(seen, which).tobytes(), 1)])], ["piece", "bits"])
 
     return run
 
 
-def twice_seen_filter(hashes: DataFrame, words: int) -> np.ndarray:
-    """The merged twice-seen filter of a one-column DataFrame of hashes: ``words`` * 8 bytes on the driver."""
+def _merged(hashes: DataFrame, words: int, which: str) -> np.ndarray:
     pieces = hashes.mapInArrow(_build(words), "piece int, once binary, twice binary")
-    merged = pieces.repartition(PIECES, "piece").mapInArrow(_merge(words), "piece int, twice binary")
+    merged = pieces.repartition(PIECES, "piece").mapInArrow(_merge(words, which), "piece int, bits binary")
     out = np.zeros(words, np.uint64)
     step = words // PIECES
     for row in merged.toLocalIterator():
-        out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint64)
+        out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint64)
     return out
 
 
+def twice_seen_filter(hashes: DataFrame, words: int) -> np.ndarray:
+    """The merged twice-seen filter of a one-column DataFrame of hashes: ``words`` * 8 bytes on the driver."""
+    return _merged(hashes, words, "twice")
+
+
+def seen_filter(hashes: DataFrame, words: int) -> np.ndarray:
+    """The same of all hashes that stand there at all."""
+    return _merged(hashes, words, "once")
+
+
 def filter_words(rows: int, words_per_row: int = 8, least: int = 1 << 12, most: int = 1 << 22) -> int:
     """Size of a filter in 64-bit words: a power of two that follows the number of rows, 32 MB at most."""
     return int(min(most, max(least, 1 << max(0, rows * words_per_row - 1).bit_length())))

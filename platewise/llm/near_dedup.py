@@ -4,26 +4,29 @@ Every weighted element throws hashed darts into its region of the (weight, rank)
 cells hold a Poisson number of darts whose places follow from a hash of element, cell and
 number. Each dart belongs to one coordinate; the earliest dart (lowest rank) is the
 coordinate's minhash. Ranks are searched only as far as all coordinates are found, so a signature
-costs about k log k darts whatever the length of the text. Elements are sets of five-word
-shingles (weight 1); the sketch takes any weights.
-
-1. Signatures are banded where the text is read; texts are not shuffled for that.
-2. Exact copies fold into the smallest doc_id of their text by a combining aggregate.
-3. In each band bucket every text is compared with one elected text, so a bucket of n
-   gives n - 1 candidates and not n * n. Candidates whose signatures leave the similarity
-   possible are verified by the exact Jaccard similarity.
-4. Verified links become classes by large-star and small-star rounds.
-5. Buckets that still hold several classes elect again, by another seed each turn, and compare across
-   classes only, as long as links are found and all pairs across classes would be many more.
-6. Then every pair that still shares a bucket across classes is compared, so no pair of a bucket is
-   left out: elections only save comparisons. Hot buckets are dealt out by salted blocks.
-
-Hot buckets, pivots and copies are met by aggregates that combine before the shuffle and by joins
-that Spark can split.
+costs about k log k darts whatever the length of the text. Elements are five-word shingles, with
+weight 1 (Jaccard similarity of sets) or, with ``weighted``, with their number in the text (weighted Jaccard similarity).
+
+1. Signatures are banded where the text is read; texts are not shuffled for that. Exact copies fold
+   into one node by a combining aggregate.
+2. Only documents that share a band bucket with another go on, with their texts: a Bloom filter of
+   their ids keeps all other texts out of the shuffle.
+3. Forest: within each block of a bucket a maximum spanning forest of the estimated similarities
+   gives fewer pairs than documents. The pairs are verified, and verified links become classes.
+4. Cross pairs: every pair of a bucket that is still in two classes is compared by its signatures, the largest class
+   of a bucket against all others and those among themselves, in blocks; what the estimate does not rule out is verified.
+   So no pair of a bucket is left out, and pairs inside a class are never listed.
+5. Verification brings the pairs of one block of documents and their texts together, so a text travels once a
+   block and not once a pair; shingles are compared by 64-bit hashes.
+
+Hot buckets and hot copies: aggregates combine before the shuffle, buckets are dealt out in blocks, and
+keys that hold more than a thousandth of the rows are broadcast (fewer than a thousand of them).
+Intermediate tables are deleted as soon as their successors are written.
 
 Defined cases: a null text is an empty one and all empty texts are copies; a text of fewer than
 five words has one shingle, all of its words; rows that repeat a doc_id are one document,
-whose texts share a class; null doc_ids likewise; further columns are not read.
+whose texts share a class; null doc_ids are one document too (the smallest long stands for null, so a table that
+uses it as an id unites it with the null rows); further columns are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.text_arrays import blocks, byte_columns, mix, slices, word_hashes
-from platewise.session import materialize
+from platewise.llm.columns import join_counted
+from platewise.llm.line_dedup import _slots, filter_words, seen_filter
+from platewise.llm.text_arrays import blocks, byte_columns, mix, row_starts, word_hashes
+from platewise.session import Scratch
 
 BANDS, ROWS, SHINGLE = 28, 6, 5
-#: Bands of the first turn, which joins most copies; pairs a bucket row that are compared without more elections; documents a block of a large bucket.
-FIRST_BANDS, PLENTY, BLOCK = 8, 16, 256
+#: Documents of a bucket in one block, bytes of text that a block of pairs aims at, standard deviations that a screen leaves.
+BLOCK, BLOCK_BYTES, MARGIN = 256, 2 << 20, 4.5
+#: Rows of a small table that one task takes.
+TASK_ROWS = 200_000
 _FLOOR = -6
 _C1, _C2, _C3 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9)
 _UNIT = 1.0 / (1 << 53)
@@ -125,161 +132,343 @@ def bands(signature: np.ndarray, number: int = BANDS, size: int = ROWS) -> np.nd
     return out
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in blocks(batch.column(0), 1 << 19):
-            signature = dart_minhash(*shingles(data, offsets), b - a, BANDS * ROWS)
-            keys = bands(signature)
-            small = pa.array([r.tobytes() for r in (signature & np.uint64(0xFF)).astype(np.uint8)], pa.binary())
-            held = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), held, small], ["doc", "copy", "bands", "sketch"])
+def counted(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each row in order, their rows, and how often each stands there."""
+    order = np.lexsort((found, rows))
+    found, rows = found[order], rows[order]
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(first)
+    return found[at], rows[at], np.diff(np.append(at, len(found)))
 
 
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """The exact Jaccard similarity of the shingle sets of each pair of texts."""
+def signatures(data: np.ndarray, offsets: np.ndarray, weighted: bool = False) -> np.ndarray:
+    """The signatures of one block of texts."""
+    found, rows = shingles(data, offsets)
+    if not weighted:
+        return dart_minhash(found, rows, len(offsets) - 1, BANDS * ROWS)
+    found, rows, number = counted(found, rows)
+    return dart_minhash(found, rows, len(offsets) - 1, BANDS * ROWS, number.astype(float))
+
+
+def _band_batches(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in blocks(batch.column(0), 1 << 19):
+                signature = signatures(data, offsets, weighted)
+                keys = bands(signature)
+                small = pa.array([r.tobytes() for r in (signature & np.uint64(0xFF)).astype(np.uint8)], pa.binary())
+                held = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), held, small], ["doc", "copy", "bands", "sketch"])
+
+    return run
+
+
+def shingle_sets(texts: list[bytes], weighted: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct shingles, their numbers) of each text; all numbers are 1 without ``weighted``."""
+    out = []
+    for a, b, data, offsets in blocks(pa.array(texts, pa.binary())):
+        found, rows, number = counted(*shingles(data, offsets))
+        at = row_starts(rows, b - a)
+        out += [(found[x:y], number[x:y] if weighted else np.ones(y - x, np.int64)) for x, y in zip(at, at[1:], strict=False)]
+    return out
+
+
+def similarities(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The (weighted) Jaccard similarity of sets[left[i]] and sets[right[i]]; one pass over a pair's second set."""
+    sizes = np.array([len(s[0]) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)[1]
+    number = np.concatenate([s[1] for s in sets])
+    total = np.add.reduceat(number, starts[:-1])
     out = np.zeros(len(left))
-    sizes = np.concatenate([[0], np.cumsum(np.maximum(1, np.diff(_offsets(left)) + np.diff(_offsets(right))))])
-    for a, b in slices(sizes):
-        sets = []
-        for side in (left, right):
-            for lo, hi, data, offsets in blocks(side.slice(a, b - a), 1 << 62):
-                found, rows = shingles(data, offsets)
-                keys, first = np.unique(mix(found + rows.astype(np.uint64) * _C2), return_index=True)
-                sets.append((keys, rows[first]))
-                assert (lo, hi) == (0, b - a)
-        both = np.bincount(sets[0][1][np.isin(sets[0][0], sets[1][0], assume_unique=True)], minlength=b - a)
-        one, two = (np.bincount(s[1], minlength=b - a) for s in sets)
-        out[a:b] = both / (one + two - both)
+    own = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    order = np.argsort(left, kind="stable")
+    cuts = np.flatnonzero(np.diff(left[order])) + 1
+    for part in np.split(order, cuts):
+        a = left[part[0]]
+        mine = slice(starts[a], starts[a + 1])
+        own[ids[mine]] = number[mine]
+        edges = np.concatenate([[0], np.cumsum(sizes[right[part]])])
+        for lo in range(0, len(part), 256):
+            some = part[lo : lo + 256]
+            n = sizes[right[some]]
+            begin = np.cumsum(n) - n
+            at = np.repeat(starts[right[some]] - begin, n) + np.arange(edges[min(lo + 256, len(part))] - edges[lo])
+            both = np.add.reduceat(np.minimum(own[ids[at]], number[at]), begin)
+            out[some] = both / (total[a] + total[right[some]] - both)
+        own[ids[mine]] = 0
     return out
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
-    return byte_columns(column)[1]
+def _runs(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """The row ranges of equal keys, one after another."""
+    change = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys[0])]
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
+def _pairs_batch(a: list, b: list) -> pa.RecordBatch:
+    one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    apart = one != two
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)[apart]), pa.array(np.maximum(one, two)[apart])], ["a", "b"])
 
 
-def _verify_batches(least: float):
+def spanning_pairs(sketch: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """The edges of a maximum spanning forest over the pairs that agree in at least ``least`` coordinates."""
+    n = len(sketch)
+    ends: tuple[list[int], list[int]] = ([], [])
+    best, parent = np.full(n, -1), np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        open_[at] = False
+        agree = (sketch == sketch[at]).sum(axis=1, dtype=np.int64)
+        nearer = open_ & (agree > best)
+        best[nearer], parent[nearer] = agree[nearer], at
+        at = int(np.argmax(np.where(open_, best, -2)))
+        if best[at] >= least:
+            ends[0].append(int(parent[at]))
+            ends[1].append(at)
+    return ends
+
+
+def _forest_batches(least: float):
+    """Rows (key, block, node, sketch) come sorted by (key, block)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sketches = None, [], []
+
+        def finish(a: list, b: list) -> None:
+            if sum(map(len, nodes)) > 1:
+                ids = np.concatenate(nodes)
+                one, two = spanning_pairs(np.vstack(sketches), least)
+                a.append(ids[one])
+                b.append(ids[two])
+
         for batch in batches:
-            if batch.num_rows:
-                similar = jaccard(batch.column(2), batch.column(3)) >= least
-                yield batch.select([0, 1]).filter(pa.array(similar))
+            if not batch.num_rows:
+                continue
+            key, block, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sketch = byte_columns(batch.column(3))[0].reshape(len(key), -1)
+            a, b = [], []
+            for x, y in _runs([key, block]):
+                if (key[x], block[x]) != last:
+                    finish(a, b)
+                    last, nodes, sketches = (key[x], block[x]), [], []
+                nodes.append(node[x:y])
+                sketches.append(sketch[x:y])
+            yield _pairs_batch(a, b)
+        a, b = [], []
+        finish(a, b)
+        yield _pairs_batch(a, b)
 
     return run
 
 
-def _likely_batches(least: float):
-    k = BANDS * ROWS
-    # six standard deviations below the threshold: one true pair in a thousand million
-    least = k * max(0.0, least - 6 * math.sqrt(least * (1 - least) / k))
+def _cross_batches(least: float):
+    """Rows (key, block, visits, node, class, largest class, sketch) come sorted by the first three: a block's own documents, then those that visit it.
+
+    A bucket of one block has no visitors; its documents are compared among themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, home, visited = None, [], False
+
+        def compare(a: list, b: list, one: int, node, cls, large, sketch, rows: np.ndarray, homes) -> None:
+            ids, classes, _, sketches = homes
+            pick = np.flatnonzero(rows & (classes != cls[one]))
+            if len(pick):
+                close = pick[(sketches[pick] == sketch[one]).sum(axis=1) >= least]
+                a.append(ids[close])
+                b.append(np.full(len(close), node[one]))
+
+        def inside(a: list, b: list) -> None:
+            if home and not visited:
+                own = tuple(np.concatenate([h[i] for h in home]) for i in range(4))
+                before = np.zeros(len(own[0]), bool)
+                for i in range(len(own[0])):
+                    compare(a, b, i, *own, before, own)
+                    before[i] = True
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block, visits, node, cls, large = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            sketch = byte_columns(batch.column(6))[0].reshape(len(key), -1)
+            a, b = [], []
+            for x, y in _runs([key, block, visits]):
+                if (key[x], block[x]) != last:
+                    inside(a, b)
+                    last, home, visited = (key[x], block[x]), [], False
+                part = node[x:y], cls[x:y], large[x:y], sketch[x:y]
+                if not visits[x]:
+                    home.append(part)
+                    continue
+                visited = True
+                if len(home) > 1:
+                    home = [tuple(np.concatenate([h[i] for h in home]) for i in range(4))]
+                for i in range(y - x if home else 0):
+                    # two that are both outside the largest class visit each other: one visit will do
+                    compare(a, b, i, *part, (home[0][1] == home[0][2]) | (home[0][0] < part[0][i]), home[0])
+            yield _pairs_batch(a, b)
+        a, b = [], []
+        inside(a, b)
+        yield _pairs_batch(a, b)
+
+    return run
+
+
+def _verify_batches(least: float, weighted: bool):
+    """Rows (group, a, b, text) come sorted by group, the texts (of a, without b) before the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sets, place = None, [], {}
         for batch in batches:
-            if batch.num_rows:
-                one, two = (byte_columns(batch.column(i))[0].reshape(-1, k) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= least))
+            if not batch.num_rows:
+                continue
+            group, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            pair = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            b = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            data, offsets = byte_columns(batch.column(3))
+            good: tuple[list, list] = ([], [])
+            for x, y in _runs([group, pair]):
+                if group[x] != last:
+                    last, sets, place = group[x], [], {}
+                if not pair[x]:
+                    for k, own in enumerate(shingle_sets([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(x, y)], weighted)):
+                        place.setdefault(int(a[x + k]), []).append(len(sets))
+                        sets.append(own)
+                    continue
+                # a doc_id with several texts is similar if one of them is
+                ends = [(i, p, q) for i in range(x, y) for p in place.get(int(a[i]), ()) for q in place.get(int(b[i]), ())]
+                if ends:
+                    row, p, q = (np.array(e) for e in zip(*ends, strict=True))
+                    row = np.unique(row[similarities(sets, p, q) >= least])
+                    good[0].append(a[row])
+                    good[1].append(b[row])
+            yield _pairs_batch(*good)
 
     return run
 
 
-def likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures don't rule out the similarity; a sketch holds eight bits a coordinate."""
-    first = pairs.join(sketch, F.col("b") == F.col("n_doc")).select("a", "b", F.col("sketch").alias("sketch_b"))
-    both = first.join(sketch, F.col("a") == F.col("n_doc")).select("a", "b", F.col("sketch").alias("sketch_a"), "sketch_b")
-    return both.mapInArrow(_likely_batches(least), "a long, b long").distinct()
+def verify(pairs: DataFrame, texts: DataFrame, least: float, blocks: int, weighted: bool = False) -> DataFrame:
+    """The pairs (a, b) of documents whose (doc, text) have at least this similarity; documents fall into ``blocks`` by hash."""
+    block = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(blocks))
+    grouped = pairs.select((F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("group"), "a", "b")
+    needs = grouped.select("group", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    rows = needs.join(texts, "doc").select("group", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(grouped.withColumn("text", F.lit(None).cast("string")))
+    return rows.repartition("group").sortWithinPartitions("group", F.col("b").isNotNull()).mapInArrow(_verify_batches(least, weighted), "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of doc ids whose texts have at least this similarity."""
-    one = texts.select(F.col("doc").alias("t_doc"), F.col("text").alias("t_text"))
-    first = pairs.join(one, F.col("b") == F.col("t_doc")).select("a", "b", F.col("t_text").alias("text_b"))
-    both = first.join(one, F.col("a") == F.col("t_doc")).select("a", "b", F.col("t_text").alias("text_a"), "text_b")
-    return both.mapInArrow(_verify_batches(least), "a long, b long").distinct()
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as its number of rows asks for."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, class) of every node in an edge (a, b): the smallest node that it is connected to."""
-    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
+def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(node, class) of every node in a link (a, b): the smallest node that it is connected to."""
+    links = links.where("a <> b")
+    edges = scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-0")
+    turn, seen, n = 0, None, edges.count()
+    while n:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = few(both.groupBy("a").agg(F.min("b").alias("m")), n).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), F.col("b"))
-        large = large.where("a <> b").distinct()
+        large = few(large.where("a <> b").distinct(), n)
         down = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
         small = large.join(down, F.col("b") == F.col("u")).select(F.col("m").alias("x"), F.col("a").alias("y")).union(down.select(F.col("m").alias("x"), F.col("u").alias("y")))
-        edges = materialize(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        small = few(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), n).distinct()
+        turn += 1
+        edges = scratch.table(few(small, n), f"{tag}-{turn}")
+        scratch.drop(f"{tag}-{turn - 1}")
+        n, *rest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, rest) == seen:
             break
-        seen = now
-    return edges.groupBy("b").agg(F.min("a").alias("class")).select(F.col("b").alias("node"), "class").union(edges.select(F.col("a").alias("node"), F.col("a").alias("class")).distinct())
+        seen = n, rest
+    classes = edges.groupBy("b").agg(F.min("a").alias("class")).select(F.col("b").alias("node"), "class")
+    return few(classes.union(edges.select(F.col("a").alias("node"), F.col("a").alias("class")).distinct()), n)
 
 
-def rest(named: DataFrame) -> tuple[DataFrame, int, int]:
-    """The (key, doc, class) rows of buckets of several classes without their smallest document, which turns 0 and 1 compared with all; their number, and that of their pairs across classes."""
-    sizes = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("low").alias("low")).where("n > 2 and own < n * n")
-    rows = named.join(buckets.select(F.col("key").alias("b_key"), "low", F.col("n").alias("size")), (F.col("key") == F.col("b_key")) & (F.col("doc") > F.col("low"))).select("key", "doc", "class", "size")
-    number, pairs = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - own) div 2")), F.lit(0))).first()
-    return rows, number, pairs
+def _keep_batches(held):
+    """The rows whose first column, an id, the filter may hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = _slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), len(held.value))
+            yield batch.filter(pa.array((held.value[at] & bits) == bits))
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of documents that share a bucket but no class; a bucket of n is dealt out over n / BLOCK keys."""
-    blocks = F.expr(f"cast(ceil(size / {BLOCK}) as int)")
-    one = rows.select(F.col("key").alias("o_key"), F.expr(f"pmod(xxhash64(doc), cast(ceil(size / {BLOCK}) as int))").cast("int").alias("o_block"), F.col("doc").alias("a"), F.col("class").alias("o_class"))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc").alias("b"), "class")
-    return one.join(two, (F.col("o_key") == F.col("key")) & (F.col("o_block") == F.col("block")) & (F.col("a") < F.col("b")) & (F.col("o_class") != F.col("class"))).select("a", "b").distinct()
+    return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of each row: documents of one class are copies or are linked by similar texts."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, weighted: bool = False) -> DataFrame:
+    """(doc_id, class_id) of each row: documents of one class are copies or are linked by similar texts.
+
+    With ``weighted`` a shingle weighs as often as it stands in the text.
+    """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "near")
     none = F.lit(-(1 << 63))
-    plain = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"))
-    banded = materialize(plain.select("text", "doc", F.unhex(F.md5("text")).alias("copy")).mapInArrow(_band_batches, "doc long, copy binary, bands array<long>, sketch binary"), "bands")
-    folded = banded.groupBy("copy").agg(F.min("doc").alias("node"))
-    nodes = materialize(banded.join(folded.withColumnRenamed("copy", "f_copy"), (F.col("copy") == F.col("f_copy")) & (F.col("doc") == F.col("node")), "left_semi").dropDuplicates(["doc", "copy"]).drop("copy"), "nodes")
-    sketch = nodes.select(F.col("doc").alias("n_doc"), "sketch")
-    spots = nodes.select("doc", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = spots.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select(F.col("key").alias("s_key"))
-    spots = materialize(spots.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "buckets")
-
-    links = classes = None
-    turn, last = 0, False
-    while not last:
-        rows = spots.where(F.col("band") < FIRST_BANDS) if turn == 0 else spots
-        if classes is None:
-            named = rows.select("key", "doc", F.col("doc").alias("class"))
-        else:
-            named = rows.join(classes, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("class", "doc").alias("class"))
-        if turn > 1:
-            left, number, number_of_pairs = rest(named)
-            last = not found or number_of_pairs <= PLENTY * number
-        if last:
-            pairs = cross_pairs(left)
-        else:
-            # the first two turns elect each bucket's smallest document, later ones a seeded one
-            rank = F.col("doc") if turn < 2 else F.xxhash64(F.lit(turn), "key", "doc")
-            elected = named.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc", "class")).alias("e"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-            elected = elected.select(F.col("key").alias("e_key"), F.col("e.doc").alias("pivot"), F.col("e.class").alias("e_class"))
-            rivals = named.join(elected, F.col("key") == F.col("e_key")).where("class <> e_class")
-            pairs = rivals.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        turn += 1
-        near = materialize(likely(pairs, sketch, least), "likely")
-        more = None if near.isEmpty() else materialize(verify(near, plain.select("doc", "text"), least), "links")
-        found = more is not None and not more.isEmpty()
-        if not found:
-            continue
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn, which tables have replaced
-        links = more if links is None else materialize(links.union(more), "links")
-        classes = components(links)
-    if classes is None:
-        classes = spark.createDataFrame([], "node long, class long")
-    members = banded.select("doc", "copy").join(folded.withColumnRenamed("copy", "f_copy"), F.col("copy") == F.col("f_copy")).select("doc", F.col("node").alias("m_node"))
+    plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    banded = plain.select("text", "doc", F.unhex(F.md5("text")).alias("copy")).mapInArrow(_band_batches(weighted), "doc long, copy binary, bands array<long>, sketch binary")
+    banded = scratch.table(banded, "banded")
+    members = banded.select("doc", "copy")
+    nodes = scratch.table(banded.groupBy("copy").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+
+    # documents that share a bucket, and their texts
+    spots = nodes.select(F.explode("bands").alias("key"), "node")
+    sizes = scratch.table(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    buckets = scratch.table(join_counted(spots, sizes, "key", "n"), "buckets")
+    scratch.drop("sizes")
+    ids = scratch.table(buckets.select("node").distinct(), "ids")
+    number = ids.count()
+    held = spark.sparkContext.broadcast(seen_filter(ids, filter_words(number, words_per_row=1)))
+    maybe = plain.mapInArrow(_keep_batches(held), "doc long, text string")
+    texts = scratch.table(maybe.join(ids.withColumnRenamed("node", "i_node"), F.col("doc") == F.col("i_node"), "left_semi").select("doc", "text").distinct(), "texts")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = int(max(1, -(-number // BLOCK), -(-size // BLOCK_BYTES)))
+    sketches = nodes.select("node", "sketch").mapInArrow(_keep_batches(held), "node long, sketch binary")
+    crowd = scratch.table(buckets.join(sketches, "node").select("key", "n", "node", "sketch"), "crowd")
+    scratch.drop("buckets")
+
+    k = BANDS * ROWS
+    deviation = k * math.sqrt(max(0.0, least * (1 - least)) / k)
+    in_block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int")
+    blocked = crowd.select("key", in_block.alias("block"), "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
+    forest = scratch.table(blocked.mapInArrow(_forest_batches(k * least - 2 * deviation), "a long, b long").distinct(), "forest")
+    links = verify(forest, texts, least, parts, weighted)
     # a doc_id with several texts unites their nodes
-    return (
-        members.join(classes, F.col("m_node") == F.col("node"), "left")
-        .select(F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), F.coalesce("class", "m_node").alias("class_id"))
-        .withColumn("class_id", F.when(F.col("class_id") != none, F.col("class_id")))
-    )
+    several = scratch.table(members.groupBy("doc").agg(F.min(F.xxhash64("copy")).alias("lo"), F.max(F.xxhash64("copy")).alias("hi")).where("lo < hi").select("doc"), "several")
+    if not several.isEmpty():
+        theirs = members.join(several, "doc").distinct().join(nodes.select("copy", "node"), "copy")
+        first = theirs.groupBy("doc").agg(F.min("node").alias("a"))
+        links = links.union(theirs.join(first, "doc").select("a", F.col("node").alias("b")))
+    classes = scratch.table(components(links, scratch, "first"), "classes")
+
+    named = crowd.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"), "sketch")
+    named = scratch.table(named, "named")
+    shares = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("most")).where("most.c < n").select("key", "n", F.col("most.class").alias("large"))
+    rows = join_counted(named, scratch.table(mixed, "mixed"), "key", "n")
+    several_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    at_home = F.array(F.struct(in_block.alias("block"), F.lit(0).alias("visits")))
+    away = F.when((several_blocks > 1) & (F.col("class") != F.col("large")), F.transform(F.sequence(F.lit(0), several_blocks - 1), lambda i: F.struct(i.cast("int").alias("block"), F.lit(1).alias("visits"))))
+    spread = rows.select("key", F.explode(F.concat(at_home, F.coalesce(away, F.array().cast("array<struct<block:int,visits:int>>")))).alias("p"), "node", "class", "large", "sketch")
+    spread = spread.select("key", "p.block", "p.visits", "node", "class", "large", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "visits")
+    across = scratch.table(spread.mapInArrow(_cross_batches(k * least - MARGIN * deviation), "a long, b long").distinct(), "across")
+    more = scratch.table(verify(across, texts, least, parts, weighted), "more")
+    class_of = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
+    between = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    united = scratch.table(components(between, scratch, "second").select(F.col("node").alias("u_node"), F.col("class").alias("u_class")), "united")
+
+    # copies of more than one row, and texts whose class is not their own id
+    known = nodes.select("copy", "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    known = known.join(united, F.col("class") == F.col("u_node"), "left").select("copy", "n", "node", F.coalesce("u_class", "class").alias("class_id")).where("n > 1 or node <> class_id").select("copy", "n", "class_id")
+    known = scratch.table(known, "known")
+    scratch.drop("nodes", "texts", "crowd", "named", "mixed", "forest", "across", "more", "ids", "several", "classes", "united")
+    return join_counted(members, known, "copy", "n", how="left").select(
+        F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id")
+    ).withColumn("class_id", F.when(F.col("class_id") != none, F.col("class_id")))

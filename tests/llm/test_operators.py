@@ -65,10 +65,68 @@ def test_near_duplicates_odd_rows(spark, odd):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()]
     assert len(got) == 11
     cls = dict(got)
-    assert cls[4] == cls[5] == 4 and cls[6] == cls[7] == 6
+    assert cls[4] == cls[5] == 4 and cls[6] == cls[7] == 6 and cls[None] is None
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id_share_a_class(spark):
+    one, two, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(2, one), (3, two), (5, one), (5, two), (7, other)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs).collect())) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7)]
+
+
+def test_weighted_near_duplicates(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + base[:5] * 30)), (3, " ".join(base + base[:5] * 31))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}  # as sets all alike
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, weighted=True).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_similarities_equal_brute_force():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 25))) for _ in range(30)]
+    pairs = [(i, j) for i in range(30) for j in range(30)]
+    for weighted in (False, True):
+        bags = []
+        for t in texts:
+            w = t.split()
+            bag = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            bags.append(bag if weighted else Counter(set(bag)))
+        got = near_dedup.similarities(near_dedup.shingle_sets([t.encode() for t in texts], weighted), *(np.array(x) for x in zip(*pairs, strict=True)))
+        assert got == pytest.approx([sum((bags[i] & bags[j]).values()) / sum((bags[i] | bags[j]).values()) for i, j in pairs])
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_duplicates_of_drifting_copies(spark, monkeypatch, block):
+    """A chain of copies, each like the next and unlike most others, among unlike texts of one template."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(200)]
+    rows, ids = [], rng.sample(range(10**6), 160)
+    for i in range(120):
+        words = list(words)
+        for j in range(4):
+            words[(7 * i + 3 * j) % 200] = f"n{i}x{j}"
+        rows.append((ids[i], " ".join(words)))
+    rows += [(ids[120 + i], " ".join(w if k % 6 else f"u{i}y{k}" for k, w in enumerate(words))) for i in range(40)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = dict(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {i: find(i) for i in sets}
+
+
 def template_texts(groups: int, planted: int) -> list[tuple[int, str]]:
     """Texts on one template with mutual similarity near 0.7, and copies of the last ones at 0.81, all with random ids."""
     rng = random.Random(7)
@@ -203,7 +261,7 @@ def test_crafted_texts_are_told_apart():
     one, two = thue_morse(2048)
     text = " ".join(f"w{i}" for i in range(7)) + f" {one} " + " ".join(f"w{i}" for i in range(7)) + f" {two}"
     assert quality_rules.statistics(*byte_columns(pa.array([text])))[0][0].tolist() == brute_counts(text)
-    assert near_dedup.jaccard(pa.array([one]), pa.array([two]))[0] == 0
+    assert near_dedup.similarities(near_dedup.shingle_sets([one.encode(), two.encode()]), np.array([0]), np.array([1]))[0] == 0
     data, offsets = byte_columns(pa.array([one, two]))
     assert len(set(suffix_dedup.occurrences(data, offsets)[4].tolist())) > 1
 
@@ -363,7 +421,7 @@ def test_a_very_long_word_is_encoded_in_linear_time(encoder):
     want = encoder.tok.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == encoder.tok.decode(want, skip_special_tokens=False)
     assert took < 3 * (time.perf_counter() - begin) + 5
-    assert encoder.word_bytes < encoder.most_word_bytes and max(map(len, encoder.words)) <= bpe_chunks.LONG
+    assert encoder.word_bytes < encoder.most_word_bytes and max(map(len, encoder.words), default=0) <= bpe_chunks.LONG
 
 
 def test_encoding_odd_rows(odd):
