@@ -13,11 +13,11 @@ weight 1 (Jaccard similarity of sets) or, with ``weighted``, with their number i
    their ids keeps all other texts out of the shuffle.
 3. Forest: within each block of a bucket a maximum spanning forest of the estimated similarities
    gives fewer pairs than documents. The pairs are verified, and verified links become classes.
-4. Cross pairs: every pair of a bucket that is still in two classes is compared by its signatures, the largest class
-   of a bucket against all others and those among themselves, in blocks; what the estimate does not rule out is verified.
-   So no pair of a bucket is left out, and pairs inside a class are never listed.
-5. Verification brings the pairs of one block of documents and their texts together, so a text travels once a
-   block and not once a pair; shingles are compared by 64-bit hashes.
+4. Every pair of a bucket that is still in two classes is compared inside a task, the largest class
+   of a bucket against all others and those among themselves, in blocks: first by signatures, then, where they leave
+   it open, by the shingles of the texts. So no pair of a bucket is left out; only documents in doubt and links
+   that join two classes leave the task, pairs are never listed.
+5. The forest's pairs are verified with the texts of their blocks of documents; shingles are compared by 64-bit hashes.
 
 Hot buckets and hot copies: aggregates combine before the shuffle, buckets are dealt out in blocks, and
 keys that hold more than a thousandth of the rows are broadcast (fewer than a thousand of them).
@@ -268,55 +268,119 @@ def _forest_batches(least: float):
     return run
 
 
-def _cross_batches(least: float):
-    """Rows (key, block, visits, node, class, largest class, sketch) come sorted by the first three: a block's own documents, then those that visit it.
+def _parts(part: list[dict]) -> dict:
+    """One block's documents that came in several batches."""
+    if len(part) == 1:
+        return part[0]
+    return {c: sum((p[c] for p in part), []) if isinstance(part[0][c], list) else np.concatenate([p[c] for p in part]) for c in part[0]}
 
-    A bucket of one block has no visitors; its documents are compared among themselves.
+
+def _meetings(batches: Iterator[pa.RecordBatch], least: float, weighted: bool = False, guests: int = 1024) -> Iterator[tuple[bool, dict, dict, np.ndarray, np.ndarray]]:
+    """Rows (key, block, visits, node, class, largest class, sketch[, text]) come sorted by the first three: a block's own documents, then those that visit it.
+
+    Yields (whether the block is new, its documents, those met, and the pairs of places whose classes differ and whose
+    signatures agree in at least ``least`` coordinates). A bucket of one block has no visitors; its documents meet
+    among themselves. Of two visitors that are both outside the largest class, one visit counts.
     """
+    names = ("key", "block", "visits", "node", "cls", "large")
+    last, home, visited, new = None, [], False, True
+
+    def meet(one: dict, two: dict, *, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [], []
+        outside = one["cls"] != one["large"]
+        for i in range(len(two["node"])):
+            use = one["cls"] != two["cls"][i]
+            if same:
+                use[i:] = False
+            else:
+                use &= ~outside | (one["node"] < two["node"][i])
+            pick = np.flatnonzero(use)
+            if len(pick):
+                pick = pick[(one["sketch"][pick] == two["sketch"][i]).sum(axis=1) >= least]
+                left.append(pick)
+                right.append(np.full(len(pick), i))
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+        columns["sketch"] = byte_columns(batch.column(6))[0].reshape(batch.num_rows, -1)
+        for x, y in _runs([columns[n] for n in names[:3]]):
+            if (columns["key"][x], columns["block"][x]) != last:
+                if home and not visited:
+                    own = _parts(home)
+                    yield (True, own, own, *meet(own, own, same=True))
+                last, home, visited, new = (columns["key"][x], columns["block"][x]), [], False, True
+            own_block = not columns["visits"][x]
+            for lo in range(x, y, guests):
+                hi = min(lo + guests, y)
+                part = {n: c[lo:hi] for n, c in columns.items()}
+                if batch.num_columns > 7:
+                    part["sets"] = shingle_sets([t.as_py() for t in batch.column(7).slice(lo, hi - lo).cast(pa.binary())], weighted)
+                if own_block:
+                    home.append(part)
+                elif home:
+                    home = [_parts(home)]
+                    yield (new, home[0], part, *meet(home[0], part, same=False))
+                    new = False
+                visited |= not own_block
+    if home and not visited:
+        own = _parts(home)
+        yield (True, own, own, *meet(own, own, same=True))
+
+
+def _doubt_batches(least: float):
+    """Of a block's rows those that have a partner of another class which the signatures don't rule out; at most the rows that came."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+    def rows(part: dict, at: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(part[n][at], k) for n, k in zip(("key", "block", "visits", "node", "cls", "large"), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in part["sketch"][at]], pa.binary())], ["key", "block", "visits", "node", "class", "large", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, home, visited = None, [], False
+        told: set[int] = set()
+        for new, home, guests, left, right in _meetings(batches, least):
+            if new:
+                told = set()
+            same = home is guests
+            own = np.unique(np.concatenate([left, right]) if same else left)
+            own = np.array([i for i in own if i not in told], np.int64)
+            told.update(own.tolist())
+            yield rows(home, own)
+            if not same:
+                yield rows(guests, np.unique(right))
 
-        def compare(a: list, b: list, one: int, node, cls, large, sketch, rows: np.ndarray, homes) -> None:
-            ids, classes, _, sketches = homes
-            pick = np.flatnonzero(rows & (classes != cls[one]))
-            if len(pick):
-                close = pick[(sketches[pick] == sketch[one]).sum(axis=1) >= least]
-                a.append(ids[close])
-                b.append(np.full(len(close), node[one]))
-
-        def inside(a: list, b: list) -> None:
-            if home and not visited:
-                own = tuple(np.concatenate([h[i] for h in home]) for i in range(4))
-                before = np.zeros(len(own[0]), bool)
-                for i in range(len(own[0])):
-                    compare(a, b, i, *own, before, own)
-                    before[i] = True
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, block, visits, node, cls, large = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            sketch = byte_columns(batch.column(6))[0].reshape(len(key), -1)
+
+def _settle_batches(screen: float, least: float, weighted: bool):
+    """The verified links of each block that join classes, one for each join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for new, home, guests, left, right in _meetings(batches, screen, weighted):
+            if new:
+                root.clear()
+            same = home is guests
+            sets = home["sets"] if same else [*home["sets"], *guests["sets"]]
             a, b = [], []
-            for x, y in _runs([key, block, visits]):
-                if (key[x], block[x]) != last:
-                    inside(a, b)
-                    last, home, visited = (key[x], block[x]), [], False
-                part = node[x:y], cls[x:y], large[x:y], sketch[x:y]
-                if not visits[x]:
-                    home.append(part)
-                    continue
-                visited = True
-                if len(home) > 1:
-                    home = [tuple(np.concatenate([h[i] for h in home]) for i in range(4))]
-                for i in range(y - x if home else 0):
-                    # two that are both outside the largest class visit each other: one visit will do
-                    compare(a, b, i, *part, (home[0][1] == home[0][2]) | (home[0][0] < part[0][i]), home[0])
+            if len(left):
+                at = right if same else right + len(home["sets"])
+                for i in np.flatnonzero(similarities(sets, at, left) >= least).tolist():
+                    one, two = find(int(home["cls"][left[i]])), find(int(guests["cls"][right[i]]))
+                    if one != two:
+                        root[max(one, two)] = min(one, two)
+                        a.append(home["node"][left[i] : left[i] + 1])
+                        b.append(guests["node"][right[i] : right[i] + 1])
             yield _pairs_batch(a, b)
-        a, b = [], []
-        inside(a, b)
-        yield _pairs_batch(a, b)
 
     return run
 
@@ -458,8 +522,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     away = F.when((several_blocks > 1) & (F.col("class") != F.col("large")), F.transform(F.sequence(F.lit(0), several_blocks - 1), lambda i: F.struct(i.cast("int").alias("block"), F.lit(1).alias("visits"))))
     spread = rows.select("key", F.explode(F.concat(at_home, F.coalesce(away, F.array().cast("array<struct<block:int,visits:int>>")))).alias("p"), "node", "class", "large", "sketch")
     spread = spread.select("key", "p.block", "p.visits", "node", "class", "large", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "visits")
-    across = scratch.table(spread.mapInArrow(_cross_batches(k * least - MARGIN * deviation), "a long, b long").distinct(), "across")
-    more = scratch.table(verify(across, texts, least, parts, weighted), "more")
+    screen = k * least - MARGIN * deviation
+    doubt = scratch.table(spread.mapInArrow(_doubt_batches(screen), "key long, block int, visits int, node long, class long, large long, sketch binary"), "doubt")
+    settled = doubt.join(texts.withColumnRenamed("doc", "node"), "node").select("key", "block", "visits", "node", "class", "large", "sketch", "text")
+    settled = settled.repartition("key", "block").sortWithinPartitions("key", "block", "visits")
+    more = scratch.table(settled.mapInArrow(_settle_batches(screen, least, weighted), "a long, b long").distinct(), "more")
     class_of = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
     between = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     united = scratch.table(components(between, scratch, "second").select(F.col("node").alias("u_node"), F.col("class").alias("u_class")), "united")
@@ -468,7 +535,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = nodes.select("copy", "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     known = known.join(united, F.col("class") == F.col("u_node"), "left").select("copy", "n", "node", F.coalesce("u_class", "class").alias("class_id")).where("n > 1 or node <> class_id").select("copy", "n", "class_id")
     known = scratch.table(known, "known")
-    scratch.drop("nodes", "texts", "crowd", "named", "mixed", "forest", "across", "more", "ids", "several", "classes", "united")
+    scratch.drop("nodes", "texts", "crowd", "named", "mixed", "forest", "doubt", "more", "ids", "several", "classes", "united")
     return join_counted(members, known, "copy", "n", how="left").select(
         F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id")
     ).withColumn("class_id", F.when(F.col("class_id") != none, F.col("class_id")))
