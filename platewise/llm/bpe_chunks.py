@@ -14,7 +14,8 @@ are memoised, so only new words reach the tokenizer. Caches are bounded by their
 words over ``LONG`` bytes are encoded but not kept; no text is shuffled.
 
 Defined cases: a null text is an empty one, with no ids and an empty decoded text; rows are
-independent, so repeated rows give equal results; further columns are carried through.
+independent, so repeated rows give equal results; further columns are carried through, but for those with the name of
+an added column, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from platewise.llm.columns import carried, schema_of
 from platewise.llm.text_arrays import blocks, rolling_hash
 
 WINDOW = 16
@@ -232,11 +234,12 @@ def tokenizer_text(path: str) -> str:
 def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, then bp_n_tokens, bp_ids_sha256, bp_decoded_sha256 (and bp_ids)."""
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
-    rest = [c for c in docs.columns if c != text]
+    extra = ["bp_n_tokens long", "bp_ids_sha256 string", "bp_decoded_sha256 string", *(["bp_ids binary"] if keep_ids else [])]
+    added = [x.split(" ")[0] for x in extra]
+    rest = carried(docs, added, text)
     names = ["bp_text", *(f"c{i}" for i in range(len(rest)))]
     plain = docs.select(text, *rest).toDF(*names)
-    extra = ["bp_n_tokens long", "bp_ids_sha256 string", "bp_decoded_sha256 string", *(["bp_ids binary"] if keep_ids else [])]
-    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names[1:], rest, strict=True)), *extra])
+    schema = ", ".join([*schema_of(docs, rest), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -265,7 +268,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
                         all_ids.append(ids)
                 cols = [*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
                 cols += [pa.array(all_ids, pa.binary())] if keep_ids else []
-                yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays(cols, [*names[1:], *added])
 
     out = plain.mapInArrow(run, schema)
-    return out.toDF(*rest, *(x.split(" ")[0] for x in extra))
+    return out.toDF(*rest, *added)

@@ -12,7 +12,8 @@ pass without a shuffle.
 
 Defined cases: a null or empty text has the features of an empty one; unknown or null
 metadata are a value of their own; without labels of both kinds every document is kept with
-score 1; repeated rows get equal results; further columns are carried through.
+score 1; repeated rows get equal results; further columns are carried through, but for those with the name of an
+added column, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.llm.columns import carried, schema_of
 from platewise.llm.logistic import Logistic, sigmoid
 from platewise.llm.quality_rules import FEATURES, statistics
 from platewise.llm.sampling import labelled_sample, unlabelled_sample
@@ -37,6 +39,7 @@ _CLASS[[9, 11, 12, 13, 32]], _CLASS[10] = 3, 4
 for _i, _signs in enumerate((b".,", b"!?", b"#*", b"$%", b"&|", b"<>=/", b"'\"`", b"()[]{}", b"-_", b":;@^~+\\")):
     _CLASS[list(_signs)] = 6 + _i
 CLASSES = 16
+ADDED = ("ct_text_score", "ct_meta_score", "ct_score", "ct_kept")
 META = 32
 N_TEXT, N_META = len(FEATURES) + CLASSES * CLASSES, 2 * META + 2
 
@@ -142,9 +145,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabe
 
 def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 2000) -> DataFrame:
     """All columns of ``docs``, then ct_text_score, ct_meta_score, ct_score (higher is better) and ct_kept."""
-    held = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, labelled, unlabelled))
-    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)]
-    names = [*(x.split(" ")[0] for x in fields), "ct_text_score", "ct_meta_score", "ct_score", "ct_kept"]
+    inputs = docs.select(*(c for c in ("doc_id", "text", "lang", "source") if c in docs.columns))
+    held = docs.sparkSession.sparkContext.broadcast(fit_quality(inputs, labels, labelled, unlabelled))
+    columns = carried(docs, ADDED)
+    fields = schema_of(docs, columns)
+    names = [*(f"c{i}" for i in range(len(columns))), *ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -160,4 +165,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, u
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[3:]), pa.array(one), pa.array(two), pa.array(score), pa.array(kept)], names)
 
     schema = ", ".join([*fields, "ct_text_score double", "ct_meta_score double", "ct_score double", "ct_kept boolean"])
-    return _prepare(docs, docs.columns).mapInArrow(run, schema).toDF(*docs.columns, *names[len(fields) :])
+    return _prepare(docs, columns).mapInArrow(run, schema).toDF(*columns, *ADDED)

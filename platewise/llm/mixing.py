@@ -8,7 +8,8 @@ exact for overlapping sources. Patterns go to the driver; documents never do.
 
 Whole documents are then selected in seeded hash order. Within a pattern they fall into four
 size classes; from the largest class to the smallest each takes its share and passes what
-it missed on, so the total errs by about half a small document. Running totals are taken within
+it missed on. Then, ``REPAIRS`` times, each pattern takes or gives back the one document that brings it
+nearest to its flow, so that small sources come near their targets too. Running totals are taken within
 hash buckets and lifted by bucket offsets, so a hot source is not one task.
 
 Defined cases: a null or empty text has size 0 and is not taken; a null source is the last
@@ -30,7 +31,8 @@ from platewise.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower bounds of the size classes in words, largest first.
 CLASSES = (4096, 512, 64, 0)
-BUCKETS = 1024
+#: Documents that each pattern may exchange at the end.
+REPAIRS = 4
 
 
 def n_words(text: Column) -> Column:
@@ -109,6 +111,16 @@ def min_cost_flow(capacity: dict[str, int], members: dict[str, list], quota: dic
     return out
 
 
+def _swapped(placed: DataFrame, swaps: list[tuple[str, int, int]]) -> DataFrame:
+    """mx_extra turned over for the documents in ``swaps``, which pattern, class and words before name; an even number of times is none."""
+    odd = sorted({s for s in swaps if swaps.count(s) % 2})
+    if not odd:
+        return placed
+    marks = placed.sparkSession.createDataFrame(odd, "s_pattern string, s_class int, s_before long")
+    same = (F.col("mx_pattern") == F.col("s_pattern")) & (F.col("mx_class") == F.col("s_class")) & (F.col("mx_before") == F.col("s_before")) & (F.col("mx_size") > 0)
+    return placed.join(F.broadcast(marks), same, "left").withColumn("mx_extra", F.col("mx_extra") != F.col("s_pattern").isNotNull()).drop("s_pattern", "s_class", "s_before")
+
+
 def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42) -> DataFrame:
     """(mx_id, mx_size, mx_pattern, mx_source_size, mx_target, mx_copies) for each row of ``docs``.
 
@@ -170,9 +182,27 @@ def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         got = placed.where(F.col("mx_class") == c).join(F.broadcast(limits), ["mx_pattern", "mx_class"]).where(2 * F.col("mx_before") + F.col("mx_size") <= 2 * F.col("mx_want")).groupBy("mx_pattern").agg(F.sum("mx_size").alias("n"))
         for r in got.collect():
             carry[r.mx_pattern] -= r.n
+    limits = spark.createDataFrame(bounds, "mx_pattern string, mx_class int, mx_full int, mx_want long")
+    chosen = placed.join(F.broadcast(limits), ["mx_pattern", "mx_class"]).where("mx_size > 0")
+    chosen = chosen.withColumn("mx_extra", 2 * F.col("mx_before") + F.col("mx_size") <= 2 * F.col("mx_want"))
+    swaps: list[tuple[str, int, int]] = []
+    for _ in range(REPAIRS):
+        missing = [(p, float(r)) for p, r in carry.items() if r]
+        if not missing:
+            break
+        now = _swapped(chosen, swaps).join(F.broadcast(spark.createDataFrame(missing, "mx_pattern string, mx_missing double")), "mx_pattern")
+        change = F.when(F.col("mx_extra"), -F.col("mx_size")).otherwise(F.col("mx_size"))
+        left = F.abs(F.col("mx_missing") - change)
+        best = now.where(left < F.abs("mx_missing")).groupBy("mx_pattern").agg(F.min(F.struct(left.alias("left"), "mx_class", "mx_before", change.alias("change"))).alias("b")).select("mx_pattern", "b.*").collect()
+        for r in best:
+            carry[r.mx_pattern] -= r.change
+            swaps.append((r.mx_pattern, r.mx_class, r.mx_before))
+        if not best:
+            break
     rows = [(p, c, f, w, sizes[members[p][0]], target[members[p][0]]) for p, c, f, w in bounds]
     limits = spark.createDataFrame(rows, "mx_pattern string, mx_class int, mx_full int, mx_want long, mx_source_size long, mx_target double")
-    taken = (F.col("mx_size") > 0) & (2 * F.col("mx_before") + F.col("mx_size") <= 2 * F.col("mx_want"))
-    return placed.join(F.broadcast(limits), ["mx_pattern", "mx_class"]).select(
+    taken = (F.col("mx_size") > 0) & F.col("mx_extra")
+    placed = placed.join(F.broadcast(limits), ["mx_pattern", "mx_class"])
+    return _swapped(placed.withColumn("mx_extra", 2 * F.col("mx_before") + F.col("mx_size") <= 2 * F.col("mx_want")), swaps).select(
         "mx_id", "mx_size", "mx_pattern", "mx_source_size", "mx_target", F.when(F.col("mx_size") > 0, F.col("mx_full") + taken.cast("int")).otherwise(0).cast("int").alias("mx_copies")
     )

@@ -11,11 +11,11 @@ The score is calibrated on held-back training rows so that 0.5 is the threshold
 best; for each language a further threshold is calibrated on the same rows (``tx_threshold``, ``tx_flagged``). Language
 never enters the score.
 
-The sample is bounded (parameter) and seeded. Scoring is one pass without a shuffle.
+The sample is bounded (parameter) and seeded; labelled texts of more than ``LONGEST`` words are not learned from. Scoring is one pass without a shuffle.
 
 Defined cases: a text without words has the score that an empty text has; without
 labels of both kinds all scores are 0; a language without enough rows uses 0.5; repeated rows get
-equal results; further columns are carried through.
+equal results; further columns are carried through, but for those with the name of an added column, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.llm.columns import carried, schema_of
 from platewise.llm.logistic import Logistic, sigmoid
 from platewise.llm.sampling import labelled_sample
 from platewise.llm.text_arrays import LOWER, blocks, row_starts, word_hashes
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
+ADDED = ("tx_score", "tx_threshold", "tx_flagged")
+#: Words of the longest labelled text that is learned from; every text is scored whole.
+LONGEST = 200_000
 #: Rows that a bucket is taken to have seen at the overall rate.
 SMOOTH = 3
 _LETTERS = LOWER.copy()
@@ -173,7 +177,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only:
     drawn = labelled_sample(docs, labels, "toxic", sample, only=only)
     kind = docs.schema["doc_id"].dataType.simpleString()
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = drawn.select("text", "doc_id", lang, "sm_label").mapInArrow(_id_batches, f"doc_id {kind}, lang string, label int, ids binary").collect()
+    rows = drawn.select("text", "doc_id", lang, "sm_label").mapInArrow(_id_batches, f"doc_id {kind}, lang string, label int, ids binary").where(F.octet_length("ids") <= 4 * LONGEST).collect()
     rows.sort(key=lambda r: (str(r.doc_id), bytes(r.ids)))
     y = np.array([r.label for r in rows])
     if len(rows) < 10 or len(set(y.tolist())) < 2:
@@ -199,10 +203,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only: Column | None = None) -> DataFrame:
     """All columns of ``docs`` but the text, then tx_score, tx_threshold (of the language) and tx_flagged."""
-    held = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample, only))
-    rest = [c for c in docs.columns if c != "text"]
-    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
-    names = [*(x.split(" ")[0] for x in fields), "tx_score", "tx_threshold", "tx_flagged"]
+    inputs = docs.select(*(c for c in ("doc_id", "text", "lang") if c in docs.columns))
+    held = docs.sparkSession.sparkContext.broadcast(fit_toxicity(inputs, labels, sample, only))
+    rest = carried(docs, ADDED, "text")
+    fields = schema_of(docs, rest)
+    names = [*(f"c{i}" for i in range(len(rest))), *ADDED]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +225,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12000, only
 
     schema = ", ".join([*fields, "tx_score double", "tx_threshold double", "tx_flagged boolean"])
     plain = docs.select(F.col("text").alias("tx_text"), lang.alias("tx_lang"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
-    return plain.mapInArrow(run, schema).toDF(*rest, *names[len(rest) :])
+    return plain.mapInArrow(run, schema).toDF(*rest, *ADDED)
