@@ -82,7 +82,7 @@ class Chunk:
 class ChunkEncoder:
     """Encodes texts exactly as the tokenizer does, chunk by chunk."""
 
-    def __init__(self, tokenizer_json: str, mean: int = 2048, most_words: int = 300_000, most_bytes: int = 24 << 20, most_word_bytes: int = 48 << 20):
+    def __init__(self, tokenizer_json: str, mean: int = 2048, most_words: int = 220_000, most_bytes: int = 16 << 20, most_word_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -109,8 +109,10 @@ class ChunkEncoder:
         for piece in self.pattern.findall(text.lower()):
             got = self.pieces.get(piece)
             if got is None:
-                got = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+                got = array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))])
                 if len(piece) <= LONG:
+                    if len(self.pieces) >= self.most_words // 2:
+                        self.pieces.clear()
                     self.pieces[piece] = got
                     self.word_bytes += len(piece) + 8 * len(got)
             ids += got
@@ -244,31 +246,34 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         gc.disable()  # the memo holds many small objects and no cycles
-        for batch in batches:
-            if encoder is None:
-                encoder = ChunkEncoder(held.value)
-            for a, b, data, offsets in blocks(batch.column(0)):
-                raw = data.tobytes()
-                cuts = cut_points(data, encoder.mean)
-                counts, id_sums, text_sums, all_ids = [], [], [], []
-                at = np.searchsorted(cuts, offsets, "right")
-                pieces = []
-                for k in range(b - a):
-                    lo, hi = int(offsets[k]), int(offsets[k + 1])
-                    own = [lo, *(int(c) for c in cuts[at[k] : at[k + 1]] if lo + WINDOW <= c < hi), hi]
-                    pieces.append([raw[x:y] for x, y in zip(own, own[1:], strict=False) if y > x])
-                # the words of all new chunks at once; chunks that are known need no words
-                encoder.learn([w for own in pieces for p in own if p not in encoder.chunks for w in p.split() if len(w) <= LONG])
-                for own in pieces:
-                    ids, decoded = encoder.encode(own)
-                    counts.append(len(ids) // 4)
-                    id_sums.append(hashlib.sha256(ids).hexdigest())
-                    text_sums.append(hashlib.sha256(decoded).hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids)
-                cols = [*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
-                cols += [pa.array(all_ids, pa.binary())] if keep_ids else []
-                yield pa.RecordBatch.from_arrays(cols, [*names[1:], *added])
+        try:
+            for batch in batches:
+                if encoder is None:
+                    encoder = ChunkEncoder(held.value)
+                for a, b, data, offsets in blocks(batch.column(0)):
+                    raw = data.tobytes()
+                    cuts = cut_points(data, encoder.mean)
+                    counts, id_sums, text_sums, all_ids = [], [], [], []
+                    at = np.searchsorted(cuts, offsets, "right")
+                    pieces = []
+                    for k in range(b - a):
+                        lo, hi = int(offsets[k]), int(offsets[k + 1])
+                        own = [lo, *(int(c) for c in cuts[at[k] : at[k + 1]] if lo + WINDOW <= c < hi), hi]
+                        pieces.append([raw[x:y] for x, y in zip(own, own[1:], strict=False) if y > x])
+                    # the words of all new chunks at once; chunks that are known need no words
+                    encoder.learn([w for own in pieces for p in own if p not in encoder.chunks for w in p.split() if len(w) <= LONG])
+                    for own in pieces:
+                        ids, decoded = encoder.encode(own)
+                        counts.append(len(ids) // 4)
+                        id_sums.append(hashlib.sha256(ids).hexdigest())
+                        text_sums.append(hashlib.sha256(decoded).hexdigest())
+                        if keep_ids:
+                            all_ids.append(ids)
+                    cols = [*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
+                    cols += [pa.array(all_ids, pa.binary())] if keep_ids else []
+                    yield pa.RecordBatch.from_arrays(cols, [*names[1:], *added])
+        finally:
+            gc.enable()  # the worker may go on to other tasks
 
     out = plain.mapInArrow(run, schema)
     return out.toDF(*rest, *added)
