@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from platewise.llm.columns import carried, schema_of
-from platewise.llm.text_arrays import blocks, rolling_hash
+from platewise.llm.text_arrays import blocks, released, rolling_hash
 
 WINDOW = 16
 #: Longest word in bytes that the memo keeps, and words that a piece needs at least for both of its joins.
@@ -275,5 +275,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", k
         finally:
             gc.enable()  # the worker may go on to other tasks
 
-    out = plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(released(run), schema)
     return out.toDF(*rest, *added)

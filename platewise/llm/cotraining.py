@@ -30,7 +30,7 @@ from platewise.llm.columns import carried, schema_of
 from platewise.llm.logistic import Logistic, sigmoid
 from platewise.llm.quality_rules import FEATURES, statistics
 from platewise.llm.sampling import labelled_sample, unlabelled_sample
-from platewise.llm.text_arrays import blocks, code_points
+from platewise.llm.text_arrays import blocks, code_points, released
 
 #: Classes of bytes: letters by case, digits, blanks, line ends, non-ASCII, signs in small groups.
 _CLASS = np.full(256, 5, np.int64)
@@ -127,7 +127,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _collect(sample: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = _prepare(sample, ["doc_id", "sm_label"]).mapInArrow(_feature_batches, f"c0 {kind}, c1 int, own binary, meta binary").collect()
+    rows = _prepare(sample, ["doc_id", "sm_label"]).mapInArrow(released(_feature_batches), f"c0 {kind}, c1 int, own binary, meta binary").collect()
     rows.sort(key=lambda r: (str(r.c0), bytes(r.own), bytes(r.meta)))
     view = lambda name, n: np.array([np.frombuffer(bytes(r[name]), np.float32) for r in rows], np.float64).reshape(len(rows), n)
     return np.array([r.c1 if r.c1 is not None else -1 for r in rows]), (view("own", N_TEXT), view("meta", N_META))
@@ -165,4 +165,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, u
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[3:]), pa.array(one), pa.array(two), pa.array(score), pa.array(kept)], names)
 
     schema = ", ".join([*fields, "ct_text_score double", "ct_meta_score double", "ct_score double", "ct_kept boolean"])
-    return _prepare(docs, columns).mapInArrow(run, schema).toDF(*columns, *ADDED)
+    return _prepare(docs, columns).mapInArrow(released(run), schema).toDF(*columns, *ADDED)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.columns import carried, join_counted, schema_of
-from platewise.llm.text_arrays import byte_columns, mix, slices, span_hash
+from platewise.llm.text_arrays import byte_columns, mix, released, slices, span_hash
 from platewise.session import materialize
 
 #: Fixed value: the white space that is stripped.
@@ -46,7 +46,7 @@ ADDED = ("ld_text", "ld_lines", "ld_dropped")
 def line_keys(column: pa.Array, min_chars: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
     """(first row, end row, lines of each row, row of each key, keys) of bounded runs of rows; keys that are long enough to count."""
     column = column.cast(pa.large_string()).fill_null("")
-    for a, b in slices(byte_columns(column)[1], 1 << 22):
+    for a, b in slices(byte_columns(column)[1]):
         lines = pc.split_pattern(column.slice(a, b - a), "\n")
         numbers = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         keys = pc.ascii_lower(pc.ascii_trim(lines.flatten(), characters=STRIPPED))
@@ -223,10 +223,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     spark = docs.sparkSession
     body = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("d"))
-    twice = spark.sparkContext.broadcast(twice_seen_filter(body.select("text").mapInArrow(_hash_batches(min_chars), "h long"), filter_words(docs.count())))
+    twice = spark.sparkContext.broadcast(twice_seen_filter(body.select("text").mapInArrow(released(_hash_batches(min_chars)), "h long"), filter_words(docs.count())))
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    suspects = materialize(body.mapInArrow(_pair_batches(twice, min_chars), f"d {kind}, key binary"), "suspects")
+    suspects = materialize(body.mapInArrow(released(_pair_batches(twice, min_chars)), f"d {kind}, key binary"), "suspects")
     one_doc = F.struct("d")  # a null id is a document too
     confirmed = materialize(suspects.groupBy("key").agg(F.countDistinct(one_doc).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs), "confirmed")
     drops = join_counted(suspects, confirmed, "key", "n").where(~F.col("d").eqNullSafe(F.col("last"))).groupBy("d").agg(F.collect_set("key").alias("ld_drops")).withColumnRenamed("d", "ld_id")
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     plain = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
     fields, at = schema_of(docs, columns), columns.index(text)
     final, final_names = ", ".join([*fields, "ld_text string, ld_lines long, ld_dropped long"]), [*names, *ADDED]
-    clean = plain.mapInArrow(_side_batches(twice, min_chars, at, final_names, suspected=False), final)
-    dirty = plain.mapInArrow(_side_batches(twice, min_chars, at, names, suspected=True), ", ".join(fields))
+    clean = plain.mapInArrow(released(_side_batches(twice, min_chars, at, final_names, suspected=False)), final)
+    dirty = plain.mapInArrow(released(_side_batches(twice, min_chars, at, names, suspected=True)), ", ".join(fields))
     joined = dirty.join(drops, F.col(names[columns.index(doc_id)]).eqNullSafe(F.col("ld_id")), "left").select(*names, "ld_drops")
-    return clean.unionByName(joined.mapInArrow(_drop_batches(at, final_names), final)).toDF(*columns, *ADDED)
+    return clean.unionByName(joined.mapInArrow(released(_drop_batches(at, final_names)), final)).toDF(*columns, *ADDED)

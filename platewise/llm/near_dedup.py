@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.columns import join_counted
 from platewise.llm.line_dedup import _slots, filter_words, seen_filter
-from platewise.llm.text_arrays import blocks, byte_columns, mix, row_starts, word_hashes
+from platewise.llm.text_arrays import blocks, byte_columns, mix, released, row_starts, word_hashes
 from platewise.session import Scratch
 
 BANDS, ROWS, SHINGLE = 28, 6, 5
@@ -425,7 +425,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, blocks: int, weight
     needs = grouped.select("group", F.explode(F.array("a", "b")).alias("doc")).distinct()
     rows = needs.join(texts, "doc").select("group", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(grouped.withColumn("text", F.lit(None).cast("string")))
-    return rows.repartition("group").sortWithinPartitions("group", F.col("b").isNotNull()).mapInArrow(_verify_batches(least, weighted), "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", F.col("b").isNotNull()).mapInArrow(released(_verify_batches(least, weighted)), "a long, b long").distinct()
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -477,7 +477,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "near")
     none = F.lit(-(1 << 63))
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    banded = plain.select("text", "doc", F.unhex(F.md5("text")).alias("copy")).mapInArrow(_band_batches(weighted), "doc long, copy binary, bands array<long>, sketch binary")
+    banded = plain.select("text", "doc", F.unhex(F.md5("text")).alias("copy")).mapInArrow(released(_band_batches(weighted)), "doc long, copy binary, bands array<long>, sketch binary")
     banded = scratch.table(banded, "banded")
     members = banded.select("doc", "copy")
     nodes = scratch.table(banded.groupBy("copy").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
@@ -490,7 +490,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids = scratch.table(buckets.select("node").distinct(), "ids")
     number = ids.count()
     held = spark.sparkContext.broadcast(seen_filter(ids, filter_words(number, words_per_row=1)))
-    maybe = plain.mapInArrow(_keep_batches(held), "doc long, text string")
+    maybe = plain.mapInArrow(released(_keep_batches(held)), "doc long, text string")
     texts = scratch.table(maybe.join(ids.withColumnRenamed("node", "i_node"), F.col("doc") == F.col("i_node"), "left_semi").select("doc", "text").distinct(), "texts")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(max(1, -(-number // BLOCK), -(-size // BLOCK_BYTES)))
@@ -523,10 +523,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = rows.select("key", F.explode(F.concat(at_home, F.coalesce(away, F.array().cast("array<struct<block:int,visits:int>>")))).alias("p"), "node", "class", "large", "sketch")
     spread = spread.select("key", "p.block", "p.visits", "node", "class", "large", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "visits")
     screen = k * least - MARGIN * deviation
-    doubt = scratch.table(spread.mapInArrow(_doubt_batches(screen), "key long, block int, visits int, node long, class long, large long, sketch binary"), "doubt")
+    doubt = scratch.table(spread.mapInArrow(released(_doubt_batches(screen)), "key long, block int, visits int, node long, class long, large long, sketch binary"), "doubt")
     settled = doubt.join(texts.withColumnRenamed("doc", "node"), "node").select("key", "block", "visits", "node", "class", "large", "sketch", "text")
     settled = settled.repartition("key", "block").sortWithinPartitions("key", "block", "visits")
-    more = scratch.table(settled.mapInArrow(_settle_batches(screen, least, weighted), "a long, b long").distinct(), "more")
+    more = scratch.table(settled.mapInArrow(released(_settle_batches(screen, least, weighted)), "a long, b long").distinct(), "more")
     class_of = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
     between = more.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     united = scratch.table(components(between, scratch, "second").select(F.col("node").alias("u_node"), F.col("class").alias("u_class")), "united")

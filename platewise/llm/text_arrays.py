@@ -6,7 +6,9 @@ bytes outside space and 0x09-0x0D, the class ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,22 @@ _SIZE_SALT = np.uint64(0xD6E8FEB86659FD93)
 _LANE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system at its end: Python workers live on and idle ones count too."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     x = x ^ (x >> np.uint64(30))
