@@ -44,6 +44,9 @@ CATEGORY_RULES = [
     (("coffee", "tea", "juice", "shake", "smoothie", "drink", "cocktail"), (40, 120, 260)),
     (("seafood", "fish", "steak", "grill"), (260, 430, 700)),
 ]
+# Ranges by the section alone, where no keyword stands in the text, and what words of the text add.
+SECTION_RANGES = [(("dessert",), (240, 380, 620)), (("drink", "coffee", "tea"), (40, 120, 260))]
+TEXT_MODIFIERS = [(("fried", "crispy"), (60, 100, 160)), (("double", "loaded"), (80, 130, 200)), (("mini", "small"), (-40, -50, -60))]
 DEFAULT_RANGE = (220, 360, 560)
 # What an ingredient adds to (low, mid, high).
 CALORIE_ADJUSTMENTS = {
