@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.catalog import QUERIES
 from platewise.functions import lexicon as L
-from platewise.plans.base import any_of, category, evidence, sql_query
+from platewise.functions.dialect import SPARK
+from platewise.operators import recommend
+from platewise.operators.recommend import Request
+from platewise.plans.base import any_of, category, evidence, sql_query, statement, views
 
 FULL = "lower(concat_ws(' ', nullif(trim(dish_name), ''), nullif(trim(description), ''), nullif(trim(section), '')))"
 
@@ -75,10 +82,33 @@ sql_query("seed_enrichment", lambda d: f"""
 select id, count(*) as n, round(sum(kcal * serving / 100), 3) as mid, 'seeded from gold data' as note from ({evidence(d)}) e
 join (select * from (values {', '.join(f"('{k}', {c}e0, {g}e0)" for k, (c, g) in L.NUTRITION.items())}) as n(ingredient, kcal, serving)) n using (ingredient) group by id""")
 
+#: What the ranking queries ask for; their SQL spells it out.
+REQUEST = Request(
+    craving_text="spicy chicken rice salad", liked_terms=("chicken", "rice"), disliked_terms=("tofu",), excluded_allergens=("egg",), required_diet_flags=("vegetarian", "vegan"),
+    preferred_sections=("economy", "small"), excluded_sections=("promo",), max_price=20, max_calories=600,
+)
+
+
+def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dishes over ``part`` with the columns that the recommendation takes."""
+    views(spark, sf_dir)
+    items = spark.sql(statement(SPARK, lambda d: "select * from items"))
+    names = {"id": "local_id", "price": "price_value", "cal_mid": "calories_mid", "cal_low": "calories_low", "nut_conf": "nutrition_confidence", "conf": "parser_confidence"}
+    return items.withColumnsRenamed(names).withColumns({"explicit_allergens": F.array("allergen"), "diet_flags": F.create_map(F.lit("vegetarian"), "vegetarian", F.lit("vegan"), "vegan")})
+
+
+def by_request(name: str, run) -> None:
+    """Run a query by the operators; the SQL that is registered for it checks them in the other engine."""
+    QUERIES[name] = lambda spark, sf_dir: run(dishes(spark, sf_dir))
+
+
 CALORIES = "case when cal_mid is null then 'unknown' when cal_mid <= 600 then 'within' when nut_conf >= 0.75e0 then 'exceeds' when cal_low > 600 then 'exceeds' else 'uncertain' end"
-KEEP = f"""lower(allergen) <> 'egg' and not (coalesce(lower(section), '') in ('promo')) and not contains(lower(dish_name), 'tofu')
-  and coalesce(price <= 20, true) and {CALORIES} <> 'exceeds'"""
-sql_query("filter_constraints", lambda d: f"select id, {CALORIES} as calorie_status, price from items where {KEEP} and (vegetarian or vegan)")
+KEEP = f"""lower(allergen) <> 'egg' and not (coalesce(lower(section), '') in ('promo')) and not contains({FULL}, 'tofu')
+  and coalesce(price <= 20, true) and {CALORIES} <> 'exceeds' and vegetarian and vegan"""
+sql_query("filter_constraints", lambda d: f"select id, {CALORIES} as calorie_status, price from items where {KEEP}")
+
+
+by_request("filter_constraints", lambda items: recommend.allowed(items, REQUEST).select(F.col("local_id").alias("id"), "calorie_status", F.col("price_value").alias("price")))
 
 
 def scored(d) -> str:
@@ -99,11 +129,11 @@ def scored(d) -> str:
 from (select *, {CALORIES} as status from items where {KEEP}) c"""
 
 
-def tfidf(d, source: str) -> str:
+def tfidf(d, source: str, query: str = "spicy chicken rice salad") -> str:
     """(id, semantic): cosine of TF-IDF rows, 1- and 2-grams, smooth idf, the query being one of the texts."""
     words = d.every("t", "[a-z0-9][a-z0-9]+")
     return f"""
-docs as (select id, {FULL} as t from {source} union all select -1 as id, 'spicy chicken rice salad' as t),
+docs as (select id, {FULL} as t from {source} union all select -1 as id, '{query}' as t),
 w as (select id, {d.posexplode(words, 'pos', 'term')} from docs),
 g as (select id, term from w union all select a.id, concat(a.term, ' ', b.term) as term from w a join w b on a.id = b.id and a.pos + 1 = b.pos),
 tf as (select id, term, count(*) as n from g group by id, term),
@@ -116,10 +146,11 @@ semantic as (select v.id, sum(x / len * y) as s from v join norm on v.id = norm.
 
 sql_query("rule_score", lambda d: f"select id, round(rule + 1e-9, 4) as rule, reasons, case when rule >= 0.68e0 then 'Strong match' when rule >= 0.40e0 then 'Good match' else 'Weak match' end as label from ({scored(d)}) s")
 sql_query("tfidf_scores", lambda d: f"with {tfidf(d, 'items')} select id, round(s, 6) as score from semantic")
+by_request("tfidf_scores", lambda items: recommend.tfidf_scores(items.select("local_id", recommend.dish_text().alias("text")), "spicy chicken rice salad").select(F.col("local_id").alias("id"), F.round("semantic_score", 6).alias("score")))
 
 
 def ranked(d) -> str:
-    return f"""with cand as ({scored(d)}), {tfidf(d, 'cand')}, blend as (
+    return f"""with cand as ({scored(d)}), {tfidf(d, 'cand', REQUEST.query_text())}, blend as (
   select cand.id, dish_name, section, price, cal_mid, nut_conf, reasons, round(0.60e0 * coalesce(s, 0e0) + 0.40e0 * rule, 4) as score, 0.60e0 * coalesce(s, 0e0) + 0.40e0 * rule as raw, rule
   from cand left join semantic on cand.id = semantic.id)"""
 
@@ -128,6 +159,7 @@ sql_query("score_blend", lambda d: f"{ranked(d)} select id, score from blend")
 TOP = "top as (select *, row_number() over (order by score desc, id) as rnk from (select * from blend order by score desc, id limit 8) b)"
 sql_query("recommend_topk", lambda d: f"""{ranked(d)}, {TOP}
 select cast(rnk as int) as rnk, id, dish_name, score, case when raw >= 0.68e0 then 'Strong match' when raw >= 0.40e0 then 'Good match' else 'Weak match' end as label, reasons from top where rnk <= 5""")
+by_request("recommend_topk", lambda items: recommend.recommend(items, REQUEST).select(F.col("rank").alias("rnk"), F.col("local_id").alias("id"), "dish_name", "score", F.col("match_label").alias("label"), F.array_join("reasons", "|").alias("reasons")))
 sql_query("rerank_minmax", lambda d: f"""{ranked(d)}
 select id, round(0.65e0 * score + 0.35e0 * case when hi = lo then 0.5e0 else (rule - lo) / (hi - lo) end, 4) as final from blend cross join (select min(rule) as lo, max(rule) as hi from blend) m""")
 sql_query("combos", lambda d: f"""{ranked(d)}, {TOP}, pairs as (

@@ -11,7 +11,7 @@ from platewise.plans.base import TABLES
 SF = "/root/testdata/sf0.001"
 plans.load()
 #: One or two of each family; the driver compares all of them.
-CHECKED = ["recommend_topk", "enrich_items", "diet_flags", "filter_constraints", "line_features", "section_predicates", "greedy_match", "latest_per_key", "vector_knn", "scan_formats_roundtrip", "stream_request_stats"]
+CHECKED = ["recommend_topk", "tfidf_scores", "score_blend", "enrich_items", "diet_flags", "filter_constraints", "line_features", "section_predicates", "greedy_match", "latest_per_key", "vector_knn", "scan_formats_roundtrip", "stream_request_stats"]
 
 
 @pytest.fixture(scope="module")
