@@ -85,6 +85,9 @@ class Spark:
     def quantile(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
 
+    def half_even(self, x: str) -> str:
+        return f"bround({x}, 0)"
+
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
@@ -176,6 +179,9 @@ class Duck(Spark):
     def quantile(self, x, p):
         return f"quantile_cont({x}, {p})"
 
+    def half_even(self, x):
+        return f"round_even({x}, 0)"
+
     def json(self, x, key):
         return f"json_extract_string({x}, '$.{key}')"
 

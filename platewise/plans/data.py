@@ -8,7 +8,7 @@ ROLE = "case when quality = 1 then 'item' else 'noise' end"
 PRED = "case when n_chars % 5 = 0 then 'noise' when n_chars % 7 = 0 then 'price' else 'item' end"
 
 sql_query("left_join_coalesce", lambda d: "select o_orderkey, coalesce(c_name, 'unknown') as name from orders left join (select * from customer where c_custkey % 3 <> 0) c on o_custkey = c_custkey")
-sql_query("semi_join_composite", lambda d: "select l_orderkey, l_linenumber, l_quantity from lineitem l left semi join (select * from orders where o_orderstatus = 'F') o on l.l_orderkey = o.o_orderkey" if d.name == "spark" else "select l_orderkey, l_linenumber, l_quantity from lineitem l semi join (select * from orders where o_orderstatus = 'F') o on l.l_orderkey = o.o_orderkey")
+sql_query("semi_join_composite", lambda d: f"select l_orderkey, l_linenumber, l_quantity from lineitem l {'left semi' if d.name == 'spark' else 'semi'} join (select l_partkey as pk, l_suppkey as sk from lineitem where l_returnflag = 'R') r on l.l_partkey = r.pk and l.l_suppkey = r.sk")
 sql_query("anti_join_unused", lambda d: f"select p_partkey, p_name from part p {'left anti' if d.name == 'spark' else 'anti'} join (select l_partkey from lineitem where l_quantity > 45) l on p.p_partkey = l.l_partkey")
 sql_query("group_nested_lines", lambda d: f"select o_orderkey, {d.gather('item', 'l_linenumber', ';')} as lines, count(*) as n from (select o_orderkey, l_linenumber, concat(cast(l_partkey as varchar(20)), ':', l_returnflag) as item from orders join lineitem on o_orderkey = l_orderkey) t group by o_orderkey")
 sql_query("best_role_lookup", lambda d: "with r as (select event_type as text, user_id, value, event_id, row_number() over (partition by event_type, user_id order by coalesce(value, 0) desc, event_id desc) as rn from events) select text, user_id, value, event_id from r where rn = 1")
@@ -64,7 +64,8 @@ sql_query("review_auto_accept", lambda d: f"with r as (select event_id, case whe
 sql_query("validation_issues", lambda d: f"""
 select o_orderkey, {d.explode(d.compact("case when o_totalprice > 400000 then 'price_too_large' end", "case when o_orderpriority like '5%' then 'low_priority' end", "case when o_orderstatus = 'P' then 'needs_review' end"), 'issue')} from orders""")
 sql_query("cascade_accept", lambda d: f"""
-with k as (select doc_id, line_order, n % 3 = 0 as priced, cast(n % 100 as double) / 100 >= 0.5e0 or (cast(n % 100 as double) / 100 >= 0.34e0 and n % 3 = 0) as kept from lines),
+with x as (select doc_id, n, cast(n % 100 as double) / 100 as score, n % 3 = 0 as priced, line_order % 2 = 0 as sectioned, {d.size(d.split('trim(text)', ' '))} <= 2 as short from lines),
+k as (select doc_id, priced, score >= 0.5e0 or (score >= 0.34e0 and priced) or (score >= 0.28e0 and short and sectioned) as kept from x),
 g as (select doc_id, count(*) as n, count(case when kept then 1 end) as k, count(case when priced then 1 end) as p, count(case when priced and kept then 1 end) as kp from k group by doc_id)
-select doc_id, n, case when n >= 6 and (k < 0.65e0 * n or kp < 0.60e0 * p) then n else k end as chosen from g""")
+select doc_id, n, case when k = 0 then n when n < 6 then k when k < greatest(4, cast({d.half_even('0.65e0 * n')} as bigint)) then n when p >= 6 and kp < greatest(4, cast({d.half_even('0.60e0 * p')} as bigint)) then n else k end as chosen from g""")
 sql_query("group_split", lambda d: f"with g as (select lang, source, row_number() over (order by md5(concat(lang, '|', source)), lang, source) as rn, count(*) over () as n from (select distinct lang, source from documents) t) select doc_id, case when rn <= 0.8e0 * n then 'train' else 'test' end as split from documents join g using (lang, source)")

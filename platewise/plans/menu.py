@@ -178,12 +178,6 @@ sql_query("llm_fallback_text", lambda d: f"""
 select id, concat(dish_name, case when coalesce(section, '') <> '' then concat(' from ', section) else '' end, '.') as summary,
   case when price is null then 'Price is not listed.' else concat('Costs ', cast(cast(floor(price) as int) as varchar(20)), ' or a little more.') end as fit,
   {d.join(d.compact("case when contains(lower(allergen), 'milk') then 'contains milk' end", "case when nut_conf < 0.5e0 then 'calories are uncertain' end"), '; ')} as caution from items""")
-sql_query("misaligned_repair", lambda d: f"""
-select id, case when dish_name_len < 14 and coalesce(section, '') <> '' then section else dish_name end as dish_name, case when dish_name_len < 14 and coalesce(section, '') <> '' then null else nullif(section, '') end as section
-from (select *, length(dish_name) as dish_name_len from items) t""")
-sql_query("drop_rules", lambda d: f"""
-select id, case when length(dish_name) < 3 then 'short' when dish_name = section then 'section' when {d.rlike('dish_name', '^[0-9 .]+$')} then 'digits'
-  when price is null and coalesce(description, '') = '' then 'unsupported' when {d.size(d.split('dish_name', ' '))} > 8 then 'long' else 'keep' end as verdict from items""")
 sql_query("similarity_validity", lambda d: f"""
 select id, length(dish_name) >= 3 and length({d.rr('dish_name', '[^A-Za-z]', '')}) >= 3 and lower(dish_name) <> lower(coalesce(section, '')) and not (length(dish_name) > 60 and description is null) as valid from items""")
 sql_query("group_by_section", lambda d: f"select coalesce(nullif(section, ''), 'Unsorted') as section, min(id) as first_seen, count(*) as n, {d.gather('cast(id as varchar(20))', 'id', ',')} as ids from items group by coalesce(nullif(section, ''), 'Unsorted')")
