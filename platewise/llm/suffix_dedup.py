@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.line_dedup import _slots, filter_words, twice_seen_filter
-from platewise.llm.text_arrays import blocks, byte_columns, rolling_hash, span_hash
+from platewise.llm.text_arrays import blocks, byte_columns, released, rolling_hash, span_hash
 from platewise.session import materialize
 
 LENGTH, GRAM = 100, 32
@@ -324,8 +324,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     none = F.lit(-(1 << 63))
     plain = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), none).alias("d"))
     words = filter_words(docs.count(), words_per_row=16)
-    held = spark.sparkContext.broadcast(twice_seen_filter(plain.select("text").mapInArrow(_gram_batches, "h long"), words))
-    found = plain.mapInArrow(_occurrence_batches(held), "h long, c long, d long, s long, w int")
+    held = spark.sparkContext.broadcast(twice_seen_filter(plain.select("text").mapInArrow(released(_gram_batches), "h long"), words))
+    found = plain.mapInArrow(released(_occurrence_batches(held)), "h long, c long, d long, s long, w int")
     folded = materialize(found.groupBy("h", "c", "w").agg(F.min(F.struct("d", "s")).alias("p")).select("h", "c", "w", "p.d", "p.s"), "contexts")
 
     many = folded.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("h").alias("m_h"), "k")
@@ -334,8 +334,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     wanted = open_.groupBy("d").agg(F.collect_list(F.struct("h", "salt", "c", "s", "w")).alias("places")).withColumnRenamed("d", "w_d")
     texts = plain.join(wanted, F.col("d") == F.col("w_d")).select("text", "d", "places")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_context_batches, "h long, salt int, c long, d long, s long, w int, text binary").repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "d", "s")
-    merged = materialize(dealt.mapInArrow(_merge_batches, "h long, c long, d long, s long, salted boolean, keep array<int>, digests array<binary>"), "merged")
+    dealt = texts.mapInArrow(released(_context_batches), "h long, salt int, c long, d long, s long, w int, text binary").repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "d", "s")
+    merged = materialize(dealt.mapInArrow(released(_merge_batches), "h long, c long, d long, s long, salted boolean, keep array<int>, digests array<binary>"), "merged")
     alone = merged.where("not salted").select("c", "d", "s", "keep")
     strings = merged.where("salted").select("c", "d", "s", F.explode_outer(F.arrays_zip("keep", "digests")).alias("x")).select("c", "d", "s", "x.keep", "x.digests")
     leaders = strings.where("digests is not null").groupBy("digests").agg(F.min(F.struct("d", (F.col("s") + F.col("keep")).alias("at"), "c", "s", "keep")).alias("p"))
@@ -345,5 +345,5 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     firsts = folded.select("c", "d", "s").join(masks, ["c", "d", "s"], "left").groupBy("d").agg(F.collect_list(F.struct("s", "c", "keep")).alias("firsts")).withColumnRenamed("d", "f_d")
     joined = plain.join(firsts, F.col("d") == F.col("f_d"), "left").select("text", "d", "firsts")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    out = joined.mapInArrow(_removal_batches(held, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(released(_removal_batches(held, names)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
