@@ -21,6 +21,10 @@ class Spark:
     def every(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, r'{pattern}', 0)"
 
+    def count(self, x: str, pattern: str) -> str:
+        """Matches of the pattern, 0 for null."""
+        return f"coalesce(regexp_count({x}, r'{pattern}'), 0)"
+
     def split(self, x: str, by: str) -> str:
         return f"split({x}, r'[{by}]', -1)" if by != "\n" else f"split({x}, '[\\n]', -1)"
 
@@ -119,6 +123,9 @@ class Duck(Spark):
     def every(self, x, pattern):
         return f"regexp_extract_all({x}, '{pattern}')"
 
+    def count(self, x, pattern):
+        return f"coalesce(len(regexp_extract_all({x}, '{pattern}')), 0)"
+
     def split(self, x, by):
         return f"string_split({x}, chr({ord(by)}))"
 

@@ -69,7 +69,15 @@ def any_of(x: str, words: list[str]) -> str:
 
 
 def evidence(d: Spark) -> str:
-    """(id, ingredient, strength): the strongest place in which a keyword of the ingredient stands."""
+    """(id, ingredient, strength): the strongest place in which a keyword of the ingredient stands.
+
+    Spark tests the keywords in a projection over the items; the other engine joins them with a table of keywords.
+    """
+    if d.name == "spark":
+        strength = lambda ws: f"case when {any_of('n', ws)} then 1e0 when {any_of('t', ws)} then 0.82e0 when {any_of('s', ws)} then 0.58e0 end"
+        found = ", ".join(f"struct('{k}' as ingredient, {strength(ws)} as strength)" for k, ws in L.INGREDIENT_KEYWORDS.items())
+        fields = "lower(dish_name) as n, lower(coalesce(description, '')) as t, lower(coalesce(section, '')) as s"
+        return f"select id, inline(filter(array({found}), e -> e.strength is not null)) as (ingredient, strength) from (select id, {fields} from items) i"
     values = ", ".join(f"('{k}', '{w}')" for k, ws in L.INGREDIENT_KEYWORDS.items() for w in ws)
     return f"""
 select id, ingredient, max(case when contains(lower(dish_name), word) then 1e0 when contains(lower(coalesce(description, '')), word) then 0.82e0 else 0.58e0 end) as strength

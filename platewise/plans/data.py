@@ -7,7 +7,7 @@ from platewise.plans.base import sql_query
 ROLE = "case when quality = 1 then 'item' else 'noise' end"
 PRED = "case when n_chars % 5 = 0 then 'noise' when n_chars % 7 = 0 then 'price' else 'item' end"
 
-sql_query("left_join_coalesce", lambda d: "select o_orderkey, coalesce(c_name, 'unknown') as name from orders left join (select * from customer where c_custkey % 3 <> 0) c on o_custkey = c_custkey")
+sql_query("left_join_coalesce", lambda d: "select o_orderkey, coalesce(c_name, 'unknown') as name from orders left join customer on o_custkey = c_custkey and c_acctbal >= 0")
 sql_query("semi_join_composite", lambda d: f"select l_orderkey, l_linenumber, l_quantity from lineitem l {'left semi' if d.name == 'spark' else 'semi'} join (select l_partkey as pk, l_suppkey as sk from lineitem where l_returnflag = 'R') r on l.l_partkey = r.pk and l.l_suppkey = r.sk")
 sql_query("anti_join_unused", lambda d: f"select p_partkey, p_name from part p {'left anti' if d.name == 'spark' else 'anti'} join (select l_partkey from lineitem where l_quantity > 45) l on p.p_partkey = l.l_partkey")
 sql_query("group_nested_lines", lambda d: f"select o_orderkey, {d.gather('item', 'l_linenumber', ';')} as lines, count(*) as n from (select o_orderkey, l_linenumber, concat(cast(l_partkey as varchar(20)), ':', l_returnflag) as item from orders join lineitem on o_orderkey = l_orderkey) t group by o_orderkey")
@@ -32,7 +32,8 @@ sql_query("cache_counters", lambda d: f"""
 with e as (select event_id, {d.json('props', 'k')} as k, {d.epoch('ts')} as t from events), g as (select *, lag(t) over (partition by k order by t, event_id) as stored from e)
 select count(*) as gets, count(case when stored is not null and t < stored + 1800 then 1 end) as hits, count(case when stored is null or t >= stored + 1800 then 1 end) as misses, count(distinct k) as n_keys from g""")
 sql_query("dataset_summary", lambda d: "select source, count(*) as n, count(case when text is null or length(text) = 0 then 1 end) as empty, count(case when n_chars < 150 then 1 end) as tiny, round(avg(n_chars), 3) as mean_chars, max(n_chars) as max_chars from documents group by source")
-sql_query("pivot_counts", lambda d: f"select * from (select {d.day('ts')} as d, event_type from events) pivot (count(*) for event_type in ('click', 'view', 'error'))" if d.name == "spark" else "select strftime(ts, '%Y-%m-%d') as d, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view, count(*) filter (where event_type = 'error') as error from events group by 1")
+EVENT_TYPES = ("click", "view", "error", "signup", "purchase")
+sql_query("pivot_counts", lambda d: f"select {d.day('ts')} as d, {', '.join(f"count(case when event_type = '{t}' then 1 end) as {t}" for t in EVENT_TYPES)} from events group by {d.day('ts')}")
 sql_query("box_profile", lambda d: f"select l_returnflag, count(*) as n, round(avg(l_quantity), 4) as mean, {d.quantile('l_quantity', 0.5)} as median, {d.quantile('l_quantity', 0.95)} as p95 from lineitem group by l_returnflag")
 BUCKET = "case when n_chars <= q1 then 'xs' when n_chars <= q2 then 's' when n_chars <= q3 then 'm' else 'l' end"
 sql_query("bucket_summary", lambda d: f"""

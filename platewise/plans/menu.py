@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,7 @@ semantic as (select v.id, sum(x / len * y) as s from v join norm on v.id = norm.
 
 
 sql_query("rule_score", lambda d: f"select id, round(rule + 1e-9, 4) as rule, reasons, case when rule >= 0.68e0 then 'Strong match' when rule >= 0.40e0 then 'Good match' else 'Weak match' end as label from ({scored(d)}) s")
+by_request("rule_score", lambda items: recommend.allowed(items, REQUEST).select(F.col("local_id").alias("id"), F.round(F.col("rule_score") + 1e-9, 4).alias("rule"), F.array_join("reasons", "|").alias("reasons"), recommend.match_label(F.col("rule_score")).alias("label")))
 sql_query("tfidf_scores", lambda d: f"with {tfidf(d, 'items')} select id, round(s, 6) as score from semantic")
 by_request("tfidf_scores", lambda items: recommend.tfidf_scores(items.select("local_id", recommend.dish_text().alias("text")), "spicy chicken rice salad").select(F.col("local_id").alias("id"), F.round("semantic_score", 6).alias("score")))
 
@@ -156,19 +159,30 @@ def ranked(d) -> str:
 
 
 sql_query("score_blend", lambda d: f"{ranked(d)} select id, score from blend")
+by_request("score_blend", lambda items: recommend.scored(items, REQUEST).select(F.col("local_id").alias("id"), "score"))
 TOP = "top as (select *, row_number() over (order by score desc, id) as rnk from (select * from blend order by score desc, id limit 8) b)"
 sql_query("recommend_topk", lambda d: f"""{ranked(d)}, {TOP}
 select cast(rnk as int) as rnk, id, dish_name, score, case when raw >= 0.68e0 then 'Strong match' when raw >= 0.40e0 then 'Good match' else 'Weak match' end as label, reasons from top where rnk <= 5""")
 by_request("recommend_topk", lambda items: recommend.recommend(items, REQUEST).select(F.col("rank").alias("rnk"), F.col("local_id").alias("id"), "dish_name", "score", F.col("match_label").alias("label"), F.array_join("reasons", "|").alias("reasons")))
 sql_query("rerank_minmax", lambda d: f"""{ranked(d)}
 select id, round(0.65e0 * score + 0.35e0 * case when hi = lo then 0.5e0 else (rule - lo) / (hi - lo) end, 4) as final from blend cross join (select min(rule) as lo, max(rule) as hi from blend) m""")
-sql_query("combos", lambda d: f"""{ranked(d)}, {TOP}, pairs as (
-  select a.id as a, b.id as b, cast(null as bigint) as c, a.price + b.price as price, a.cal_mid + b.cal_mid as cal, (a.score + b.score) / 2 as mean, case when coalesce(a.section, '') <> coalesce(b.section, '') then 1 else 0 end as varied, (a.nut_conf + b.nut_conf) / 2 as nc from top a join top b on a.rnk < b.rnk
+
+
+#: The combinations of the pool of eight, all 84 of them that fit.
+COMBO_REQUEST = replace(REQUEST, combo_budget=60, combo_max_calories=1500, top_k=84)
+sql_query("combos", lambda d: f"""{ranked(d)}, {TOP}, sets as (
+  select 2 as n, a.id as a, b.id as b, -1 as c, a.price + b.price as price, a.cal_mid + b.cal_mid as cal, a.score + b.score as total, a.nut_conf + b.nut_conf as nc,
+    nullif(a.section, '') as s1, nullif(b.section, '') as s2, cast(null as varchar(99)) as s3 from top a join top b on a.rnk < b.rnk
   union all
-  select a.id, b.id, c.id, a.price + b.price + c.price, a.cal_mid + b.cal_mid + c.cal_mid, (a.score + b.score + c.score) / 3, case when coalesce(a.section, '') <> coalesce(b.section, '') or coalesce(b.section, '') <> coalesce(c.section, '') then 1 else 0 end, (a.nut_conf + b.nut_conf + c.nut_conf) / 3
-  from top a join top b on a.rnk < b.rnk join top c on b.rnk < c.rnk)
-select a, b, coalesce(c, -1) as c, round(price, 2) as total_price, cal, round(mean + 0.06e0 * varied + case when price <= 60 then 0.12e0 else 0e0 end + case when price / 60 between 0.65e0 and 1e0 then 0.05e0 else 0e0 end
-  + case when cal <= 1500 then 0.10e0 else 0e0 end + 0.05e0 * coalesce(nc, 0e0) + 1e-9, 4) as score from pairs where coalesce(price <= 60, true) and coalesce(cal <= 1500, true)""")
+  select 3, a.id, b.id, c.id, a.price + b.price + c.price, a.cal_mid + b.cal_mid + c.cal_mid, a.score + b.score + c.score, a.nut_conf + b.nut_conf + c.nut_conf,
+    nullif(a.section, ''), nullif(b.section, ''), nullif(c.section, '') from top a join top b on a.rnk < b.rnk join top c on b.rnk < c.rnk),
+fit as (select *, round(price, 2) as total_price, coalesce(s1 <> s2, false) or coalesce(s1 <> s3, false) or coalesce(s2 <> s3, false) as varied from sets where price <= 60 and cal <= 1500)
+select a, b, c, total_price, round(cal, 1) as total_calories, round(total / n + case when varied then 0.06e0 else 0e0 end + case when total_price <= 60 then 0.12e0 else 0e0 end
+  + case when total_price / 60e0 between 0.65e0 and 1e0 then 0.05e0 else 0e0 end + 0.10e0 + coalesce(0.05e0 * nc / n, 0e0), 4) as score, varied from fit""")
+by_request("combos", lambda items: recommend.combinations(items, COMBO_REQUEST).select(
+    F.element_at("item_ids", 1).alias("a"), F.element_at("item_ids", 2).alias("b"), F.coalesce(F.try_element_at("item_ids", F.lit(3)), F.lit(-1)).alias("c"),
+    "total_price", "total_calories", "score", F.array_contains("reasons", "section diversity").alias("varied"),
+))
 sql_query("hybrid_rank", lambda d: f"""
 select id, concat_ws(' | ', dish_name, 'section: ' || nullif(section, ''), description) as item_text,
   round(case when contains({FULL}, 'chicken') then 0.15e0 else 0e0 end - case when contains({FULL}, 'coffee') then 0.35e0 else 0e0 end

@@ -13,17 +13,12 @@ def norm(d, x: str) -> str:
     return f"trim({d.rr(f'coalesce({x}, chr(32))', '[ \\t\\n\\r\\x0b\\x0c\\x{00A0}]+', ' ')})"
 
 
-def count(d, x: str, pattern: str) -> str:
-    return f"{d.size(d.every(x, pattern))}"
-
-
 def ratio(d, x: str) -> str:
-    return f"coalesce(cast({count(d, x, UPPER)} as double) / nullif({count(d, x, LETTER)}, 0), 0e0)"
+    return f"coalesce(cast({d.count(x, UPPER)} as double) / nullif({d.count(x, LETTER)}, 0), 0e0)"
 
 
 def title(d, x: str) -> str:
-    words = d.every(x, "[A-Za-z]+")
-    return f"coalesce(cast({d.size(d.every(f'({x})', r'(?:^|[^A-Za-z])[A-Z]'))} as double) / nullif({d.size(words)}, 0), 0e0)"
+    return f"coalesce(cast({d.count(x, r'(?:^|[^A-Za-z])[A-Z]')} as double) / nullif({d.count(x, '[A-Za-z]+')}, 0), 0e0)"
 
 
 sql_query("scan_normalize_text", lambda d: f"select doc_id, md5({norm(d, 'text')}) as plain, md5(lower({norm(d, 'text')})) as folded, md5(trim({d.rr('lower(text)', '[^a-z0-9&+ ]+', ' ')})) as key from documents")
@@ -40,7 +35,7 @@ select event_id, {d.join(d.keep(d.map(d.split("case when event_id % 3 = 0 then c
 sql_query("cache_fingerprint", lambda d: f"""
 select event_id, concat('menu:', event_type, ':', {d.sha256("concat('{\"context\":{\"engine\":\"tfidf\"},\"payload\":{\"k\":', " + d.json('props', 'k') + ", ',\"user\":', cast(user_id as varchar(20)), '}}')")}) as cache_key from events""")
 sql_query("line_features", lambda d: f"""
-select doc_id, line_order, {d.size(d.every('text', r'[^ \t\r\x0b\x0c]+'))} as word_count, n as char_count, {count(d, 'text', '[0-9]')} as digit_count, {count(d, 'text', ',')} as comma_count,
+select doc_id, line_order, {d.count('text', r'[^ \t\r\x0b\x0c]+')} as word_count, n as char_count, {d.count('text', '[0-9]')} as digit_count, {d.count('text', ',')} as comma_count,
   round({ratio(d, 'text')}, 6) as uppercase_ratio, round({title(d, 'text')}, 6) as title_ratio, {d.rlike('text', L.PRICE_ONLY)} as price_only,
   greatest(0, n * 7 - line_order) as bbox_width, round((line_order * 20e0 + 9) / 2, 4) as center_y from lines""")
 sql_query("price_extraction", lambda d: f"""
@@ -48,8 +43,8 @@ select doc_id, line_order, {d.rx('text', L.PRICE, 2)} as first_price, {d.rx('tex
   case when {d.try_double("nullif(replace(" + d.rx('text', L.TRAILING_PRICE, 2) + ", ',', '.'), '')")} >= 1000 and not contains({d.rx('text', L.TRAILING_PRICE, 2)}, '.') and not contains({d.rx('text', L.TRAILING_PRICE, 2)}, ',')
     and {d.try_double("nullif(" + d.rx('text', L.TRAILING_PRICE, 2) + ", '')")} < 10000 then round({d.try_double("nullif(" + d.rx('text', L.TRAILING_PRICE, 2) + ", '')")} / 100, 2) end as repaired from lines""")
 sql_query("section_predicates", lambda d: f"""
-with f as (select doc_id, line_order, text, lower(text) as low, {d.size(d.every('text', r'[^ \t]+'))} as wc, {d.rlike('text', '[0-9]')} as priced, {ratio(d, 'text')} as up, {count(d, 'text', LETTER)} as letters,
-  {count(d, 'text', '[0-9]')} as digits, lead({d.rlike('text', L.PRICE_ONLY)}) over (partition by doc_id order by line_order) as next_price from lines)
+with f as (select doc_id, line_order, text, lower(text) as low, {d.count('text', r'[^ \t]+')} as wc, {d.rlike('text', '[0-9]')} as priced, {ratio(d, 'text')} as up, {d.count('text', LETTER)} as letters,
+  {d.count('text', '[0-9]')} as digits, lead({d.rlike('text', L.PRICE_ONLY)}) over (partition by doc_id order by line_order) as next_price from lines)
 select doc_id, line_order, low in ({', '.join(repr(w) for w in L.SECTION_WORDS)}) as section_v1,
   not priced and (low in ({', '.join(repr(w) for w in L.SECTION_WORDS)}) or (wc <= 4 and up > 0.65e0 and letters > 0) or (wc <= 4 and low like '%menu')) as section_v2,
   not priced and (contains(text, ',') or wc >= 5 or {' or '.join(f"low like '{w}%'" for w in L.DESCRIPTION_STARTERS)}) as description_v2,
@@ -57,8 +52,8 @@ select doc_id, line_order, low in ({', '.join(repr(w) for w in L.SECTION_WORDS)}
   wc = 1 and coalesce(next_price, false) as name_before_price, wc <= 6 and not priced and not contains(text, ',') and up >= 0.55e0 as section_like from f""")
 sql_query("noise_predicates", lambda d: f"""
 select doc_id, line_order, lower(trim(text)) in ({', '.join(repr(w) for w in L.WEEKDAYS)}) as weekday, contains(lower(text), 'foodborne illness') or contains(lower(text), 'consuming raw') or contains(lower(text), 'risk of') as footer,
-  line_order < 0.11e0 * max(line_order) over (partition by doc_id) and {d.size(d.every('text', '[^ ]+'))} <= 4 as header,
-  n > 1.25e0 * avg(n) over (partition by doc_id) and {ratio(d, 'text')} > 0.6e0 as tall_section, {d.size(d.every('lower(text)', "[a-z][a-z-]*"))} as tokens from lines""")
+  line_order < 0.11e0 * max(line_order) over (partition by doc_id) and {d.count('text', '[^ ]+')} <= 4 as header,
+  n > 1.25e0 * avg(n) over (partition by doc_id) and {ratio(d, 'text')} > 0.6e0 as tall_section, {d.count('lower(text)', '[a-z][a-z-]*')} as tokens from lines""")
 sql_query("token_overlap", lambda d: f"""
 with q as (select item_id, {d.distinct(d.every('lower(text)', '[a-z0-9][a-z0-9]+'))} as qt from benchmark where item_id % 20 = 0),
 t as (select doc_id, {d.distinct(d.every('lower(text)', '[a-z0-9][a-z0-9]+'))} as tt from documents)
@@ -67,7 +62,7 @@ sql_query("dice_similarity", lambda d: f"""
 with q as (select item_id, trim({d.rr('lower(text)', '[^a-z0-9 ]+', ' ')}) as q from benchmark where item_id % 20 = 0),
 t as (select doc_id, line_order, trim({d.rr('lower(text)', '[^a-z0-9 ]+', ' ')}) as t from lines), p as (
   select doc_id, line_order, item_id, t, q, {d.distinct(d.every('t', '[a-z0-9]+'))} as a, {d.distinct(d.every('q', '[a-z0-9]+'))} as b from t cross join q where length(t) > 0)
-select doc_id, round(max(case when contains(q, t) then cast(length(t) as double) / length(q) when contains(t, q) then cast(length(q) as double) / length(t) else 2e0 * {d.size(d.both('a', 'b'))} / ({d.size('a')} + {d.size('b')}) end), 6) as best from p group by doc_id""")
+select item_id, round(max(case when contains(q, t) then cast(length(t) as double) / length(q) when contains(t, q) then cast(length(q) as double) / length(t) else 2e0 * {d.size(d.both('a', 'b'))} / ({d.size('a')} + {d.size('b')}) end), 6) as best from p group by item_id""")
 sql_query("weak_labels", lambda d: f"""
 with src as (select 1 as prio, lower(l_returnflag) as w from lineitem group by l_returnflag union all select 2, w from (select distinct w from (select {d.explode(d.distinct(d.every('lower(p_name)', '[a-z]+')), 'w')} from part) n) i union all select 3, 'the' union all select 3, 'de'),
 t as (select doc_id, line_order, {d.explode(d.distinct(d.every('lower(text)', '[a-z]+')), 'w')} from lines),
