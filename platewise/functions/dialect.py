@@ -25,6 +25,10 @@ class Spark:
         """Matches of the pattern, 0 for null."""
         return f"coalesce(regexp_count({x}, r'{pattern}'), 0)"
 
+    def chars(self, x: str, group: str) -> str:
+        """Characters of a class, 0 for null; taking whole runs out is quicker than one match a character."""
+        return f"coalesce(length({x}) - length(regexp_replace({x}, r'{group}+', '')), 0)"
+
     def split(self, x: str, by: str) -> str:
         return f"split({x}, r'[{by}]', -1)" if by != "\n" else f"split({x}, '[\\n]', -1)"
 
@@ -126,6 +130,9 @@ class Duck(Spark):
     def count(self, x, pattern):
         return f"coalesce(len(regexp_extract_all({x}, '{pattern}')), 0)"
 
+    def chars(self, x, group):
+        return self.count(x, group)
+
     def split(self, x, by):
         return f"string_split({x}, chr({ord(by)}))"
 

@@ -220,7 +220,8 @@ def combinations(items: DataFrame, request: Request) -> DataFrame:
     raw = add("score") / F.size("own")
     for condition, points, _ in parts:
         raw = raw + F.when(condition, points).otherwise(0.0)
-    done = sized.withColumns({"raw": raw, "reasons": F.array_compact(F.array(*(F.when(c, r) for c, _, r in parts)))}).withColumn("score", F.round("raw", 4))
+    # decimal ties round up, whatever the order of the sum
+    done = sized.withColumns({"raw": raw, "reasons": F.array_compact(F.array(*(F.when(c, r) for c, _, r in parts)))}).withColumn("score", F.round(F.col("raw") + 1e-9, 4))
     order = [F.desc("score"), F.size("own"), values("rank")]
     best = done.orderBy(*order).limit(max(1, request.top_k)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return best.select("rank", values("local_id").alias("item_ids"), values("dish_name").alias("dish_names"), "sections", "total_price", "total_calories", "score", match_label(F.col("raw")).alias("match_label"), "reasons")

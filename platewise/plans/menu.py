@@ -178,7 +178,7 @@ sql_query("combos", lambda d: f"""{ranked(d)}, {TOP}, sets as (
     nullif(a.section, ''), nullif(b.section, ''), nullif(c.section, '') from top a join top b on a.rnk < b.rnk join top c on b.rnk < c.rnk),
 fit as (select *, round(price, 2) as total_price, coalesce(s1 <> s2, false) or coalesce(s1 <> s3, false) or coalesce(s2 <> s3, false) as varied from sets where price <= 60 and cal <= 1500)
 select a, b, c, total_price, round(cal, 1) as total_calories, round(total / n + case when varied then 0.06e0 else 0e0 end + case when total_price <= 60 then 0.12e0 else 0e0 end
-  + case when total_price / 60e0 between 0.65e0 and 1e0 then 0.05e0 else 0e0 end + 0.10e0 + coalesce(0.05e0 * nc / n, 0e0), 4) as score, varied from fit""")
+  + case when total_price / 60e0 between 0.65e0 and 1e0 then 0.05e0 else 0e0 end + 0.10e0 + coalesce(0.05e0 * nc / n, 0e0) + 1e-9, 4) as score, varied from fit""")
 by_request("combos", lambda items: recommend.combinations(items, COMBO_REQUEST).select(
     F.element_at("item_ids", 1).alias("a"), F.element_at("item_ids", 2).alias("b"), F.coalesce(F.try_element_at("item_ids", F.lit(3)), F.lit(-1)).alias("c"),
     "total_price", "total_calories", "score", F.array_contains("reasons", "section diversity").alias("varied"),

@@ -14,7 +14,7 @@ def norm(d, x: str) -> str:
 
 
 def ratio(d, x: str) -> str:
-    return f"coalesce(cast({d.count(x, UPPER)} as double) / nullif({d.count(x, LETTER)}, 0), 0e0)"
+    return f"coalesce(cast({d.count(x, UPPER)} as double) / nullif({d.chars(x, LETTER)}, 0), 0e0)"
 
 
 def title(d, x: str) -> str:
@@ -43,7 +43,7 @@ select doc_id, line_order, {d.rx('text', L.PRICE, 2)} as first_price, {d.rx('tex
   case when {d.try_double("nullif(replace(" + d.rx('text', L.TRAILING_PRICE, 2) + ", ',', '.'), '')")} >= 1000 and not contains({d.rx('text', L.TRAILING_PRICE, 2)}, '.') and not contains({d.rx('text', L.TRAILING_PRICE, 2)}, ',')
     and {d.try_double("nullif(" + d.rx('text', L.TRAILING_PRICE, 2) + ", '')")} < 10000 then round({d.try_double("nullif(" + d.rx('text', L.TRAILING_PRICE, 2) + ", '')")} / 100, 2) end as repaired from lines""")
 sql_query("section_predicates", lambda d: f"""
-with f as (select doc_id, line_order, text, lower(text) as low, {d.count('text', r'[^ \t]+')} as wc, {d.rlike('text', '[0-9]')} as priced, {ratio(d, 'text')} as up, {d.count('text', LETTER)} as letters,
+with f as (select doc_id, line_order, text, lower(text) as low, {d.count('text', r'[^ \t]+')} as wc, {d.rlike('text', '[0-9]')} as priced, {ratio(d, 'text')} as up, {d.chars('text', LETTER)} as letters,
   {d.count('text', '[0-9]')} as digits, lead({d.rlike('text', L.PRICE_ONLY)}) over (partition by doc_id order by line_order) as next_price from lines)
 select doc_id, line_order, low in ({', '.join(repr(w) for w in L.SECTION_WORDS)}) as section_v1,
   not priced and (low in ({', '.join(repr(w) for w in L.SECTION_WORDS)}) or (wc <= 4 and up > 0.65e0 and letters > 0) or (wc <= 4 and low like '%menu')) as section_v2,
