@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from platewise.plans.base import sql_query
+from pyspark.sql import functions as F
+
+from platewise.catalog import ORACLES, QUERIES
+from platewise.functions.dialect import DUCK, SPARK
+from platewise.operators import evaluation, lists
+from platewise.plans.base import sql_query, statement, views
 
 ROLE = "case when quality = 1 then 'item' else 'noise' end"
 PRED = "case when n_chars % 5 = 0 then 'noise' when n_chars % 7 = 0 then 'price' else 'item' end"
@@ -62,8 +67,59 @@ sql_query("latency_speedup", lambda d: f"with s as (select event_type, avg(value
 sql_query("box_envelope", lambda d: "select l_orderkey, min(l_quantity) as x1, min(l_discount) as y1, max(l_quantity + l_linenumber) as x2, max(l_tax) as y2, least(min(l_tax), min(l_discount)) as conf from lineitem group by l_orderkey")
 sql_query("ocr_backend_summary", lambda d: "select case when doc_id % 2 = 0 then 'easy' else 'paddle' end as backend, round(avg(n), 4) as mean_lines, round(avg(c), 4) as mean_conf from (select doc_id, count(*) as n, avg(cast(n % 50 as double) / 50) as c from lines group by doc_id) p group by case when doc_id % 2 = 0 then 'easy' else 'paddle' end")
 sql_query("review_auto_accept", lambda d: f"with r as (select event_id, case when event_id % 4 = 0 then 'minor;typo' when event_id % 4 = 1 then 'minor;unsafe' when event_id % 4 = 2 then '' else event_type end as reason from events) select event_id, reason <> '' and {d.size(d.keep(d.split('reason', ';'), 'v', chr(39).join(['v not in (', 'minor', ', ', 'typo', ', ', 'click', ')'])))} = 0 as accepted from r")
-sql_query("validation_issues", lambda d: f"""
-select o_orderkey, {d.explode(d.compact("case when o_totalprice > 400000 then 'price_too_large' end", "case when o_orderpriority like '5%' then 'low_priority' end", "case when o_orderstatus = 'P' then 'needs_review' end"), 'issue')} from orders""")
+
+
+def by_operator(name: str, source, run, twin: str) -> None:
+    """Run a query by an operator over ``source`` (SQL by dialect); the twin, written apart, is SQL over ``src``."""
+
+    def query(spark, sf_dir):
+        views(spark, sf_dir)
+        return run(spark.sql(statement(SPARK, source)))
+
+    query.__name__ = name
+    QUERIES[name] = query
+    ORACLES[name] = f"with src as ({statement(DUCK, source)}){twin}"
+
+
+ROLES = lambda d: f"select {ROLE} as label, {PRED} as pred from labels join documents using (doc_id)"
+by_operator("confusion_matrix", ROLES, evaluation.confusion_matrix, " select label, pred, count(*) as n from src group by label, pred")
+by_operator("classification_summary", ROLES, lambda rows: evaluation.summary(evaluation.class_metrics(evaluation.confusion_matrix(rows))).select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1"))), """
+, k as (select distinct label as k from src union select distinct pred from src), s as (select k, (select count(*) from src where label = k and pred = k) as tp, (select count(*) from src where label = k) as gold, (select count(*) from src where pred = k) as said from k)
+select (select count(*) from src) as n, round((select avg(case when label = pred then 1e0 else 0e0 end) from src), 6) as accuracy, round(avg(coalesce(2e0 * tp / nullif(gold + said, 0), 0e0)), 6) as macro_f1,
+  round(sum(coalesce(2e0 * tp / nullif(gold + said, 0), 0e0) * gold) / sum(gold), 6) as weighted_f1 from s""")
+QUERIES["classification_report"] = lambda spark, sf_dir: evaluation.class_metrics(QUERIES["confusion_matrix"](spark, sf_dir)).select("label", "tp", "fp", "fn", "support", *(F.round(c, 4).alias(c) for c in ("prec", "rec", "f1")))
+
+ANNOTATIONS = lambda d: """
+select p_partkey as item_id, case p_size % 9 when 0 then '  ' when 1 then substr(p_name, 1, 2) when 2 then null else p_name end as dish_name, case p_size % 4 when 0 then null when 1 then '' else '12,50' end as price_text,
+  case when p_size % 5 < 2 then null else p_retailprice end as price_value, case when p_size = 50 then null else (p_size - 3) / 40e0 end as confidence, p_size % 6 = 0 as needs_review, case when p_size % 12 = 0 then ' ' else 'blurred' end as review_reason from part"""
+by_operator("validation_issues", ANNOTATIONS, lambda rows: evaluation.validation_issues(rows).select("item_id", "issue"), """
+select item_id, 'missing dish_name' as issue from src where dish_name is null or trim(dish_name) = ''
+union all select item_id, 'confidence out of range' from src where confidence < 0 or confidence > 1
+union all select item_id, 'needs_review without review_reason' from src where needs_review and nullif(trim(review_reason), '') is null
+union all select item_id, 'price_value without price_text' from src where nullif(trim(price_text), '') is null and price_value is not null
+union all select item_id, 'price_text without price_value and no review flag' from src where trim(price_text) <> '' and price_value is null and not needs_review
+union all select item_id, 'dish_name too short' from src where length(trim(dish_name)) between 1 and 2""")
+
+#: List fields as annotators write them: JSON, a literal in single quotes, signs, one word, a number, blank, null.
+LISTS = lambda d: f"""
+select event_id, case user_id % 9 when 0 then concat('["', event_type, '", " b c ", "", 7]') when 1 then concat('[', chr(39), event_type, chr(39), ', ', chr(39), 'x', chr(39), ']') when 2 then concat(event_type, ' | b;c,') when 3 then concat(event_type, '; b, c;;')
+  when 4 then concat(event_type, ', ,b') when 5 then event_type when 6 then {d.json('props', 'k')} when 7 then ' nan ' else case when event_id % 2 = 0 then '  ' end end as x from events"""
+FLAVOURS = {"storage": lists.storage_list, "import": lists.import_list, "validation": lists.validation_list, "gold": lists.gold_list}
+by_operator("list_flavours", LISTS, lambda rows: rows.select("event_id", *(F.array_join(f("x"), "~").alias(f"{n}_list") for n, f in ((n, lambda c, f=f: f(F.col(c))) for n, f in FLAVOURS.items()))), """
+, t as (select event_id, trim(coalesce(x, '')) as x, case when json_valid(x) and json_type(x) = 'ARRAY' then json_extract_string(x, '$[*]') end as js, case when json_valid(replace(x, chr(39), '"')) and starts_with(x, '[') then json_extract_string(replace(x, chr(39), '"'), '$[*]') end as lit from src),
+p as (select *, list_filter(list_transform(js, lambda v: trim(v)), lambda v: v <> '') as j, list_filter(list_transform(string_split(x, '|'), lambda v: trim(v)), lambda v: v <> '') as bar,
+  list_filter(list_transform(string_split(x, ';'), lambda v: trim(v)), lambda v: v <> '') as semis, list_filter(list_transform(string_split(x, ','), lambda v: trim(v)), lambda v: v <> '') as comma from t)
+select event_id, coalesce(array_to_string(case when x in ('', 'nan') then [] when js is not null then j else [x] end, '~'), '') as storage_list,
+  coalesce(array_to_string(case when x = '' then [] when js is not null then j when contains(x, '|') then bar when contains(x, ';') then semis when contains(x, ',') then comma else [x] end, '~'), '') as import_list,
+  coalesce(array_to_string(case when x = '' then [] when js is not null then j when lit is not null then lit else bar end, '~'), '') as validation_list,
+  coalesce(array_to_string(case when x = '' then [] when lit is not null then lit when contains(x, ';') then semis when contains(x, ',') then comma else [x] end, '~'), '') as gold_list from p""")
+sql_query("request_status", lambda d: f"""
+with r as (select concat('GET /', event_type) as path, case when value > 9 then 500 when value > 8 then 404 else 200 end as status from events), c as (select path, status, count(*) as n from r group by path, status),
+h as (select path, sum(n) as n, sum(case when status >= 400 then n else 0 end) as errors, {d.gather("concat(cast(status as varchar(9)), ':', cast(n as varchar(20)))", 'status', '|')} as histogram from c group by path)
+select path, cast(n as bigint) as n, cast(errors as bigint) as errors, histogram, cast(row_number() over (order by n desc, path) as int) as place from h""")
+sql_query("cache_categories", lambda d: f"""
+with k as (select distinct concat('menu:', event_type, ':', {d.json('props', 'k')}) as cache_key from events)
+select {d.rx('cache_key', '^[^:]*:([^:]*)', 1)} as category, count(*) as n_keys from k group by {d.rx('cache_key', '^[^:]*:([^:]*)', 1)}""")
 sql_query("cascade_accept", lambda d: f"""
 with x as (select doc_id, n, cast(n % 100 as double) / 100 as score, n % 3 = 0 as priced, line_order % 2 = 0 as sectioned, {d.size(d.split('trim(text)', ' '))} <= 2 as short from lines),
 k as (select doc_id, priced, score >= 0.5e0 or (score >= 0.34e0 and priced) or (score >= 0.28e0 and short and sectioned) as kept from x),
