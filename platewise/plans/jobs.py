@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.catalog import query
-from platewise.operators import parse
+from platewise.operators import menus, parse
 from platewise.session import materialize, table, work_path
 from platewise.sources import files
 from platewise.streaming import monitor
@@ -26,11 +26,20 @@ for _version in ("v1", "v2", "v3"):
     query(f"parse_{_version}")(lambda spark, sf_dir, v=_version: parse.parse_pages(_lines(spark, sf_dir), v))
 
 
+def _roles(lines: DataFrame) -> DataFrame:
+    return lines.select("menu_id", "page_id", "line_order", "text", F.when(F.length("text") < 60, "item_name").otherwise("description").alias("label"), ((F.length("text") % 100) / 100).alias("score"))
+
+
 @query("parse_cascade")
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    roles = lines.select("menu_id", "page_id", "line_order", "text", F.when(F.length("text") < 60, "item_name").otherwise("description").alias("label"), ((F.length("text") % 100) / 100).alias("score"))
-    return parse.cascade(lines, roles)
+    return parse.cascade(lines, _roles(lines))
+
+
+@query("parse_menu")
+def _menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return menus.parse_menu(lines, "v3", _roles(lines))
 
 
 @query("scan_formats_roundtrip", "select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part")
