@@ -100,4 +100,7 @@ def judge_items(items: DataFrame, roles: DataFrame | None = None, keys: tuple[st
 
 def clean_items(items: DataFrame, roles: DataFrame | None = None, keys: tuple[str, ...] = ("menu_id", "page_id")) -> DataFrame:
     """What a parser's items are after repair and removal."""
-    return judge_items(items, roles, keys).where("removal is null").drop("removal")
+    judged = judge_items(items, roles, keys)
+    # a filter would be pushed below the repair and spelled out there with all that it reads, too large to compile
+    stays = F.explode(F.when(F.col("removal").isNull(), F.array(F.lit(True))))
+    return judged.withColumn("removal", stays).drop("removal")

@@ -30,10 +30,10 @@ def test_fallbacks(spark):
 
 
 def test_removal_by_roles(spark):
-    texts = ["Tomato Soup 120", "House Wine"]
-    plain = dishes(menus.parse_menu(bare(spark, texts), "v1"))
-    roles = spark.createDataFrame([("", "", 2, "House Wine", "section", 0.9)], ROLE)
-    assert dishes(menus.parse_menu(bare(spark, texts), "v1", roles)) == [d for d in plain if d[0] != "House Wine"]
+    texts = ["STARTERS", "Tomato Soup 120", "Tomato Rice Bowl"]
+    assert [d[0] for d in dishes(menus.parse_menu(bare(spark, texts), "v2"))] == ["Tomato Rice Bowl", "Tomato Soup"]
+    roles = spark.createDataFrame([("", "", 3, "Tomato Rice Bowl", "section", 0.9), ("", "", 2, "Tomato Soup", "section", 0.9)], ROLE)
+    assert [d[0] for d in dishes(menus.parse_menu(bare(spark, texts), "v2", roles))] == ["Tomato Soup"]
 
 
 def test_null_texts_no_lines_and_missing_columns(spark):
