@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_chunks, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
+from platewise.llm import bpe_chunks, cotraining, fingerprints, license_scan, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,57 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_register
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scan_licenses(docs, least=0.9, width=64)
+    return out.select(
+        "doc_id",
+        F.col("ls_words").alias("n_words"),
+        F.col("ls_places").alias("n_base"),
+        F.col("ls_first").alias("first_word"),
+        F.col("ls_last").alias("last_word"),
+        F.array_join("ls_phrases", ",").alias("base_labels"),
+        F.array_join("ls_labels", ",").alias("labels"),
+        F.col("ls_score").alias("score"),
+    )
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_PASSAGES = list(enumerate(license_scan.passages(license_scan.TEMPLATES, 64)))
+ORACLES["op11_license_scan"] = f"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents
+), u as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from w
+), n as (
+  select *, lead(word) over o as next1, lead(word, 2) over o as next2 from u window o as (partition by doc_id order by pos)
+), p as (
+  select doc_id, pos, case when word = 'mit' then 'mit' when word = 'apache' then 'apache' else 'gpl' end as label from n
+  where (word in ('mit', 'apache') and next1 = 'license') or (word = 'general' and next1 = 'public' and next2 = 'license')
+), base as (
+  select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels from p group by doc_id
+), t(template, label, size, token) as (
+  values {_values([(i, label, len(set(ws)), x) for i, (label, ws) in _PASSAGES for x in sorted(set(ws))])}
+), b as (
+  select doc_id, pos // 32 as block, word from u union all select doc_id, pos // 32 - 1, word from u where pos >= 32
+), m as (
+  select doc_id, label, count(distinct token) / size as containment from b join t on word = token
+  group by doc_id, block, template, label, size having 10 * count(distinct token) >= 9 * size
+), l as (
+  select doc_id, string_agg(distinct label, ',' order by label) as labels, max(containment) as containment
+  from (select doc_id, label, containment from m union all select doc_id, label, 1.0 from p) group by doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, cast(coalesce(containment, 0) as double) as score
+from w left join base using (doc_id) left join l using (doc_id)
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
