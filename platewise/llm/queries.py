@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_chunks, cotraining, fingerprints, license_scan, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
+from platewise.llm import bpe_chunks, cotraining, fingerprints, hard_negatives, license_scan, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,33 @@ from w left join base using (doc_id) left join l using (doc_id)
 """
 
 
+@_register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("hn_id") % 50 == 0, scale=256, positives=5, negatives=3, low=50, high=95)
+
+
+ORACLES["op12_hard_negatives"] = """
+with e as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.row as a_row, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.row <> b.row where a.vec_id % 50 = 0
+), p as (
+  select * from s where same qualify row_number() over (partition by a_row order by score desc, vec_id) <= 5
+), n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+         row_number() over (partition by p.a_row, p.vec_id order by s.score desc, s.vec_id) as rank
+  from p join s on p.a_row = s.a_row and not s.same and 100 * s.score between 50 * p.score and 95 * p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
