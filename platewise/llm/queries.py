@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_chunks, cotraining, fingerprints, hard_negatives, license_scan, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
+from platewise.llm import bpe_chunks, conversation_repair, cotraining, fingerprints, hard_negatives, license_scan, line_dedup, mixing, near_dedup, quality_rules, suffix_dedup, toxicity, warc
 from platewise.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,86 @@ select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_
 """
 
 
+@_register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(part("text"), ".!?", "")).otherwise(part("text"))
+    damaged = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(part("role")).alias("role"), text.alias("text"), (kind != 0).alias("present"), kind.alias("kind"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    out = conversation_repair.repair(damaged.select("conv_id", "turn", "role", "text", "present", F.explode(copies)), present=F.col("present"))
+    return out.toDF("conv_id", "rows", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").drop("rows")
+
+
+#: The repair as a shortest path, row by row: for each automaton state (nothing, s, u, a) the cheapest cost, the least edits and the rows so far.
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _stepped(q: int) -> str:
+    """The cheapest way into state q by the next row: deleted, kept, or given another role; infinite where there is none."""
+    move = lambda s, cost, letter, row: f"{{'c': p.b{s}.c + {cost}, 'e': p.b{s}.e || '{letter}', 't': {row}}}"
+    kept = f"p.b{{s}}.t || [r.role || ':' || r.text]"
+    options = [move(q, 4, "D", f"p.b{q}.t")]
+    for s, to, initial, name in ((0, 1, "s", None), (0, 2, "u", "user"), (1, 2, "u", "user"), (3, 2, "u", "user"), (2, 3, "a", "assistant")):
+        if to == q:
+            options.append(move(s, f"case when r.fault in ('blank', 'duplicate') or r.role[1] <> '{initial}' then 1e9 else r.late end", "K", kept.format(s=s)))
+            if name:
+                options.append(move(s, "case when r.fault in ('blank', 'duplicate') then 1e9 else 3 + r.late end", "R", f"p.b{s}.t || ['{name}:' || r.text]"))
+    return _least(*options)
+
+
+def _inserted(frame: str) -> str:
+    """Empty rows put in after any row: user after nothing, s or a, assistant after u; two at most, then costs only grow."""
+    put = lambda s, name: f"{{'c': {s}.c + 3, 'e': {s}.e || 'I', 't': {s}.t || ['{name}:']}}"
+    x2 = _least("a2", put("a0", "user"), put("a1", "user"), put("a3", "user"))
+    x3 = _least("a3", put("a2", "assistant"))
+    once = f"select * replace ({x2} as a2, {x3} as a3) from ({frame})"
+    twice = f"select * replace ({x2} as a2, {x3} as a3) from ({once})"
+    return f"select conv, i, a0 as b0, a1 as b1, a2 as b2, a3 as b3 from ({twice})"
+
+
+_NOTHING = "{'c': 0::double, 'e': '', 't': cast([] as varchar[])}"
+_NEVER = "{'c': 1e9::double, 'e': '', 't': cast([] as varchar[])}"
+ORACLES["op13_conversation_repair"] = f"""
+with recursive s as materialized (
+  select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations
+), h as materialized (
+  select s.*, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda ch: ascii(ch)::bigint)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 20 as kind from s
+), d as (
+  select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+         case kind when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+         unnest(case kind when 0 then [] when 3 then [1, 2] else [1] end) as copy from h
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+         lag(role[1]) over (partition by conv_id order by turn nulls first, role, text, copy) as before,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from d
+), f as (
+  select *, case when bare = '' then 'blank' when seen > 1 then 'duplicate' when bare[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault from o
+), r as materialized (
+  select *, case when fault = 'truncated' then 3 else 0 end as late, coalesce(cast(conv_id as varchar), '-') as conv from f
+), w as (
+  select conv, 0::bigint as i, b0, b1, b2, b3 from (
+    {_inserted(f"select distinct conv, 0 as i, {_NOTHING} as a0, {_NEVER} as a1, {_NEVER} as a2, {_NEVER} as a3 from r")})
+  union all
+  {_inserted(f"select p.conv, r.i, {_stepped(0)} as a0, {_stepped(1)} as a1, {_stepped(2)} as a2, {_stepped(3)} as a3 from w p join r on p.conv = r.conv and r.i = p.i + 1")}
+), e as (
+  select w.conv, {_least("w.b0", "w.b3")} as best from w join (select conv, max(i) as i from r group by conv) m on w.conv = m.conv and w.i = m.i
+), a as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+         count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+         count(*) filter (where before || role[1] not in ('su', 'ua', 'au')) as illegal from r group by conv
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.e, '') as audit,
+       sha256(coalesce(array_to_string(best.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id, coalesce(cast(conv_id as varchar), '-') as conv from conversations) c left join a using (conv) left join e using (conv)
+"""
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
