@@ -39,11 +39,6 @@ select count(*) as gets, count(case when stored is not null and t < stored + 180
 sql_query("dataset_summary", lambda d: "select source, count(*) as n, count(case when text is null or length(text) = 0 then 1 end) as empty, count(case when n_chars < 150 then 1 end) as tiny, round(avg(n_chars), 3) as mean_chars, max(n_chars) as max_chars from documents group by source")
 EVENT_TYPES = ("click", "view", "error", "signup", "purchase")
 sql_query("pivot_counts", lambda d: f"select {d.day('ts')} as d, {', '.join(f"count(case when event_type = '{t}' then 1 end) as {t}" for t in EVENT_TYPES)} from events group by {d.day('ts')}")
-sql_query("box_profile", lambda d: f"select l_returnflag, count(*) as n, round(avg(l_quantity), 4) as mean, {d.quantile('l_quantity', 0.5)} as median, {d.quantile('l_quantity', 0.95)} as p95 from lineitem group by l_returnflag")
-BUCKET = "case when n_chars <= q1 then 'xs' when n_chars <= q2 then 's' when n_chars <= q3 then 'm' else 'l' end"
-sql_query("bucket_summary", lambda d: f"""
-select bucket, shape, count(*) as n from (select {BUCKET} as bucket, case when n_chars % 100 <= 20 then 'tall' when n_chars % 100 <= 60 then 'flat' end as shape from documents
-  cross join (select {d.quantile('n_chars', 0.25)} as q1, {d.quantile('n_chars', 0.5)} as q2, {d.quantile('n_chars', 0.75)} as q3 from documents) q) t group by bucket, shape""")
 # Spark picks the 40 before numbering them, so that no task meets all rows
 sql_query("round_robin_select", lambda d: f"""
 with h as (select *, row_number() over (partition by p_name order by p_retailprice desc, p_partkey) as dup from part), u as (select * from h where dup = 1),
@@ -63,7 +58,6 @@ sql_query("image_profile", lambda d: "with i as (select p_partkey, p_size * 20 a
 sql_query("import_mapping", lambda d: "with f as (select l_orderkey, l_suppkey, min(l_linenumber) as first_seen, count(*) as n from lineitem group by l_orderkey, l_suppkey) select l_orderkey, l_suppkey, cast(row_number() over (partition by l_orderkey order by first_seen, l_suppkey) as int) as page, n from f")
 sql_query("missing_detail_join", lambda d: "select d.doc_id, d.lang, coalesce(cast(l.quality as varchar(5)), 'missing') as quality from documents d left join labels l on d.doc_id = l.doc_id")
 sql_query("distinct_counts", lambda d: "select l_returnflag, count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts from lineitem group by l_returnflag")
-sql_query("latency_speedup", lambda d: f"with s as (select event_type, avg(value) as mean, {d.quantile('value', 0.5)} as p50, {d.quantile('value', 0.95)} as p95 from events group by event_type) select event_type, round(mean, 4) as mean, round(p50, 4) as p50, round(p95, 4) as p95, round(case when mean <= 0 then 0e0 else p95 / mean end, 4) as speedup from s")
 sql_query("box_envelope", lambda d: "select l_orderkey, min(l_quantity) as x1, min(l_discount) as y1, max(l_quantity + l_linenumber) as x2, max(l_tax) as y2, least(min(l_tax), min(l_discount)) as conf from lineitem group by l_orderkey")
 sql_query("ocr_backend_summary", lambda d: "select case when doc_id % 2 = 0 then 'easy' else 'paddle' end as backend, round(avg(n), 4) as mean_lines, round(avg(c), 4) as mean_conf from (select doc_id, count(*) as n, avg(cast(n % 50 as double) / 50) as c from lines group by doc_id) p group by case when doc_id % 2 = 0 then 'easy' else 'paddle' end")
 sql_query("review_auto_accept", lambda d: f"with r as (select event_id, case when event_id % 4 = 0 then 'minor;typo' when event_id % 4 = 1 then 'minor;unsafe' when event_id % 4 = 2 then '' else event_type end as reason from events) select event_id, reason <> '' and {d.size(d.keep(d.split('reason', ';'), 'v', chr(39).join(['v not in (', 'minor', ', ', 'typo', ', ', 'click', ')'])))} = 0 as accepted from r")
