@@ -85,7 +85,7 @@ def _selected(values: DataFrame, sizes: DataFrame, probs: Sequence[float], most:
     return out
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str | Column, probs: Sequence[float], most: int = 10_000) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str | Column, probs: Sequence[float], most: int = 500_000) -> DataFrame:
     """The keys, ``n`` (values) and ``quantiles`` (one for each of ``probs``) of each group; no keys: one row for all."""
     key = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("all"))
     column = F.col(value) if isinstance(value, str) else value
