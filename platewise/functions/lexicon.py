@@ -98,3 +98,31 @@ DESCRIPTION_STARTERS = ["with", "served", "fresh", "crispy", "grilled", "roasted
 PRICE = r"(?i)([€$£₹₽])?\s*(\d{1,5}(?:[.,]\d{1,2})?)\s*(rub|usd|eur|inr|€|\$|£|₹|₽)?"
 PRICE_ONLY = r"(?i)^\s*[€$£₹₽]?\s*\d{1,5}(?:[.,]\d{1,2})?\s*(?:rub|usd|eur|inr|€|\$|£|₹|₽)?\s*$"
 TRAILING_PRICE = r"(?i)([€$£₹₽])?\s*(\d{1,5}(?:[.,]\d{1,2})?)\s*(rub|usd|eur|inr|€|\$|£|₹|₽)?\s*$"
+# The first parser's section words, price pattern and allergens.
+SECTION_WORDS_V1 = ["salads", "soups", "desserts", "pizza", "pasta", "drinks", "tea", "coffee", "starters", "mains", "burgers", "rolls", "sushi", "breakfast", "main course"]
+PRICE_V1 = r"(?i)([€$₽₹£])?\s?(\d{1,5}(?:[.,]\d{1,2})?)\s?(rub|usd|eur|inr)?"
+# What the layout parser adds to the lists above, and names of one word that are dishes.
+SECTION_WORDS_V3 = [*SECTION_WORDS, "sides", "sandwiches", "specials", "entrees", "burgers", "steaks", "seafood", "dessert", "classic sandwiches", "primo specials"]
+DESCRIPTION_STARTERS_V3 = [*DESCRIPTION_STARTERS, "includes", "choice", "slow", "juicy", "tender", "field", "baked", "hand", "crunchy", "creamy", "maple", "house", "smoked"]
+SINGLE_FOODS = ["gelato", "cheesecake", "brownie", "spinach", "asparagus", "corn", "pilaf", "fries", "salad"]
+WARNINGS = ["foodborne illness", "consuming raw", "risk of"]
+TRAILING_PRICE_V3 = r"(?i)(?:\||:)?\s*([€$£₹₽])?\s*(\d{1,5}(?:[.,]\d{1,2})?)\s*(rub|usd|eur|inr|€|\$|£|₹|₽)?\s*$"
+CURRENCY_CODES = {"$": "usd", "€": "eur", "£": "gbp", "₹": "inr", "₽": "rub"}
+# Words in a dish's text that name an allergen, for each of the three parsers.
+PARSED_ALLERGENS = {
+    "v1": {
+        "milk": ["milk", "cream", "cheese", "butter"], "egg": ["egg", "eggs"], "fish": ["fish", "salmon", "tuna"], "shellfish": ["shrimp", "prawn", "crab", "lobster"],
+        "tree_nuts": ["almond", "walnut", "cashew", "hazelnut"], "peanut": ["peanut"], "wheat": ["wheat", "flour", "bread"], "soy": ["soy", "soybean"], "sesame": ["sesame", "tahini"],
+    },
+    "v2": {
+        "milk": ["milk", "cream", "cheese", "butter", "mozzarella", "parmesan", "cheddar"], "egg": ["egg", "eggs", "aioli", "mayonnaise"], "fish": ["fish", "salmon", "tuna", "cod"],
+        "shellfish": ["shrimp", "prawn", "crab", "lobster", "mussels", "calamari"], "tree_nuts": ["almond", "walnut", "cashew", "hazelnut", "pistachio", "pine nuts"], "peanut": ["peanut", "peanuts"],
+        "wheat": ["wheat", "flour", "bread", "bun", "pasta", "pizza dough"], "soy": ["soy", "soybean", "soy sauce", "teriyaki"], "sesame": ["sesame", "tahini"],
+    },
+    "v3": {
+        "milk": ["milk", "cream", "cheese", "butter", "mozzarella", "parmesan", "cheddar", "gouda", "bechamel", "fudge", "gelato"], "egg": ["egg", "eggs", "aioli", "mayonnaise", "mayo", "meringue", "brulee"],
+        "fish": ["fish", "salmon", "tuna", "cod", "grouper", "walleye", "snapper", "trout", "tilapia"], "shellfish": ["shrimp", "prawn", "crab", "lobster", "mussels", "calamari", "scallop", "oyster"],
+        "tree_nuts": ["almond", "walnut", "cashew", "hazelnut", "pistachio", "pine nuts", "pecan"], "peanut": ["peanut", "peanuts"], "wheat": ["wheat", "flour", "bread", "bun", "pasta", "pizza dough", "croutons", "fries"],
+        "soy": ["soy", "soybean", "soy sauce", "teriyaki"], "sesame": ["sesame", "tahini"],
+    },
+}

@@ -1,168 +1,274 @@
 """Line parsers: a page's lines become dishes.
 
-What a line is (section, price only, name, description) is computed by column expressions;
-only the fold over a page, whose state depends on what was accepted before, runs as a
-grouped pandas function. Pages are independent, so they spread over all tasks.
+What a line is (section, price only, name, description) is computed by column expressions, and so are the dish's name, price,
+allergens and confidence from the lines that belong to it. Only what depends on the lines before runs as a fold: the merging of
+continuation lines and the choice of each dish's lines. Lines are brought together by page and sorted once; both folds and the expressions
+between them stream over that order (:mod:`platewise.operators.runs`), so a page of any length needs the memory of its open dishes only.
+
+Digits and white space in patterns are ASCII digits and Unicode white space. A dish whose lines have no price has none; in ``v1`` and ``v2`` the
+first number anywhere in the dish's text is its price, in ``v3`` only one at the end of the name line, or else of the whole text.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from platewise.functions import lexicon as L
+from platewise.operators.quantiles import exact_quantiles
+from platewise.operators.runs import fold_runs, sorted_runs
 
-ITEM = "menu_id string, page_id string, local_id string, dish_name string, description string, section string, price_value double, price_currency string, parser_confidence double"
 KEY = ["menu_id", "page_id"]
+EDGES = " -–|:"
+LANES = ("full", "left", "right")
 
 
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x{00A0}]+", " "))
+def normal(text: Column, version: str = "v2") -> Column:
+    """White space as single spaces; the layout parser also repairs signs that readers of images confuse."""
+    text = F.coalesce(text, F.lit(""))
+    if version == "v3":
+        text = F.replace(F.translate(text, "@°%", "a.."), F.lit("|"), F.lit(" | "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x{00A0}\x{1C}-\x{1F}]+", " "))
 
 
-def clean(text: Column) -> Column:
-    """A name without prices, dotted leaders and edge signs."""
-    return normal(F.btrim(F.regexp_replace(F.regexp_replace(text, L.PRICE, ""), r"[.]{2,}", " "), F.lit(" -–|:")))
+def key(text: Column) -> Column:
+    """Lower-cased letters a-z, digits, & and + in words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9&+ ]+", " "), " +", " "))
 
 
-def classify(lines: DataFrame, version: str) -> DataFrame:
-    """Add what each line is to the lines, in reading order."""
-    t = F.col("line")
-    low, words = F.lower(t), F.size(F.split("line", " "))
-    skipped = F.lit(False)
-    value = F.regexp_extract(t, L.PRICE if version != "v3" else L.TRAILING_PRICE, 2)
-    priced = value != ""
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    upper = F.coalesce(F.regexp_count(t, F.lit(r"\p{Lu}")) / F.nullif(letters, F.lit(0)), F.lit(0.0))
-    title = F.coalesce(F.regexp_count(t, F.lit(r"(^|[^A-Za-z])[A-Z]")) / F.nullif(F.regexp_count(t, F.lit("[A-Za-z]+")), F.lit(0)), F.lit(0.0))
-    name = clean(t)
-    starts = F.lit(False)
-    for word in L.DESCRIPTION_STARTERS:
-        starts = starts | low.startswith(word if version == "v2" else word + " ")
-    word_list = low.isin(*L.SECTION_WORDS)
-    weekday = low.isin(*L.WEEKDAYS)
-    noise = low.contains("foodborne illness") | low.contains("consuming raw") | low.contains("risk of")
+PRICES = {"v1": L.PRICE_V1, "v2": L.PRICE, "v3": L.TRAILING_PRICE_V3}
+
+
+def clean(text: Column, version: str = "v2") -> Column:
+    """A name without prices, dotted leaders and edge signs; text is normal."""
+    bare = F.btrim(F.regexp_replace(text, PRICES[version], ""), F.lit(EDGES))
     if version == "v1":
-        section, describes, named = word_list, F.lit(False), priced | (words <= 8)
-    elif version == "v2":
-        section = ~priced & (word_list | ((words <= 4) & (upper > 0.65)) | ((words <= 4) & low.endswith("menu")))
-        describes = ~priced & (t.contains(",") | (words >= 5) | starts)
-        digits = F.regexp_count(name, F.lit("[0-9]"))
-        named = ~F.lower(name).isin(*L.BAD_NAMES) & ~section & (F.length(name) >= 2) & (priced | (F.size(F.split(name, " ")) <= 8)) & (F.regexp_count(name, F.lit(r"\p{L}")) > 0) & (digits <= F.regexp_count(name, F.lit(r"\p{L}")))
-    else:
-        tall = (F.col("bbox_y2") - F.col("bbox_y1")) >= 1.25 * F.col("median_h")
-        mid = F.abs((F.col("bbox_x1") + F.col("bbox_x2")) / 2 - F.col("page_w") / 2) <= 0.18 * F.col("page_w")
-        centred = (F.col("page_w") > 0) & (mid | (F.col("col") != "full"))
-        styled = (title >= 0.75) | (upper > 0.6)
-        section = ~weekday & ~noise & (word_list | (~priced & low.endswith("menu")) | (~priced & (words <= 4) & centred & (tall | (styled & (words <= 3)))))
-        describes = ~priced & ~weekday & ((words >= 7) | t.rlike("[,;]") | starts | (t.rlike("^[a-z]") & (words >= 3)))
-        top = (F.col("bbox_y1") + F.col("bbox_y2")) / 2
-        key = F.trim(F.regexp_replace(low, "[^a-z0-9&+]+", " "))
-        skipped = noise | key.isin(*L.HEADER_NOISE) | F.coalesce((top != 0) & (top < 0.11 * F.col("page_h")) & (words <= 4) & ~priced, F.lit(False))
-        following = F.lead(F.col("line").rlike(L.PRICE_ONLY)).over(W.partitionBy(*KEY).orderBy("pos"))
-        named = ~noise & ~weekday & (name != "") & (priced | ((words <= 8) & ~((title < 0.45) & (upper < 0.35) & (words >= 3)) & ((words > 1) | F.coalesce(following, F.lit(False)))))
-    return lines.select(
-        *KEY, "pos", "line", "col", section.alias("is_section"), (priced & (name == "")).alias("is_price"), priced.alias("priced"), describes.alias("is_desc"), named.alias("is_name"),
-        weekday.alias("is_weekday"), skipped.alias("is_noise"), name.alias("name"), F.regexp_replace(value, ",", ".").try_cast("double").alias("value"),
-        F.lower(F.coalesce(F.nullif(F.regexp_extract(t, L.PRICE, 1), F.lit("")), F.nullif(F.regexp_extract(t, L.PRICE, 3), F.lit("")))).alias("currency"),
+        return bare
+    return F.trim(F.regexp_replace(F.btrim(F.regexp_replace(bare, r"[.]{2,}", " "), F.lit(EDGES)), " +", " "))
+
+
+def word_count(text: Column) -> Column:
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+
+
+def upper_ratio(text: Column) -> Column:
+    """Capitals among the letters."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\p{Lu}")) / F.nullif(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0)), F.lit(0.0))
+
+
+def title_ratio(text: Column) -> Column:
+    """Among the words with a letter, those whose first letter A-Z a-z is a capital."""
+    tokens = F.filter(F.split(text, " "), lambda t: t.rlike(r"\p{L}"))
+    titled = F.filter(tokens, lambda t: t.rlike("^[^A-Za-z]*[A-Z]"))
+    return F.coalesce(F.size(titled) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
+
+
+def has_price(text: Column, version: str) -> Column:
+    return text.rlike(PRICES[version])
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _starts(text: Column, words: list[str], tail: str = "") -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.startswith(w + tail)
+    return out
+
+
+# --- what a line is
+FLAGS = ["is_section", "is_price", "is_priced", "is_desc", "is_name", "is_single", "is_weekday", "is_noise", "names_weekday", "heading"]
+
+
+def _flags_v1(rows: DataFrame) -> DataFrame:
+    t = F.col("line")
+    named = has_price(t, "v1") | (word_count(t) <= 8)
+    # a line in capitals was meant to be a section too, but the rule looks at the lower-cased text, which never is
+    return _flagged(rows, is_section=F.lower(t).isin(*L.SECTION_WORDS_V1), is_name=named, heading=t)
+
+
+def _flags_v2(rows: DataFrame) -> DataFrame:
+    t, low, name = F.col("line"), F.lower("line"), clean(F.col("line"), "v2")
+    rows = rows.withColumns({"w_priced": has_price(t, "v2"), "w_words": word_count(t), "w_name": name, "w_letters": F.regexp_count(name, F.lit(r"\p{L}"))})
+    priced, words, name, letters = F.col("w_priced"), F.col("w_words"), F.col("w_name"), F.col("w_letters")
+    section = ~priced & (low.isin(*L.SECTION_WORDS) | ((words <= 4) & (low.endswith("menu") | (upper_ratio(t) > 0.65))))
+    describes = ~priced & (t.contains(",") | (words >= 5) | _starts(low, L.DESCRIPTION_STARTERS))
+    named = ~F.lower(name).isin(*L.BAD_NAMES) & ~section & (F.length(name) >= 2) & (priced | (word_count(name) <= 8)) & (letters > 0) & (F.regexp_count(name, F.lit("[0-9]")) <= letters)
+    heading = F.when(name == "", t).otherwise(name)
+    return _flagged(rows, is_section=section, is_price=priced & (name == ""), is_priced=priced, is_desc=describes, is_name=named, heading=heading)
+
+
+def _flags_v3(rows: DataFrame) -> DataFrame:
+    t, low, name = F.col("line"), F.lower("line"), clean(F.col("line"), "v3")
+    rows = rows.withColumns({"w_priced": has_price(t, "v3"), "w_words": word_count(t), "w_key": key(t), "w_name": name})
+    rows = rows.withColumns({"w_name_key": key(F.col("w_name")), "w_name_words": word_count(F.col("w_name"))})
+    priced, words, k, name, name_key, name_words = (F.col(f"w_{c}") for c in ("priced", "words", "key", "name", "name_key", "name_words"))
+    weekday, warning, header = k.isin(*L.WEEKDAYS), _any(k, L.WARNINGS), k.isin(*L.HEADER_NOISE)
+    height = _extent("bbox_y1", "bbox_y2")
+    tall = (F.col("median_h") > 0) & (height >= 1.25 * F.col("median_h"))
+    middle = F.abs(_centre("bbox_x1", "bbox_x2") - F.col("page_w") / 2) <= 0.18 * F.col("page_w")
+    centred = (F.col("page_w") > 0) & (_extent("bbox_x1", "bbox_x2") > 0) & (middle | (F.col("col") != "full"))
+    styled = (title_ratio(t) >= 0.75) | (upper_ratio(t) > 0.6)
+    by_shape = ~priced & (words <= 4) & centred & (tall | (styled & (words <= 3)))
+    section = ~weekday & ~warning & ~header & (k.isin(*L.SECTION_WORDS_V3) | (~priced & k.endswith("menu")) | by_shape)
+    y = _centre("bbox_y1", "bbox_y2")
+    on_top = (y != 0) & (F.col("page_h") > 0) & (y < 0.11 * F.col("page_h")) & (words <= 4) & ~priced
+    describes = ~priced & ~weekday & ((words >= 7) | t.rlike("[,;]") | _starts(low, L.DESCRIPTION_STARTERS_V3, " ") | (low.rlike(r"^\p{IsLowercase}") & (words >= 3)))
+    able = (name != "") & ~name_key.isin(*L.BAD_NAMES) & ~weekday & ~warning
+    # plain words: too many, a number, or mostly in small letters
+    unlike = (name_words > 8) | (name.rlike("[0-9]") & (name_words <= 2)) | ((title_ratio(name) < 0.45) & (upper_ratio(name) < 0.35) & (name_words >= 3))
+    alone = (name_words == 1) & ~name_key.isin(*L.SINGLE_FOODS)
+    return _flagged(
+        rows, is_section=section, is_price=priced & (name == ""), is_priced=priced, is_desc=describes, is_name=able & (priced | (~unlike & ~alone)), is_single=able & ~priced & ~unlike & alone, is_weekday=weekday,
+        is_noise=warning | header | on_top, names_weekday=name_key.isin(*L.WEEKDAYS), heading=F.when(name == "", t).otherwise(name),
     )
 
 
-class _Page:
-    """The dishes of one page; a dish is open from its name line until another line closes it."""
+def _flagged(rows: DataFrame, **flags: Column) -> DataFrame:
+    return rows.withColumns({f: F.coalesce(flags[f], F.lit(False)) if f in flags and f != "heading" else flags.get(f, F.lit(False)) for f in FLAGS})
 
-    def __init__(self, base: float, steps: tuple[float, float, float]):
-        self.rows: list[tuple] = []
-        self.base, self.steps = base, steps
-        self.open: dict[str, dict] = {}
 
-    def start(self, lane: str, line, section) -> None:
-        self.close(lane)
-        self.open[lane] = {"lines": [line], "section": section}
+def _extent(low: str, high: str) -> Column:
+    """Length along one axis, 0 where an end is missing."""
+    return F.when(F.col(low).isNull() | F.col(high).isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col(high) - F.col(low)))
 
-    def extend(self, lane: str, line) -> bool:
-        if lane in self.open:
-            self.open[lane]["lines"].append(line)
-        return lane in self.open
 
-    def close(self, lane: str) -> None:
-        dish = self.open.pop(lane, None)
-        if not dish or not dish["lines"][0].name:
-            return
-        first, *rest = dish["lines"]
-        priced = next((x for x in dish["lines"] if x.priced), None)
-        text = " ".join(x.name for x in rest if x.name) or None
-        earned = (priced is not None, dish["section"] is not None, text is not None)
-        confidence = min(0.95, self.base + sum(s for s, e in zip(self.steps, earned, strict=True) if e) + (0.03 if lane in ("left", "right") else 0))
-        self.rows.append((f"item_{len(self.rows) + 1:04d}", first.name, text, dish["section"], priced.value if priced else None, priced.currency if priced else None, round(confidence, 3)))
-
-
-def _fold_v1(lines) -> list[tuple]:
-    page, section, lane = _Page(0.5, (0.2, 0.1, 0.1)), None, "page"
-    for line in lines:
-        if line.is_section:
-            page.close(lane)
-            section = line.line
-        elif lane not in page.open or (line.is_name and len(page.open[lane]["lines"]) > 1):
-            page.start(lane, line, section)
-        else:
-            page.extend(lane, line)
-    page.close(lane)
-    return page.rows
-
-
-def _fold_v2(lines) -> list[tuple]:
-    page, section, lane = _Page(0.5, (0.2, 0.1, 0.1)), None, "page"
-    for line in lines:
-        waiting = lane in page.open
-        if line.is_section:
-            page.close(lane)
-            section = line.name or None
-        elif line.is_price:
-            page.extend(lane, line)
-        elif line.is_name and (line.priced or not waiting):
-            page.start(lane, line, section)
-        elif waiting and line.is_desc:
-            page.extend(lane, line)
-        elif waiting and line.is_name:
-            page.start(lane, line, section)
-    page.close(lane)
-    return page.rows
-
-
-def _fold_v3(lines) -> list[tuple]:
-    page, sections = _Page(0.52, (0.18, 0.12, 0.08)), {}
-    for line in lines:
-        lane = line.col
-        if line.is_noise:
-            continue
-        if line.is_section:
-            for each in list(page.open) if lane == "full" else [lane]:
-                page.close(each)
-            sections["page" if lane == "full" else lane] = line.name or None
-        elif line.is_weekday:
-            page.close(lane)
-        elif line.is_price or (lane in page.open and line.is_desc):
-            page.extend(lane, line)
-        elif line.is_name:
-            page.start(lane, line, sections.get(lane) or sections.get("page"))
-        else:
-            page.extend(lane, line)
-    for each in list(page.open):
-        page.close(each)
-    return page.rows
+def _centre(low: str, high: str) -> Column:
+    return F.coalesce((F.col(low) + F.col(high)) / 2, F.lit(0.0))
+
 
+CLASSES = {"v1": _flags_v1, "v2": _flags_v2, "v3": _flags_v3}
 
-FOLDS = {"v1": _fold_v1, "v2": _fold_v2, "v3": _fold_v3}
 
+def classify(lines: DataFrame, version: str) -> DataFrame:
+    """Add what each line is: the columns of ``FLAGS``. Lines have ``line`` (normal), for ``v3`` also boxes, ``col`` and the page's measures."""
+    return CLASSES[version](lines)
+
+
+# --- folds
+_CHOSEN = "number int, name_text string, details array<string>, section string, lane string"
+
+
+class _Dishes:
+    """The dishes of one page; a dish is open in its lane from its name line until another line closes it."""
+
+    lanes: tuple[str, ...] = ("full",)
+
+    def __init__(self) -> None:
+        self.number, self.section = 0, None
+        self.names: dict[str, str] = {}
+        self.details: dict[str, list[str]] = {}
+        self.sections: dict[str, str] = {}
+        self.unnamed: set[str] = set()  # lanes whose dish would be called like a day
+
+    def start(self, lane: str, text: str, unnamed: bool = False) -> None:
+        self.names[lane], self.details[lane] = text, []
+        if unnamed:
+            self.unnamed.add(lane)
+
+    def close(self, lane: str) -> Iterator[tuple]:
+        text, details = self.names.pop(lane, None), self.details.pop(lane, [])
+        dropped = lane in self.unnamed
+        self.unnamed.discard(lane)
+        if text is not None and not dropped:
+            self.number += 1
+            yield self.number, text, details, self.sections.get(lane) or self.section, lane
+
+    def end(self) -> Iterator[tuple]:
+        for lane in self.lanes:
+            yield from self.close(lane)
+
+
+class _FoldV1(_Dishes):
+    def add(self, row: tuple) -> Iterator[tuple]:
+        text, lane, is_section, is_name, heading = row[0], "full", row[2], row[6], row[11]
+        if is_section:
+            yield from self.close(lane)
+            self.section = heading
+        elif lane not in self.names:
+            self.start(lane, text)
+        elif is_name and self.details[lane]:
+            yield from self.close(lane)
+            self.start(lane, text)
+        else:
+            self.details[lane].append(text)
+
+
+class _FoldV2(_Dishes):
+    def add(self, row: tuple) -> Iterator[tuple]:
+        text, _, is_section, is_price, is_priced, is_desc, is_name, *_, heading = row
+        lane, waiting = "full", "full" in self.names
+        if is_section:
+            yield from self.close(lane)
+            self.section = heading
+        elif is_price:
+            if waiting:
+                self.names[lane] += " " + text
+        elif is_name and (is_priced or not waiting or not is_desc):
+            yield from self.close(lane)
+            self.start(lane, text)
+        elif waiting and is_desc:
+            self.details[lane].append(text)
+
+
+class _FoldV3(_Dishes):
+    """Whether a single word is a name depends on the line after it, so one line waits."""
+
+    lanes = LANES
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held: tuple | None = None
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        if self.held is not None:
+            yield from self.settle(self.held, row[3])
+        self.held = row
+
+    def end(self) -> Iterator[tuple]:
+        if self.held is not None:
+            yield from self.settle(self.held, False)
+        yield from super().end()
+
+    def settle(self, row: tuple, price_follows: bool) -> Iterator[tuple]:
+        text, lane, is_section, is_price, _, is_desc, is_name, is_single, is_weekday, is_noise, names_weekday, heading = row
+        if is_noise:
+            return
+        if is_section and lane == "full":
+            for each in self.lanes:
+                yield from self.close(each)
+            self.section = heading
+        elif is_section:
+            yield from self.close(lane)
+            self.sections[lane] = heading
+        elif is_weekday:
+            yield from self.close(lane)
+        elif is_price:
+            if lane in self.names:
+                self.names[lane] += " | " + text
+                self.unnamed.discard(lane)
+        elif lane in self.names and is_desc:
+            self.details[lane].append(text)
+        elif is_name or (is_single and price_follows):
+            yield from self.close(lane)
+            self.start(lane, text, names_weekday)
+        elif lane in self.names:
+            self.details[lane].append(text)
+
+
+FOLDS = {"v1": _FoldV1, "v2": _FoldV2, "v3": _FoldV3}
 
 _BOX = ["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]
-_PRICED = re.compile(L.TRAILING_PRICE)
-_MERGED = "menu_id string, page_id string, pos int, line string, col string, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, page_w double, page_h double, median_h double"
+_MEASURES = ["page_w", "page_h", "median_h"]
+_MERGED = "line string, col string, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, page_w double, page_h double, median_h double"
 
 
 def _span(low: float | None, high: float | None) -> tuple[float, float]:
@@ -170,66 +276,137 @@ def _span(low: float | None, high: float | None) -> tuple[float, float]:
     return (0.0, 0.0) if low is None or high is None else (max(0.0, high - low), (low + high) / 2)
 
 
-def _continues(prev: dict, cur: dict) -> bool:
-    """Whether a line goes on with the line before it: short or begun by a bridge word, unpriced, in its column, in its row or close below."""
-    if _PRICED.search(cur["line"]) or (cur["col"] != prev["col"] and "full" not in (cur["col"], prev["col"])):
-        return False
-    if len(cur["line"].split(" ")) > 3 and not cur["line"].lower().startswith(("or ", "with ", "and ", "of ")):
-        return False
-    (tall, middle), (height, centre) = (_span(x["bbox_y1"], x["bbox_y2"]) for x in (prev, cur))
-    gap = 0.0 if prev["bbox_y2"] is None or cur["bbox_y1"] is None else cur["bbox_y1"] - prev["bbox_y2"]
-    if abs(centre - middle) > 0.7 * max(tall, height, 10.0) and gap > max(8.0, 0.45 * tall):
-        return False
-    aside = cur["page_w"] > 0 and prev["col"] == "full" and cur["col"] != "full"
-    return not (aside and _span(cur["bbox_x1"], cur["bbox_x2"])[1] < 0.65 * cur["page_w"])
+class _Merge:
+    """A short, unpriced line (``bridges``) goes on with the line before it, as merged so far, in its row or close below; that becomes one line."""
+
+    def __init__(self) -> None:
+        self.open: list | None = None
+
+    def continues(self, row: tuple) -> bool:
+        (_, lane, _, y1, _, y2, *_), (_, own_lane, x1, own_y1, x2, own_y2, page_w, _, _, bridges) = self.open, row
+        if not bridges or (own_lane != lane and "full" not in (own_lane, lane)):
+            return False
+        (tall, middle), (height, centre) = _span(y1, y2), _span(own_y1, own_y2)
+        gap = 0.0 if y2 is None or own_y1 is None else own_y1 - y2
+        if abs(centre - middle) > 0.7 * max(tall, height, 10.0) and gap > max(8.0, 0.45 * tall):
+            return False
+        aside = page_w > 0 and lane == "full" and own_lane != "full"
+        return not (aside and _span(x1, x2)[1] < 0.65 * page_w)
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        if self.open is not None and self.continues(row):
+            self.parts.append(row[0])
+            for i, pick in zip(range(2, 6), (min, min, max, max), strict=True):
+                self.open[i] = pick((x for x in (self.open[i], row[i]) if x is not None), default=None)
+            return
+        yield from self.end()
+        self.open, self.parts = list(row[:-1]), [row[0]]
+
+    def end(self) -> Iterator[tuple]:
+        if self.open is not None:
+            self.open[0] = " ".join(self.parts)
+            yield tuple(self.open)
+        self.open = None
+
+
+# --- pages
+def page_measures(rows: DataFrame) -> DataFrame:
+    """Width, height and median positive line height (24 where none is known) of each page."""
+    measures = rows.groupBy(*KEY).agg(F.coalesce(F.max("bbox_x2"), F.lit(0.0)).alias("page_w"), F.coalesce(F.max("bbox_y2"), F.lit(0.0)).alias("page_h"))
+    height = _extent("bbox_y1", "bbox_y2")
+    medians = exact_quantiles(rows.where(height > 0), KEY, height, (0.5,)).select(*KEY, F.col("quantiles")[0].alias("median_h"))
+    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in KEY]
+    return measures.join(medians.withColumnsRenamed({k: f"m_{k}" for k in KEY}), on, "left").select(*KEY, "page_w", "page_h", F.coalesce("median_h", F.lit(24.0)).alias("median_h"))
+
+
+def laid_out(lines: DataFrame) -> DataFrame:
+    """Non-empty lines with the measures of their page and their column: full, left or right."""
+    boxes = {c: (F.col(c) if c in lines.columns else F.lit(None)).cast("double") for c in _BOX}
+    rows = lines.withColumns({"line": normal(F.col("text"), "v3"), **boxes}).where("line <> ''").select(*KEY, "line_order", "line", *_BOX)
+    measures = page_measures(rows).withColumnsRenamed({k: f"p_{k}" for k in KEY})
+    rows = rows.join(measures, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in KEY])
+    width, page_w = _extent("bbox_x1", "bbox_x2"), F.col("page_w")
+    broad = (width >= 0.58 * page_w) | ((F.col("bbox_x1") <= 0.22 * page_w) & (F.col("bbox_x2") >= 0.78 * page_w))
+    lane = F.when((page_w <= 0) | (width <= 0) | broad, "full").when(_centre("bbox_x1", "bbox_x2") < page_w / 2, "left").otherwise("right")
+    return rows.select(*KEY, "line_order", "line", lane.alias("col"), *_BOX, *_MEASURES)
 
 
 def merge_continuations(lines: DataFrame) -> DataFrame:
-    """Lines in reading order; a line that goes on with the one before it, as merged so far, is part of it."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = list(rows.columns)
-        merged: list[dict] = []
-        for row in rows.sort_values("pos").itertuples(index=False):
-            cur = {k: None if pd.isna(v) else v for k, v in zip(names, row, strict=True)}
-            if merged and _continues(merged[-1], cur):
-                prev = merged[-1]
-                prev["line"] += " " + cur["line"]
-                for k, pick in zip(_BOX, (min, min, max, max), strict=True):
-                    prev[k] = pick((x for x in (prev[k], cur[k]) if x is not None), default=None)
-            else:
-                merged.append(cur)
-        return pd.DataFrame(merged, columns=names)
-
-    box = [F.col(c).cast("double").alias(c) for c in (*_BOX, "page_w", "page_h", "median_h")]
-    return lines.select(*KEY, "pos", "line", "col", *box).groupBy(*KEY).applyInPandas(run, _MERGED)
-
-
-def read_order(lines: DataFrame, layout: bool) -> DataFrame:
-    """Non-empty lines with their place on the page (pos) and, with a layout, their column."""
-    rows = lines.withColumn("line", normal(F.col("text"))).where("line <> ''")
-    if not layout:
-        return rows.withColumn("pos", F.row_number().over(W.partitionBy(*KEY).orderBy("line_order"))).withColumn("col", F.lit("page"))
-    page = W.partitionBy(*KEY)
-    width = F.col("bbox_x2") - F.col("bbox_x1")
-    height = F.col("bbox_y2") - F.col("bbox_y1")
-    rows = rows.withColumns({"page_w": F.coalesce(F.max("bbox_x2").over(page), F.lit(0.0)), "page_h": F.coalesce(F.max("bbox_y2").over(page), F.lit(0.0)), "median_h": F.coalesce(F.median(F.when(height > 0, height)).over(page), F.lit(24.0))})
-    broad = (width >= 0.58 * F.col("page_w")) | ((F.col("bbox_x1") <= 0.22 * F.col("page_w")) & (F.col("bbox_x2") >= 0.78 * F.col("page_w")))
-    col = F.when((F.col("page_w") <= 0) | width.isNull() | (width <= 0) | broad, "full").when((F.col("bbox_x1") + F.col("bbox_x2")) / 2 < F.col("page_w") / 2, "left").otherwise("right")
-    order = page.orderBy(F.coalesce("bbox_y1", F.col("line_order") * 100.0), F.coalesce("bbox_x1", F.lit(0.0)), "line_order")
-    return rows.withColumns({"col": col, "pos": F.row_number().over(order)})
+    """Lines in reading order; a line that goes on with the one before it is part of it. The result is sorted by page, in that order."""
+    t = F.col("line")
+    bridges = ~has_price(t, "v3") & ((word_count(t) <= 3) | _starts(F.lower(t), ["or ", "with ", "and ", "of "]))
+    order = [F.coalesce("bbox_y1", F.col("line_order") * 100.0), F.coalesce("bbox_x1", F.lit(0.0)), "line_order", "line"]
+    runs = sorted_runs(lines.withColumn("bridges", bridges), KEY, order)
+    return fold_runs(runs, KEY, ["line", "col", *_BOX, *_MEASURES, "bridges"], _Merge, _MERGED)
+
+
+def prepared(lines: DataFrame, version: str) -> DataFrame:
+    """The lines as the parser sees them, sorted by page and in reading order."""
+    if version == "v3":
+        return merge_continuations(laid_out(lines))
+    rows = lines.withColumn("line", normal(F.col("text"))).where("line <> ''").select(*KEY, "line_order", "line", F.lit("full").alias("col"))
+    return sorted_runs(rows, KEY, ["line_order", "line"])
+
+
+def chosen_lines(lines: DataFrame, version: str) -> DataFrame:
+    """(keys, number, name_text, details, section, lane): which lines make each dish."""
+    return fold_runs(classify(prepared(lines, version), version), KEY, ["line", "col", *FLAGS], FOLDS[version], _CHOSEN)
+
+
+# --- dishes
+def price_columns(name: Column, whole: Column, version: str) -> dict[str, Column]:
+    """Value, currency and text of the price: the first number of ``whole``, in ``v3`` the last of the name line or else of ``whole``."""
+    pattern = PRICES[version]
+    source = F.when(has_price(name, version), name).otherwise(whole) if version == "v3" else whole
+    digits = F.replace(F.regexp_extract(source, pattern, 2), F.lit(","), F.lit("."))
+    value = F.nullif(digits, F.lit("")).cast("double")
+    currency = F.coalesce(F.nullif(F.regexp_extract(source, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(source, pattern, 3), F.lit("")))
+    currency = F.lower(currency)
+    if version == "v3":
+        # four digits without a point, last on the line or after a bar: the point was lost
+        lost = ~F.contains(digits, F.lit(".")) & (value >= 1000) & (value < 10000) & (F.contains(source, F.lit("|")) | F.endswith(source, digits))
+        value = F.when(lost, F.round(value / 100, 2)).otherwise(value)
+        for sign, code in L.CURRENCY_CODES.items():
+            currency = F.when(currency == sign, F.lit(code)).otherwise(currency)
+    found = F.nullif(F.regexp_extract(source, pattern, 0), F.lit(""))
+    return {"price_value": value, "price_currency": currency, "price_text": F.trim(found) if version == "v3" else found}
+
+
+def allergens(text: Column, version: str) -> Column:
+    """Sorted names of the allergens of which a word stands in the text."""
+    low = F.lower(text)
+    found = [F.when(_any(low, words), F.lit(name)) for name, words in sorted(L.PARSED_ALLERGENS[version].items())]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def confidence(version: str) -> Column:
+    """What is known of a dish, in steps."""
+    priced, placed, described = F.col("price_value").isNotNull(), F.col("section").isNotNull(), F.col("description").isNotNull()
+    if version == "v1":
+        return F.when(priced, 0.62).otherwise(0.45)
+    base, *steps = (0.52, 0.18, 0.12, 0.08, 0.03) if version == "v3" else (0.5, 0.2, 0.1, 0.1, 0.0)
+    total = F.lit(base)
+    for step, known in zip(steps, (priced, placed, described, F.col("lane") != "full"), strict=True):
+        total = total + F.when(known, step).otherwise(0.0)
+    return F.round(F.least(total, F.lit(0.95)), 3)
 
 
-def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
-    """Dishes of every page by the parser ``v1``, ``v2`` or ``v3``."""
-    fold = FOLDS[version]
+ITEM_COLUMNS = ["local_id", "dish_name", "description", "section", "price_value", "price_currency", "price_text", "explicit_allergens", "parser_confidence"]
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = fold(list(rows.sort_values("pos").itertuples(index=False)))
-        return pd.DataFrame([(*key, *r) for r in found], columns=[c.strip().split(" ")[0] for c in ITEM.split(",")])
+def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
+    """Dishes of every page by the parser ``v1``, ``v2`` or ``v3``.
 
-    rows = read_order(lines, version == "v3")
-    return classify(merge_continuations(rows) if version == "v3" else rows, version).groupBy(*KEY).applyInPandas(run, ITEM)
+    lines: menu_id, page_id, line_order, text; for ``v3`` also boxes (missing or null ones are unknown). Lines of one order stand by their text.
+    """
+    dishes = chosen_lines(lines, version)
+    details = F.filter(F.transform("details", lambda d: clean(d, version) if version != "v3" else F.trim(F.btrim(F.regexp_replace(d, PRICES["v3"], ""), F.lit(EDGES)))), lambda d: d != "")
+    described = F.nullif(F.trim(F.array_join(details, " ")), F.lit(""))
+    whole = F.concat_ws(" ", F.array("name_text"), F.col("details"))
+    digits = F.greatest(F.lit(4), F.length(F.col("number").cast("string")))
+    dishes = dishes.withColumns({"local_id": F.concat(F.lit("item_"), F.lpad(F.col("number").cast("string"), digits, F.lit("0"))), "dish_name": clean(F.col("name_text"), version), "description": described, "whole": whole})
+    dishes = dishes.withColumns(price_columns(F.col("name_text"), F.col("whole"), version) | {"explicit_allergens": allergens(F.col("whole"), version)})
+    return dishes.withColumn("parser_confidence", confidence(version)).select(*KEY, *ITEM_COLUMNS)
 
 
 def _key(text: Column) -> Column:
