@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from platewise.functions import lexicon as L
+from platewise.operators.cleanup import bound
 from platewise.operators.quantiles import exact_quantiles
 from platewise.operators.runs import fold_runs, sorted_runs
 
@@ -354,29 +355,28 @@ def chosen_lines(lines: DataFrame, version: str) -> DataFrame:
 
 
 # --- dishes
-def price_columns(name: Column, whole: Column, version: str) -> dict[str, Column]:
-    """Value, currency and text of the price: the first number of ``whole``, in ``v3`` the last of the name line or else of ``whole``."""
-    pattern = PRICES[version]
-    source = F.when(has_price(name, version), name).otherwise(whole) if version == "v3" else whole
-    digits = F.replace(F.regexp_extract(source, pattern, 2), F.lit(","), F.lit("."))
-    value = F.nullif(digits, F.lit("")).cast("double")
-    currency = F.coalesce(F.nullif(F.regexp_extract(source, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(source, pattern, 3), F.lit("")))
-    currency = F.lower(currency)
+def with_price(rows: DataFrame, name: str, whole: str, version: str) -> DataFrame:
+    """Add value, currency and text of the price: the first number of ``whole``, in ``v3`` the last of the name line or else of ``whole``."""
+    pattern, text = PRICES[version], F.col(whole)
+    if version == "v3":
+        text = F.when(has_price(F.col(name), version), F.col(name)).otherwise(text)
+    rows = rows.withColumn("w_source", text)
+    part = lambda i: F.nullif(F.regexp_extract("w_source", pattern, i), F.lit(""))
+    rows = rows.withColumns({"w_digits": F.replace(part(2), F.lit(","), F.lit(".")), "w_sign": F.lower(F.coalesce(part(1), part(3))), "price_text": F.trim(part(0)) if version == "v3" else part(0)})
+    digits, sign, value = F.col("w_digits"), F.col("w_sign"), F.col("w_digits").cast("double")
     if version == "v3":
         # four digits without a point, last on the line or after a bar: the point was lost
-        lost = ~F.contains(digits, F.lit(".")) & (value >= 1000) & (value < 10000) & (F.contains(source, F.lit("|")) | F.endswith(source, digits))
+        lost = ~F.contains(digits, F.lit(".")) & (value >= 1000) & (value < 10000) & (F.contains("w_source", F.lit("|")) | F.endswith("w_source", digits))
         value = F.when(lost, F.round(value / 100, 2)).otherwise(value)
-        for sign, code in L.CURRENCY_CODES.items():
-            currency = F.when(currency == sign, F.lit(code)).otherwise(currency)
-    found = F.nullif(F.regexp_extract(source, pattern, 0), F.lit(""))
-    return {"price_value": value, "price_currency": currency, "price_text": F.trim(found) if version == "v3" else found}
+        codes = F.create_map(*(F.lit(x) for pair in L.CURRENCY_CODES.items() for x in pair))
+        sign = F.coalesce(codes[sign], sign)
+    return rows.withColumns({"price_value": value, "price_currency": sign}).drop("w_source", "w_digits", "w_sign")
 
 
 def allergens(text: Column, version: str) -> Column:
     """Sorted names of the allergens of which a word stands in the text."""
-    low = F.lower(text)
-    found = [F.when(_any(low, words), F.lit(name)) for name, words in sorted(L.PARSED_ALLERGENS[version].items())]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    listed = sorted(L.PARSED_ALLERGENS[version].items())
+    return bound(F.lower(text), lambda low: F.filter(F.array(*(F.when(_any(low, words), F.lit(name)) for name, words in listed)), lambda x: x.isNotNull()))
 
 
 def confidence(version: str) -> Column:
@@ -405,7 +405,7 @@ def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
     whole = F.concat_ws(" ", F.array("name_text"), F.col("details"))
     digits = F.greatest(F.lit(4), F.length(F.col("number").cast("string")))
     dishes = dishes.withColumns({"local_id": F.concat(F.lit("item_"), F.lpad(F.col("number").cast("string"), digits, F.lit("0"))), "dish_name": clean(F.col("name_text"), version), "description": described, "whole": whole})
-    dishes = dishes.withColumns(price_columns(F.col("name_text"), F.col("whole"), version) | {"explicit_allergens": allergens(F.col("whole"), version)})
+    dishes = with_price(dishes, "name_text", "whole", version).withColumn("explicit_allergens", allergens(F.col("whole"), version))
     return dishes.withColumn("parser_confidence", confidence(version)).select(*KEY, *ITEM_COLUMNS)
 
 

@@ -64,10 +64,9 @@ from g
 
 @query("layout_line_classes", ORACLE)
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse.classify(parse.laid_out(_lines(spark, sf_dir)), "v3")
-    price = parse.price_columns(F.col("line"), F.col("line"), "v3")
+    rows = parse.with_price(parse.classify(parse.laid_out(_lines(spark, sf_dir)), "v3"), "line", "line", "v3")
     flags = ["is_price", "is_weekday", "is_section", "is_noise", "is_desc", "is_name", "is_single"]
     return rows.select(
-        "menu_id", "line_order", "line", F.col("col").alias("lane"), *flags, price["price_value"].alias("price_value"), price["price_currency"].alias("price_currency"),
+        "menu_id", "line_order", "line", F.col("col").alias("lane"), *flags, "price_value", "price_currency",
         F.array_join(parse.allergens(F.col("line"), "v3"), ",").alias("allergens"),
     )
