@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators import vectors
 from platewise.operators.enrich import item_text
 
 #: Dishes that combinations are built from.
@@ -245,24 +246,44 @@ def valid_candidate() -> Column:
 
 
 def similar_dishes(items: DataFrame, query_vector: list[float], query_text: str, top_k: int = 5) -> DataFrame:
-    """(rank, local_id, dish_name, section, similarity): over-fetch by cosine, filter, blend with token overlap, keep one of each (name, section).
+    """(rank, local_id, dish_name, section, similarity) of one query, as in :func:`similar_for_queries`.
 
     items: dishes with ``embedding array<double>``. max(10, 12 * top_k) rows are fetched, so what follows is small.
     """
-    k = max(1, top_k)
     query = F.array(*(F.lit(float(v)) for v in query_vector))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     vector = F.transform("embedding", lambda v: v.cast("double"))
     norm = F.sqrt(total(F.transform(vector, lambda v: v * v))) * float(sum(v * v for v in query_vector) ** 0.5)
     cosine = F.when(norm > 0, total(F.zip_with(vector, query, lambda a, b: a * b)) / norm).otherwise(0.0)
-    found = items.withColumn("cosine", cosine).orderBy(F.desc("cosine"), "local_id").limit(max(10, 12 * int(top_k)))
-    asked = sorted(set(re.findall(r"[a-z0-9]{2,}", query_text.lower())))
-    own = F.regexp_extract_all(F.lower(F.concat_ws(" ", "dish_name", "description")), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    overlap = F.size(F.array_intersect(own, _strings(asked))) / float(max(1, len(asked)))
+    found = items.withColumn("cosine", cosine).orderBy(F.desc("cosine"), "local_id").limit(fetched(top_k))
+    return reranked(found.withColumns({"query_id": F.lit(0), "query_text": F.lit(query_text)}), top_k).drop("query_id")
+
+
+def fetched(top_k: int) -> int:
+    """How many rows are fetched by vector alone."""
+    return max(10, 12 * int(top_k))
+
+
+def similar_for_queries(items: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
+    """(query_id, rank, local_id, dish_name, section, similarity): over-fetch by cosine, filter, blend with token overlap, keep one of each (name, section).
+
+    items: dishes with whole-number ``local_id`` and ``embedding``; queries: local_id (of the query; a dish of that id is left out), query_text, embedding.
+    """
+    near = vectors.knn(items, queries, fetched(top_k), "local_id", "embedding").drop("place")
+    texts = queries.select(F.col("local_id").alias("query_id"), "query_text")
+    found = near.join(texts, "query_id").join(items, near["row_id"] == items["local_id"])
+    return reranked(found, top_k)
+
+
+def reranked(found: DataFrame, top_k: int) -> DataFrame:
+    """The top_k rows of each query out of those that its vector fetched: query_id, query_text, cosine and the dish's columns."""
+    tokens = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    own, asked = tokens(F.concat_ws(" ", "dish_name", "description")), tokens(F.col("query_text"))
+    overlap = F.size(F.array_intersect(own, asked)) / F.greatest(F.lit(1), F.size(asked))
     rows = found.where(valid_candidate()).withColumn("overlap", overlap).where("not (overlap = 0 and cosine < 0.45)")
     rows = rows.withColumn("similarity", F.round(0.75 * F.col("cosine") + 0.25 * F.col("overlap"), 4))
-    key = [F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))) for c in ("dish_name", "section")]
+    key = [F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\u00A0]+", " "))) for c in ("dish_name", "section")]
     order = [F.desc("similarity"), F.desc("cosine"), F.col("local_id")]
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("place = 1")
-    best = first.orderBy(*order).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "local_id", "dish_name", "section", "similarity")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", *key).orderBy(*order))).where("place = 1")
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= max(1, top_k))
+    return best.select("query_id", "rank", "local_id", "dish_name", "section", "similarity")

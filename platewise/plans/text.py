@@ -94,6 +94,4 @@ select c.id, cast(bucket as int) as bucket, round(n / len, 6) as weight from c j
 sql_query("cosine_pairs", lambda d: f"select a.vec_id as a, b.vec_id as b, round({d.cosine('a.embedding', 'b.embedding')}, 4) + 0e0 as cosine from embeddings b join (select * from embeddings where vec_id % 20 = 0) a on a.vec_id <> b.vec_id")
 KNN = "s as (select a.vec_id as q, b.vec_id as v, b.label as label, round({cos}, 4) as cosine from embeddings b join (select * from embeddings where vec_id % 20 = 0) a on a.vec_id <> b.vec_id)"
 sql_query("vector_knn", lambda d: f"with {KNN.format(cos=d.cosine('a.embedding', 'b.embedding'))} select q, v, cosine, rn from (select *, cast(row_number() over (partition by q order by cosine desc, v) as int) as rn from s) t where rn <= 5")
-sql_query("knn_rerank_dedupe", lambda d: f"""with {KNN.format(cos=d.cosine('a.embedding', 'b.embedding'))}, o as (select *, row_number() over (partition by q order by cosine desc, v) as rn from s),
-k as (select q, v, cosine, p_name, row_number() over (partition by q, p_name order by cosine desc, v) as dup from o join part on v = p_partkey where rn <= 60 and not (cosine < 0.05e0)) select q, v, cosine, p_name from k where dup = 1""")
 sql_query("duplicate_groups", lambda d: f"select md5(text) as hash, count(*) as n, {d.gather_set('source', ',')} as sources, min(doc_id) as first_doc from documents group by md5(text) having count(*) > 1")
