@@ -1,4 +1,4 @@
-"""Queries that write, stream, fold lines or train: parsers, sinks and sources, streaming statistics, the line-role model."""
+"""Queries that write, stream or fold lines: parsers, sinks and sources, streaming statistics."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import query
 from platewise.operators import menus, parse
-from platewise.session import materialize, table, work_path
+from platewise.session import table, work_path
 from platewise.sources import files
 from platewise.streaming import monitor
 
@@ -101,12 +101,3 @@ def _timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     with monitor.StageTimer("catalog", "count") as timer:
         n = table(spark, sf_dir, "part").count()
     return spark.createDataFrame([(timer.stage, n, timer.seconds >= 0)], "stage string, rows long, timed boolean")
-
-
-@query("line_role_model")
-def _role_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from platewise.operators import roles
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_order", "text")).where(F.length("text") > 0)
-    labelled = lines.withColumn("label", F.when(F.length("text") < 60, "item_name").when(F.col("text").contains(","), "description").otherwise("noise"))
-    return roles.train_and_predict(materialize(labelled, "lines"))
