@@ -27,28 +27,50 @@ EDGES = " -–|:"
 LANES = ("full", "left", "right")
 
 
+#: White space but the plain space, for a class.
+_WHITE = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: No price at the end of a normal text is longer.
+TAIL = 24
+
+
 def normal(text: Column, version: str = "v2") -> Column:
     """White space as single spaces; the layout parser also repairs signs that readers of images confuse."""
     text = F.coalesce(text, F.lit(""))
     if version == "v3":
         text = F.replace(F.translate(text, "@°%", "a.."), F.lit("|"), F.lit(" | "))
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x{00A0}\x{1C}-\x{1F}]+", " "))
+    # single plain spaces, which are most, match nothing
+    return F.trim(F.regexp_replace(text, f" *[{_WHITE}][ {_WHITE}]*|  +", " "))
 
 
 def key(text: Column) -> Column:
     """Lower-cased letters a-z, digits, & and + in words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9&+ ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9&+]+", " "))
 
 
 PRICES = {"v1": L.PRICE_V1, "v2": L.PRICE, "v3": L.TRAILING_PRICE_V3}
 
 
+def has_price(text: Column, version: str) -> Column:
+    """Whether a price stands in a normal text; the costly pattern is tried only where a digit stands, in ``v3`` only on the end of the text."""
+    if version != "v3":
+        return text.rlike("[0-9]")
+    return F.when(F.right(text, F.lit(1)).rlike("(?i)[0-9bdr€$£₹₽]"), F.right(text, F.lit(TAIL)).rlike(PRICES["v3"])).otherwise(False)
+
+
+def without_price(text: Column, version: str) -> Column:
+    if version != "v3":
+        return F.when(has_price(text, version), F.regexp_replace(text, PRICES[version], "")).otherwise(text)
+    head = F.substring(text, F.lit(1), F.length(text) - TAIL)
+    return F.when(has_price(text, version), F.concat(head, F.regexp_replace(F.right(text, F.lit(TAIL)), PRICES["v3"], ""))).otherwise(text)
+
+
 def clean(text: Column, version: str = "v2") -> Column:
     """A name without prices, dotted leaders and edge signs; text is normal."""
-    bare = F.btrim(F.regexp_replace(text, PRICES[version], ""), F.lit(EDGES))
+    bare = F.btrim(without_price(text, version), F.lit(EDGES))
     if version == "v1":
         return bare
-    return F.trim(F.regexp_replace(F.btrim(F.regexp_replace(bare, r"[.]{2,}", " "), F.lit(EDGES)), " +", " "))
+    dotted = F.trim(F.regexp_replace(F.btrim(F.regexp_replace(bare, r"[.]{2,}", " "), F.lit(EDGES)), "  +", " "))
+    return F.when(F.contains(bare, F.lit("..")) | F.contains(bare, F.lit("  ")), dotted).otherwise(F.trim(bare))
 
 
 def word_count(text: Column) -> Column:
@@ -67,10 +89,6 @@ def title_ratio(text: Column) -> Column:
     return F.coalesce(F.size(titled) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
 
 
-def has_price(text: Column, version: str) -> Column:
-    return text.rlike(PRICES[version])
-
-
 def _any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -100,8 +118,9 @@ def _flags_v2(rows: DataFrame) -> DataFrame:
     t, low, name = F.col("line"), F.lower("line"), clean(F.col("line"), "v2")
     rows = rows.withColumns({"w_priced": has_price(t, "v2"), "w_words": word_count(t), "w_name": name, "w_letters": F.regexp_count(name, F.lit(r"\p{L}"))})
     priced, words, name, letters = F.col("w_priced"), F.col("w_words"), F.col("w_name"), F.col("w_letters")
-    section = ~priced & (low.isin(*L.SECTION_WORDS) | ((words <= 4) & (low.endswith("menu") | (upper_ratio(t) > 0.65))))
-    describes = ~priced & (t.contains(",") | (words >= 5) | _starts(low, L.DESCRIPTION_STARTERS))
+    capitals = F.when(words <= 4, upper_ratio(t) > 0.65).otherwise(False)
+    section = ~priced & (low.isin(*L.SECTION_WORDS) | ((words <= 4) & low.endswith("menu")) | capitals)
+    describes = ~priced & ((words >= 5) | t.contains(",") | _starts(low, L.DESCRIPTION_STARTERS))
     named = ~F.lower(name).isin(*L.BAD_NAMES) & ~section & (F.length(name) >= 2) & (priced | (word_count(name) <= 8)) & (letters > 0) & (F.regexp_count(name, F.lit("[0-9]")) <= letters)
     heading = F.when(name == "", t).otherwise(name)
     return _flagged(rows, is_section=section, is_price=priced & (name == ""), is_priced=priced, is_desc=describes, is_name=named, heading=heading)
@@ -117,15 +136,17 @@ def _flags_v3(rows: DataFrame) -> DataFrame:
     tall = (F.col("median_h") > 0) & (height >= 1.25 * F.col("median_h"))
     middle = F.abs(_centre("bbox_x1", "bbox_x2") - F.col("page_w") / 2) <= 0.18 * F.col("page_w")
     centred = (F.col("page_w") > 0) & (_extent("bbox_x1", "bbox_x2") > 0) & (middle | (F.col("col") != "full"))
-    styled = (title_ratio(t) >= 0.75) | (upper_ratio(t) > 0.6)
-    by_shape = ~priced & (words <= 4) & centred & (tall | (styled & (words <= 3)))
+    # what costs a scan of the text is asked for short lines only
+    styled = F.when(words <= 3, (title_ratio(t) >= 0.75) | (upper_ratio(t) > 0.6)).otherwise(False)
+    by_shape = ~priced & (words <= 4) & centred & (tall | styled)
     section = ~weekday & ~warning & ~header & (k.isin(*L.SECTION_WORDS_V3) | (~priced & k.endswith("menu")) | by_shape)
     y = _centre("bbox_y1", "bbox_y2")
     on_top = (y != 0) & (F.col("page_h") > 0) & (y < 0.11 * F.col("page_h")) & (words <= 4) & ~priced
-    describes = ~priced & ~weekday & ((words >= 7) | t.rlike("[,;]") | _starts(low, L.DESCRIPTION_STARTERS_V3, " ") | (low.rlike(r"^\p{IsLowercase}") & (words >= 3)))
+    describes = ~priced & ~weekday & ((words >= 7) | t.contains(",") | t.contains(";") | _starts(low, L.DESCRIPTION_STARTERS_V3, " ") | (F.left(low, F.lit(1)).rlike(r"\p{IsLowercase}") & (words >= 3)))
     able = (name != "") & ~name_key.isin(*L.BAD_NAMES) & ~weekday & ~warning
     # plain words: too many, a number, or mostly in small letters
-    unlike = (name_words > 8) | (name.rlike("[0-9]") & (name_words <= 2)) | ((title_ratio(name) < 0.45) & (upper_ratio(name) < 0.35) & (name_words >= 3))
+    plain_words = F.when(name_words.between(3, 8), (title_ratio(name) < 0.45) & (upper_ratio(name) < 0.35)).otherwise(False)
+    unlike = (name_words > 8) | ((name_words <= 2) & name.rlike("[0-9]")) | plain_words
     alone = (name_words == 1) & ~name_key.isin(*L.SINGLE_FOODS)
     return _flagged(
         rows, is_section=section, is_price=priced & (name == ""), is_priced=priced, is_desc=describes, is_name=able & (priced | (~unlike & ~alone)), is_single=able & ~priced & ~unlike & alone, is_weekday=weekday,
@@ -323,13 +344,13 @@ def page_measures(rows: DataFrame) -> DataFrame:
 def laid_out(lines: DataFrame) -> DataFrame:
     """Non-empty lines with the measures of their page and their column: full, left or right."""
     boxes = {c: (F.col(c) if c in lines.columns else F.lit(None)).cast("double") for c in _BOX}
-    rows = lines.withColumns({"line": normal(F.col("text"), "v3"), **boxes}).where("line <> ''").select(*KEY, "line_order", "line", *_BOX)
+    rows = lines.withColumns({**boxes, "text": F.coalesce("text", F.lit(""))}).where(F.col("text").rlike(f"[^ {_WHITE}]"))
     measures = page_measures(rows).withColumnsRenamed({k: f"p_{k}" for k in KEY})
     rows = rows.join(measures, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in KEY])
     width, page_w = _extent("bbox_x1", "bbox_x2"), F.col("page_w")
     broad = (width >= 0.58 * page_w) | ((F.col("bbox_x1") <= 0.22 * page_w) & (F.col("bbox_x2") >= 0.78 * page_w))
     lane = F.when((page_w <= 0) | (width <= 0) | broad, "full").when(_centre("bbox_x1", "bbox_x2") < page_w / 2, "left").otherwise("right")
-    return rows.select(*KEY, "line_order", "line", lane.alias("col"), *_BOX, *_MEASURES)
+    return rows.select(*KEY, "line_order", normal(F.col("text"), "v3").alias("line"), lane.alias("col"), *_BOX, *_MEASURES)
 
 
 def merge_continuations(lines: DataFrame) -> DataFrame:
@@ -400,7 +421,7 @@ def parse_pages(lines: DataFrame, version: str = "v2") -> DataFrame:
     lines: menu_id, page_id, line_order, text; for ``v3`` also boxes (missing or null ones are unknown). Lines of one order stand by their text.
     """
     dishes = chosen_lines(lines, version)
-    details = F.filter(F.transform("details", lambda d: clean(d, version) if version != "v3" else F.trim(F.btrim(F.regexp_replace(d, PRICES["v3"], ""), F.lit(EDGES)))), lambda d: d != "")
+    details = F.filter(F.transform("details", lambda d: clean(d, version) if version != "v3" else F.trim(F.btrim(without_price(d, "v3"), F.lit(EDGES)))), lambda d: d != "")
     described = F.nullif(F.trim(F.array_join(details, " ")), F.lit(""))
     whole = F.concat_ws(" ", F.array("name_text"), F.col("details"))
     digits = F.greatest(F.lit(4), F.length(F.col("number").cast("string")))
