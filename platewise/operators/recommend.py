@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -161,18 +162,26 @@ def match_label(score: Column) -> Column:
     return F.when(score >= 0.68, "Strong match").when(score >= 0.40, "Good match").otherwise("Weak match")
 
 
-def scored(items: DataFrame, request: Request) -> DataFrame:
-    """Allowed dishes with semantic_score, raw (the blend) and score (rounded to four digits)."""
+def scored_by(items: DataFrame, request: Request, semantic: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Allowed dishes with semantic_score, raw (the blend) and score (rounded to four digits).
+
+    ``semantic`` gives (local_id, semantic_score) of (local_id, text); without it, and for dishes it leaves out, the semantic score is 0.
+    """
     kept = allowed(items, request)
-    query = request.query_text()
-    if not query:
+    if semantic is None:
         kept = kept.withColumn("semantic_score", F.lit(0.0))
     else:
-        kept = kept.join(tfidf_scores(kept.select("local_id", dish_text().alias("text")), query), "local_id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
+        kept = kept.join(semantic(kept.select("local_id", dish_text().alias("text"))), "local_id", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
     kept = kept.withColumn("raw", 0.60 * F.col("semantic_score") + 0.40 * F.col("rule_score"))
     return kept.withColumn("score", F.round("raw", 4))
 
 
+def scored(items: DataFrame, request: Request) -> DataFrame:
+    """:func:`scored_by` with TF-IDF."""
+    query = request.query_text()
+    return scored_by(items, request, (lambda texts: tfidf_scores(texts, query)) if query else None)
+
+
 def top(rows: DataFrame, k: int) -> DataFrame:
     """The first k rows by score, with their rank; Spark keeps k rows a task."""
     best = rows.orderBy(F.desc("score"), "local_id").limit(max(1, k))
@@ -181,7 +190,11 @@ def top(rows: DataFrame, k: int) -> DataFrame:
 
 def recommend(items: DataFrame, request: Request) -> DataFrame:
     """The top_k rows: rank, local_id, dish_name, section, price_value, calories_mid, diet_flags (enabled), match_label, scores, reasons."""
-    best = top(scored(items, request), request.top_k)
+    return ranked_scores(top(scored(items, request), request.top_k))
+
+
+def ranked_scores(best: DataFrame) -> DataFrame:
+    """What is shown of ranked rows."""
     return best.select(
         "rank", "local_id", "dish_name", "section", "price_value", "calories_mid",
         F.map_keys(F.map_filter("diet_flags", lambda _, v: F.coalesce(v, F.lit(False)))).alias("diet_flags"),
@@ -190,11 +203,16 @@ def recommend(items: DataFrame, request: Request) -> DataFrame:
 
 
 def combinations(items: DataFrame, request: Request) -> DataFrame:
+    """:func:`combinations_of` the scored dishes."""
+    return combinations_of(scored(items, request), request)
+
+
+def combinations_of(rows: DataFrame, request: Request) -> DataFrame:
     """Sets of dishes out of the ``POOL`` best ones within the combination's limits: rank, item_ids, dish_names, sections, totals, score, label, reasons.
 
-    The pool is one row; its subsets are bit masks, so no dish is joined with another.
+    rows: scored dishes, reranked or not. The pool is one row; its subsets are bit masks, so no dish is joined with another.
     """
-    pool = top(scored(items, request), POOL).agg(F.array_sort(F.collect_list(F.struct("rank", "local_id", "dish_name", "section", "price_value", "calories_mid", "nutrition_confidence", "score"))).alias("pool"))
+    pool = top(rows, POOL).agg(F.array_sort(F.collect_list(F.struct("rank", "local_id", "dish_name", "section", "price_value", "calories_mid", "nutrition_confidence", "score"))).alias("pool"))
     least = max(2, request.combo_min_items)
     most = max(least, request.combo_max_items)
     if request.combo_budget is None and request.combo_max_calories is None:

@@ -164,8 +164,6 @@ TOP = "top as (select *, row_number() over (order by score desc, id) as rnk from
 sql_query("recommend_topk", lambda d: f"""{ranked(d)}, {TOP}
 select cast(rnk as int) as rnk, id, dish_name, score, case when raw >= 0.68e0 then 'Strong match' when raw >= 0.40e0 then 'Good match' else 'Weak match' end as label, reasons from top where rnk <= 5""")
 by_request("recommend_topk", lambda items: recommend.recommend(items, REQUEST).select(F.col("rank").alias("rnk"), F.col("local_id").alias("id"), "dish_name", "score", F.col("match_label").alias("label"), F.array_join("reasons", "|").alias("reasons")))
-sql_query("rerank_minmax", lambda d: f"""{ranked(d)}
-select id, round(0.65e0 * score + 0.35e0 * case when hi = lo then 0.5e0 else (rule - lo) / (hi - lo) end, 4) as final from blend cross join (select min(rule) as lo, max(rule) as hi from blend) m""")
 
 
 #: The combinations of the pool of eight, all 84 of them that fit.
