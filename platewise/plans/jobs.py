@@ -83,7 +83,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("p_partkey", "xc", "bw")
 
 
-STATS = "select event_type, count(*) as n, round(sum(value), 3) as total, max(value) as most from events group by event_type"
+STATS = """
+with r as (select *, 'GET /' || event_type as path, case when value > 9 then 500 when value > 8 then 404 else 200 end as status from events),
+h as (select path, status, count(*) as n from r group by path, status)
+select path, count(*) as n, count(*) filter (where status >= 400) as errors, (select string_agg(status || ':' || h.n, '|' order by status) from h where h.path = r.path) as histogram,
+       round(cast(sum(cast(value as decimal(38, 6))) as double) / count(*), 4) as mean, max(value) as most, arg_max(value, {'ts': ts, 'event_id': event_id}) as last from r group by path
+"""
 
 
 @query("stream_request_stats", STATS)
@@ -91,9 +96,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.request_stats_stream(spark, f"{sf_dir}/events.parquet")
 
 
-@query("stream_cache_ttl")
+@query("stream_cache_ttl", """
+select json_extract_string(props, '$.k') as key, count(*) as sets, strftime(max(ts) + interval 1800 seconds, '%Y-%m-%d %H:%M:%S') as expires_at
+from events group by json_extract_string(props, '$.k'), floor(epoch_us(ts) / 1800000000)
+""")
 def _ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.cache_ttl_stream(spark, f"{sf_dir}/events.parquet", 1800)
+    return monitor.cache_ttl_stream(spark, f"{sf_dir}/events.parquet", 1800).withColumn("expires_at", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stage_timer")
