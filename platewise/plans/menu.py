@@ -186,10 +186,6 @@ select id, concat_ws(' | ', dish_name, 'section: ' || nullif(section, ''), descr
   round(case when contains({FULL}, 'chicken') then 0.15e0 else 0e0 end - case when contains({FULL}, 'coffee') then 0.35e0 else 0e0 end
     + case when cal_mid <= 600 then 0.10e0 when cal_mid > 600 then -0.50e0 else 0e0 end + case when price <= 20 then 0.08e0 when price > 20 then -0.40e0 else 0e0 end, 4) as score
 from items where lower(allergen) <> 'egg'""")
-sql_query("llm_fallback_text", lambda d: f"""
-select id, concat(dish_name, case when coalesce(section, '') <> '' then concat(' from ', section) else '' end, '.') as summary,
-  case when price is null then 'Price is not listed.' else concat('Costs ', cast(cast(floor(price) as int) as varchar(20)), ' or a little more.') end as fit,
-  {d.join(d.compact("case when contains(lower(allergen), 'milk') then 'contains milk' end", "case when nut_conf < 0.5e0 then 'calories are uncertain' end"), '; ')} as caution from items""")
 sql_query("group_by_section", lambda d: f"select coalesce(nullif(section, ''), 'Unsorted') as section, min(id) as first_seen, count(*) as n, {d.gather('cast(id as varchar(20))', 'id', ',')} as ids from items group by coalesce(nullif(section, ''), 'Unsorted')")
 sql_query("rule_documents", lambda d: f"""
 select concat('ingredient:', ingredient) as doc_key, concat(ingredient, ' is found by ', {d.gather('word', 'word', ', ')}) as content from (values {', '.join(f"('{k}', '{w}')" for k, ws in L.INGREDIENT_KEYWORDS.items() for w in ws)}) as k(ingredient, word) group by ingredient""")

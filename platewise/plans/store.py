@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from platewise.catalog import ORACLES, query
 from platewise.functions.dialect import DUCK, SPARK
 from platewise.operators import cache, cleanup, recommend, rerank, retrieval
+from platewise.operators.prompts import GOALS
 from platewise.plans.base import sql_query, statement, views
 from platewise.plans.menu import REQUEST, dishes
 from platewise.session import materialize, table, work_path
@@ -179,12 +180,6 @@ sql_query("image_rules", lambda d: f"""
 with i as (select p_partkey, p_size * 60 as w, cast(floor(p_retailprice) as int) as h, p_size % 15 as n_lines, cast(p_partkey % 100 as double) / 100 as conf, p_partkey % 3 <> 0 as ok, cast(p_size as double) / 64 as bw, cast(p_partkey % 7 as double) / 8 as bh from part)
 select p_partkey, round(w * bw, 4) as box_w, round(h * bh, 4) as box_h, round(bw * bh, 6) as box_share, greatest(w, h) > 2200 or w * h > 2200000 as large,
   (n_lines >= 12 and conf >= 0.55e0) or (n_lines >= 8 and (conf >= 0.68e0 or w * h >= 2000000)) as accepted, ok and least(w, h) >= 320 as eligible from i""")
-# Words of a guest's wish and what they ask for.
-GOALS = [
-    (("vegetarian", "vegan", "plant-based", "plant based"), "plant-based preferences"), (("gluten", "gluten-free", "gf"), "gluten-aware filtering"),
-    (("dairy", "lactose", "milk-free", "milk free"), "dairy-aware filtering"), (("allergy", "allergen", "safe", "avoid"), "allergen-aware filtering"),
-    (("light", "lighter", "low calorie", "not too heavy", "healthy"), "lighter meal preferences"), (("protein", "high-protein", "high protein", "gym", "post-workout"), "protein-focused choices"),
-]
 _goal = lambda words, said: "case when " + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" then '{said}' end"
 sql_query("goal_snippets", lambda d: f"select conv_id, turn, {d.join(d.compact(*(_goal(w, s) for w, s in GOALS)), '; ')} as snippets from conversations")
 sql_query("import_stats", lambda d: "select source, count(*) as n_rows, count(distinct concat(lang, ':', cast(n_chars as varchar(20)))) as n_pages from documents group by source")
