@@ -17,13 +17,6 @@ sql_query("semi_join_composite", lambda d: f"select l_orderkey, l_linenumber, l_
 sql_query("anti_join_unused", lambda d: f"select p_partkey, p_name from part p {'left anti' if d.name == 'spark' else 'anti'} join (select l_partkey from lineitem where l_quantity > 45) l on p.p_partkey = l.l_partkey")
 sql_query("group_nested_lines", lambda d: f"select o_orderkey, {d.gather('item', 'l_linenumber', ';')} as lines, count(*) as n from (select o_orderkey, l_linenumber, concat(cast(l_partkey as varchar(20)), ':', l_returnflag) as item from orders join lineitem on o_orderkey = l_orderkey) t group by o_orderkey")
 sql_query("best_role_lookup", lambda d: "with r as (select event_type as text, user_id, value, event_id, row_number() over (partition by event_type, user_id order by coalesce(value, 0) desc, event_id desc) as rn from events) select text, user_id, value, event_id from r where rn = 1")
-GOLD = """g as (select conv_id, role as name, turn, length(text) as price, row_number() over (partition by conv_id, role order by turn) as rn from conversations),
-p as (select conv_id, case when turn % 4 = 3 then 'other' else role end as name, turn, length(text) + case when turn % 3 = 0 then 1 else 0 end as price, row_number() over (partition by conv_id, case when turn % 4 = 3 then 'other' else role end order by turn) as rn from conversations),
-m as (select coalesce(g.conv_id, p.conv_id) as conv_id, coalesce(g.name, p.name) as name, coalesce(g.rn, p.rn) as rn, g.price as gold, p.price as pred from g full outer join p on g.conv_id = p.conv_id and g.name = p.name and g.rn = p.rn)"""
-sql_query("greedy_match", lambda d: f"with {GOLD} select conv_id, name, cast(rn as int) as rn, case when gold is null then 'extra_item' when pred is null then 'missed_item' when gold <> pred then 'price_mismatch' else 'match' end as outcome from m")
-sql_query("parser_metrics", lambda d: f"""with {GOLD}, s as (select count(case when gold is not null and pred is not null then 1 end) as tp, count(case when gold is null then 1 end) as fp, count(case when pred is null then 1 end) as fn, count(case when gold = pred then 1 end) as ok from m)
-select tp, fp, fn, round(cast(tp as double) / nullif(tp + fp, 0), 4) as item_precision, round(cast(tp as double) / nullif(tp + fn, 0), 4) as item_recall, round(2e0 * tp / nullif(2 * tp + fp + fn, 0), 4) as item_f1, round(cast(ok as double) / nullif(tp, 0), 4) as price_accuracy from s""")
-sql_query("price_mae", lambda d: "select p_brand, round(avg(abs(p_retailprice - l_extendedprice / l_quantity)), 3) as mae from part join lineitem on p_partkey = l_partkey group by p_brand")
 sql_query("classification_report", lambda d: f"""
 with x as (select {ROLE} as label, {PRED} as pred from labels join documents using (doc_id)), c as (select distinct label as k from x union select distinct pred from x),
 s as (select k, count(case when label = k and pred = k then 1 end) as tp, count(case when label <> k and pred = k then 1 end) as fp, count(case when label = k and pred <> k then 1 end) as fn from c cross join x group by k)
