@@ -31,6 +31,8 @@ LANES = ("full", "left", "right")
 _WHITE = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: No price at the end of a normal text is longer.
 TAIL = 24
+#: No word that a description begins with is longer.
+HEAD = 16
 
 
 def normal(text: Column, version: str = "v2") -> Column:
@@ -47,6 +49,17 @@ def key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9&+]+", " "))
 
 
+#: No key of the word lists has more signs; the warnings and ``menu`` are sought in longer ones too.
+_LISTED = 24
+
+
+def listed_key(text: Column) -> Column:
+    """The key of a text that may be on a list, end in ``menu`` or hold a warning; empty for all others, whose keys nobody asks for."""
+    low = F.lower(text)
+    many = low.rlike(f"^(?:[^a-z0-9&+]*+[a-z0-9&+]){{{_LISTED + 1}}}")
+    return F.when(~many | _any(low, ["menu", "foodborne", "consuming", "risk"]), key(text)).otherwise("")
+
+
 PRICES = {"v1": L.PRICE_V1, "v2": L.PRICE, "v3": L.TRAILING_PRICE_V3}
 
 
@@ -115,21 +128,22 @@ def _flags_v1(rows: DataFrame) -> DataFrame:
 
 
 def _flags_v2(rows: DataFrame) -> DataFrame:
-    t, low, name = F.col("line"), F.lower("line"), clean(F.col("line"), "v2")
-    rows = rows.withColumns({"w_priced": has_price(t, "v2"), "w_words": word_count(t), "w_name": name, "w_letters": F.regexp_count(name, F.lit(r"\p{L}"))})
-    priced, words, name, letters = F.col("w_priced"), F.col("w_words"), F.col("w_name"), F.col("w_letters")
+    t, name = F.col("line"), clean(F.col("line"), "v2")
+    rows = rows.withColumns({"w_low": F.lower("line"), "w_head": F.lower(F.left("line", F.lit(HEAD))), "w_priced": has_price(t, "v2"), "w_words": word_count(t), "w_name": name, "w_letters": F.regexp_count(name, F.lit(r"\p{L}"))})
+    low, head, priced, words, name, letters = (F.col(f"w_{c}") for c in ("low", "head", "priced", "words", "name", "letters"))
     capitals = F.when(words <= 4, upper_ratio(t) > 0.65).otherwise(False)
     section = ~priced & (low.isin(*L.SECTION_WORDS) | ((words <= 4) & low.endswith("menu")) | capitals)
-    describes = ~priced & ((words >= 5) | t.contains(",") | _starts(low, L.DESCRIPTION_STARTERS))
+    describes = ~priced & ((words >= 5) | t.contains(",") | _starts(head, L.DESCRIPTION_STARTERS))
     named = ~F.lower(name).isin(*L.BAD_NAMES) & ~section & (F.length(name) >= 2) & (priced | (word_count(name) <= 8)) & (letters > 0) & (F.regexp_count(name, F.lit("[0-9]")) <= letters)
     heading = F.when(name == "", t).otherwise(name)
     return _flagged(rows, is_section=section, is_price=priced & (name == ""), is_priced=priced, is_desc=describes, is_name=named, heading=heading)
 
 
 def _flags_v3(rows: DataFrame) -> DataFrame:
-    t, low, name = F.col("line"), F.lower("line"), clean(F.col("line"), "v3")
-    rows = rows.withColumns({"w_priced": has_price(t, "v3"), "w_words": word_count(t), "w_key": key(t), "w_name": name})
-    rows = rows.withColumns({"w_name_key": key(F.col("w_name")), "w_name_words": word_count(F.col("w_name"))})
+    t, head = F.col("line"), F.col("w_head")
+    rows = rows.withColumns({"w_head": F.lower(F.left("line", F.lit(HEAD))), "w_priced": has_price(t, "v3"), "w_words": word_count(t), "w_key": listed_key(t), "w_name": clean(t, "v3")})
+    other = F.col("w_name") != t
+    rows = rows.withColumns({"w_name_key": F.when(other, listed_key(F.col("w_name"))).otherwise(F.col("w_key")), "w_name_words": F.when(other, word_count(F.col("w_name"))).otherwise(F.col("w_words"))})
     priced, words, k, name, name_key, name_words = (F.col(f"w_{c}") for c in ("priced", "words", "key", "name", "name_key", "name_words"))
     weekday, warning, header = k.isin(*L.WEEKDAYS), _any(k, L.WARNINGS), k.isin(*L.HEADER_NOISE)
     height = _extent("bbox_y1", "bbox_y2")
@@ -142,7 +156,7 @@ def _flags_v3(rows: DataFrame) -> DataFrame:
     section = ~weekday & ~warning & ~header & (k.isin(*L.SECTION_WORDS_V3) | (~priced & k.endswith("menu")) | by_shape)
     y = _centre("bbox_y1", "bbox_y2")
     on_top = (y != 0) & (F.col("page_h") > 0) & (y < 0.11 * F.col("page_h")) & (words <= 4) & ~priced
-    describes = ~priced & ~weekday & ((words >= 7) | t.contains(",") | t.contains(";") | _starts(low, L.DESCRIPTION_STARTERS_V3, " ") | (F.left(low, F.lit(1)).rlike(r"\p{IsLowercase}") & (words >= 3)))
+    describes = ~priced & ~weekday & ((words >= 7) | t.contains(",") | t.contains(";") | _starts(head, L.DESCRIPTION_STARTERS_V3, " ") | (F.left(head, F.lit(1)).rlike(r"\p{IsLowercase}") & (words >= 3)))
     able = (name != "") & ~name_key.isin(*L.BAD_NAMES) & ~weekday & ~warning
     # plain words: too many, a number, or mostly in small letters
     plain_words = F.when(name_words.between(3, 8), (title_ratio(name) < 0.45) & (upper_ratio(name) < 0.35)).otherwise(False)
@@ -155,7 +169,9 @@ def _flags_v3(rows: DataFrame) -> DataFrame:
 
 
 def _flagged(rows: DataFrame, **flags: Column) -> DataFrame:
-    return rows.withColumns({f: F.coalesce(flags[f], F.lit(False)) if f in flags and f != "heading" else flags.get(f, F.lit(False)) for f in FLAGS})
+    # inside a lambda: spelled out as code, so many tests make a method too large for the JVM to compile
+    listed = [(F.coalesce(flags[f], F.lit(False)) if f in flags and f != "heading" else flags.get(f, F.lit(False))).alias(f) for f in FLAGS]
+    return rows.withColumn("w_flags", bound(F.col("line"), lambda _: F.struct(*listed))).select("*", "w_flags.*").drop("w_flags")
 
 
 def _extent(low: str, high: str) -> Column:
@@ -356,7 +372,7 @@ def laid_out(lines: DataFrame) -> DataFrame:
 def merge_continuations(lines: DataFrame) -> DataFrame:
     """Lines in reading order; a line that goes on with the one before it is part of it. The result is sorted by page, in that order."""
     t = F.col("line")
-    bridges = ~has_price(t, "v3") & ((word_count(t) <= 3) | _starts(F.lower(t), ["or ", "with ", "and ", "of "]))
+    bridges = ~has_price(t, "v3") & ((word_count(t) <= 3) | _starts(F.lower(F.left(t, F.lit(HEAD))), ["or ", "with ", "and ", "of "]))
     order = [F.coalesce("bbox_y1", F.col("line_order") * 100.0), F.coalesce("bbox_x1", F.lit(0.0)), "line_order", "line"]
     runs = sorted_runs(lines.withColumn("bridges", bridges), KEY, order)
     return fold_runs(runs, KEY, ["line", "col", *_BOX, *_MEASURES, "bridges"], _Merge, _MERGED)
@@ -382,7 +398,9 @@ def with_price(rows: DataFrame, name: str, whole: str, version: str) -> DataFram
     if version == "v3":
         text = F.when(has_price(F.col(name), version), F.col(name)).otherwise(text)
     rows = rows.withColumn("w_source", text)
-    part = lambda i: F.nullif(F.regexp_extract("w_source", pattern, i), F.lit(""))
+    # a price at the end is sought there only
+    rows = rows.withColumn("w_spot", F.when(has_price(F.col("w_source"), version), F.right("w_source", F.lit(TAIL)) if version == "v3" else F.col("w_source")))
+    part = lambda i: F.nullif(F.regexp_extract("w_spot", pattern, i), F.lit(""))
     rows = rows.withColumns({"w_digits": F.replace(part(2), F.lit(","), F.lit(".")), "w_sign": F.lower(F.coalesce(part(1), part(3))), "price_text": F.trim(part(0)) if version == "v3" else part(0)})
     digits, sign, value = F.col("w_digits"), F.col("w_sign"), F.col("w_digits").cast("double")
     if version == "v3":
@@ -391,7 +409,7 @@ def with_price(rows: DataFrame, name: str, whole: str, version: str) -> DataFram
         value = F.when(lost, F.round(value / 100, 2)).otherwise(value)
         codes = F.create_map(*(F.lit(x) for pair in L.CURRENCY_CODES.items() for x in pair))
         sign = F.coalesce(codes[sign], sign)
-    return rows.withColumns({"price_value": value, "price_currency": sign}).drop("w_source", "w_digits", "w_sign")
+    return rows.withColumns({"price_value": value, "price_currency": sign}).drop("w_source", "w_spot", "w_digits", "w_sign")
 
 
 def allergens(text: Column, version: str) -> Column:
