@@ -100,7 +100,8 @@ class Spark:
         return f"get_json_object({x}, '$.{key}')"
 
     def format_int(self, x: str, width: int) -> str:
-        return f"lpad(cast({x} as string), {width}, '0')"
+        # padded, never cut
+        return f"lpad(cast({x} as string), greatest({width}, length(cast({x} as string))), '0')"
 
     def cosine(self, a: str, b: str) -> str:
         dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, v) -> s + v)"
@@ -200,7 +201,7 @@ class Duck(Spark):
         return f"json_extract_string({x}, '$.{key}')"
 
     def format_int(self, x, width):
-        return f"lpad(cast({x} as varchar), {width}, '0')"
+        return f"lpad(cast({x} as varchar), cast(greatest({width}, length(cast({x} as varchar))) as int), '0')"
 
     def cosine(self, a, b):
         return f"coalesce(list_dot_product({a}::double[], {b}::double[]) / nullif(sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])), 0), 0)"

@@ -32,10 +32,11 @@ select count(*) as gets, count(case when stored is not null and t < stored + 180
 sql_query("dataset_summary", lambda d: "select source, count(*) as n, count(case when text is null or length(text) = 0 then 1 end) as empty, count(case when n_chars < 150 then 1 end) as tiny, round(avg(n_chars), 3) as mean_chars, max(n_chars) as max_chars from documents group by source")
 EVENT_TYPES = ("click", "view", "error", "signup", "purchase")
 sql_query("pivot_counts", lambda d: f"select {d.day('ts')} as d, {', '.join(f"count(case when event_type = '{t}' then 1 end) as {t}" for t in EVENT_TYPES)} from events group by {d.day('ts')}")
-# Spark picks the 40 before numbering them, so that no task meets all rows
+# Spark keeps 40 rows a brand in each task before it shuffles, then 40 in all, and numbers these: no task meets a whole brand
 sql_query("round_robin_select", lambda d: f"""
 with h as (select *, row_number() over (partition by p_name order by p_retailprice desc, p_partkey) as dup from part), u as (select * from h where dup = 1),
-b as (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rnd, count(*) over (partition by p_brand) as size, max(p_retailprice) over (partition by p_brand) as top from u)
+g as (select p_brand as brand, count(*) as size, max(p_retailprice) as top from u group by p_brand),
+b as (select * from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rnd from u) r join g on brand = p_brand where rnd <= 40)
 select p_partkey, p_brand, cast(row_number() over (order by rnd, size, top desc, p_brand) as int) as pick from {"(select * from b order by rnd, size, top desc, p_brand limit 40) b" if d.name == "spark" else "b"} order by rnd, size, top desc, p_brand limit 40""")
 sql_query("latest_per_key", lambda d: "select l_partkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc) as rn from lineitem) t where rn = 1")
 sql_query("item_ids", lambda d: f"select l_orderkey, l_linenumber, concat('menu_', cast(l_orderkey as varchar(20)), '_i', {d.format_int('row_number() over (partition by l_orderkey order by l_linenumber)', 3)}) as item_id from lineitem")

@@ -186,7 +186,8 @@ select id, concat_ws(' | ', dish_name, 'section: ' || nullif(section, ''), descr
   round(case when contains({FULL}, 'chicken') then 0.15e0 else 0e0 end - case when contains({FULL}, 'coffee') then 0.35e0 else 0e0 end
     + case when cal_mid <= 600 then 0.10e0 when cal_mid > 600 then -0.50e0 else 0e0 end + case when price <= 20 then 0.08e0 when price > 20 then -0.40e0 else 0e0 end, 4) as score
 from items where lower(allergen) <> 'egg'""")
-sql_query("group_by_section", lambda d: f"select coalesce(nullif(section, ''), 'Unsorted') as section, min(id) as first_seen, count(*) as n, {d.gather('cast(id as varchar(20))', 'id', ',')} as ids from items group by coalesce(nullif(section, ''), 'Unsorted')")
+sql_query("group_by_section", lambda d: """
+with s as (select coalesce(nullif(section, ''), 'Unsorted') as section, id from items), g as (select section, min(id) as first_seen, count(*) as n from s group by section)
+select section, first_seen, n, id from s join g using (section)""")
 sql_query("rule_documents", lambda d: f"""
 select concat('ingredient:', ingredient) as doc_key, concat(ingredient, ' is found by ', {d.gather('word', 'word', ', ')}) as content from (values {', '.join(f"('{k}', '{w}')" for k, ws in L.INGREDIENT_KEYWORDS.items() for w in ws)}) as k(ingredient, word) group by ingredient""")
-sql_query("load_json_resource", lambda d: f"select ingredient, kcal, serving, round(kcal * serving / 100, 3) as portion from (values {', '.join(f"('{k}', {c}e0, {g}e0)" for k, (c, g) in L.NUTRITION.items())}) as n(ingredient, kcal, serving)")

@@ -28,18 +28,32 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_json_items(spark: SparkSession, path: str, item_ddl: str) -> DataFrame:
-    """Rows of JSON files that hold a list, an object with ``items``, or one object."""
+    """Rows of JSON files that hold a list, an object with a list ``items``, or one object; anything else raises, as does bad JSON."""
     whole = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(F.from_json("value", f"array<struct<{item_ddl}>>"), F.from_json("value", f"struct<items: array<struct<{item_ddl}>>>")["items"], F.array(F.from_json("value", f"struct<{item_ddl}>")))
+    parsed = F.parse_json("value")
+    kind, inner = F.schema_of_variant(parsed), F.schema_of_variant(F.try_variant_get(parsed, "$.items", "variant"))
+    rows = f"array<struct<{item_ddl}>>"
+    bad = F.raise_error(F.lit("a file of items holds neither a list nor an object")).cast(rows)
+    listed = (
+        F.when(kind.startswith("ARRAY"), F.from_json("value", rows, {"mode": "FAILFAST"}))
+        .when(kind.startswith("OBJECT") & inner.startswith("ARRAY"), F.from_json("value", f"struct<items: {rows}>", {"mode": "FAILFAST"})["items"])
+        .when(kind.startswith("OBJECT"), F.array(F.from_json("value", f"struct<{item_ddl}>", {"mode": "FAILFAST"})))
+        .otherwise(bad)
+    )
     return whole.select(F.explode(listed).alias("r")).select("r.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A report, or no rows where the file is missing."""
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException:
+    """A report of JSON lines, or no rows where the path is missing; a file that doesn't fit the schema raises when it is read."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "webp", "bmp")) -> DataFrame:
