@@ -16,6 +16,8 @@ from platewise.functions import lexicon as L
 
 NOTE_HEURISTIC = "heuristic nutrition estimate from dish title, section and description"
 NOTE_REFERENCE = "nutrition reference lookup matched ingredient-level records in PostgreSQL"  # fixed value
+#: Decimal ties round up, whatever the last bit of a sum is.
+TIE = 1e-9
 _CALORIES = "struct<low:double,mid:double,high:double>"
 
 
@@ -103,7 +105,7 @@ def heuristic_range(base: Column, hints: Column, text: Column) -> Column:
         sums.append(total)
     low = F.greatest(F.lit(40.0), sums[0])
     mid = F.greatest(low, sums[1])
-    return F.struct(F.round(low, 1).alias("low"), F.round(mid, 1).alias("mid"), F.round(F.greatest(mid, sums[2]), 1).alias("high"))
+    return F.struct(F.round(low, 1).alias("low"), F.round(mid + TIE, 1).alias("mid"), F.round(F.greatest(mid, sums[2]), 1).alias("high"))
 
 
 def filled(value: Column) -> Column:
@@ -124,9 +126,9 @@ def reference_estimate(evidence: Column, references: dict[str, tuple[float, floa
     out = F.struct(
         F.array_sort(F.transform(known, lambda e: e["ingredient"])).alias("matched"),
         F.round(add(weights) / F.size(known), 3).alias("weight"),
-        F.round(F.greatest(F.lit(40.0), mid * 0.8), 1).alias("low"),
-        F.round(mid, 1).alias("mid"),
-        F.round(mid * 1.25, 1).alias("high"),
+        F.round(F.greatest(F.lit(40.0), mid * 0.8) + TIE, 1).alias("low"),
+        F.round(mid + TIE, 1).alias("mid"),
+        F.round(mid * 1.25 + TIE, 1).alias("high"),
         F.least(F.lit(0.2), 0.05 * F.size(known)).alias("bonus"),
     )
     return F.when((F.size(known) > 0) & (mid > 0), out)
@@ -169,7 +171,7 @@ def enrich(items: DataFrame, references: dict[str, tuple[float, float]] | None =
     floor = F.when(reference.isNull(), F.col("en_floor")).otherwise(F.least(F.lit(0.98), F.col("en_floor") + reference["bonus"]))
     step = step.withColumns({"en_blend": F.when(reference.isNull(), 0.0).otherwise(blend), "nutrition_confidence": F.round(F.least(F.lit(0.98), F.greatest(floor, calibrated)), 3)})
     share = F.col("en_blend")
-    calories = {f"calories_{n}": F.when(reference.isNull(), F.col("en_heuristic")[n]).otherwise(F.round((1.0 - share) * F.col("en_heuristic")[n] + share * reference[n], 1)) for n in ("low", "mid", "high")}
+    calories = {f"calories_{n}": F.when(reference.isNull(), F.col("en_heuristic")[n]).otherwise(F.round((1.0 - share) * F.col("en_heuristic")[n] + share * reference[n] + TIE, 1)) for n in ("low", "mid", "high")}
     named = ", ".join(sorted(versions))
     notes = [
         F.lit(NOTE_HEURISTIC),
