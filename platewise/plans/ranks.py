@@ -12,9 +12,10 @@ from platewise.plans.base import sql_query
 from platewise.session import table
 
 sql_query("wave_plan", lambda d: f"with r as (select p_partkey, row_number() over (order by p_retailprice desc, p_partkey) as rnk from part), w as (select *, {d.idiv('(rnk - 1)', '25')} + 1 as wave from r) select concat('wave_', {d.format_int('wave', 2)}) as wave_id, count(*) as size, min(rnk) as lo, max(rnk) as hi from w group by wave")
-sql_query("percentile_rank_blend", lambda d: """
-with r as (select p_partkey, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2e0) / count(*) over () as a, (rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2e0) / count(*) over () as b from part)
-select p_partkey, round(0.55e0 * a + 0.45e0 * b + 1e-10, 6) as blend from r""")
+_RANK = "case when {c} is null then 0e0 else (rank() over (order by {c} nulls last) + (count(*) over (partition by {c}) - 1) / 2e0) / count({c}) over () end"
+sql_query("percentile_rank_blend", lambda d: f"""
+with i as (select p_partkey, p_size * floor(p_retailprice) as area, case when p_size % 10 <> 0 then p_retailprice end as bytes, case when p_size % 7 <> 0 then p_size / p_retailprice end as aspect from part)
+select p_partkey, round(0.55e0 * {_RANK.format(c='area')} + 0.25e0 * {_RANK.format(c='bytes')} + 0.20e0 * {_RANK.format(c='aspect')} + 1e-10, 6) as blend from i""")
 sql_query("mixed_sort_nulls", lambda d: "select o_orderkey, c_acctbal, cast(row_number() over (order by c_acctbal desc nulls last, o_orderkey) as int) as pos from orders left join (select * from customer where c_acctbal > 0) c on o_custkey = c_custkey")
 
 
@@ -25,19 +26,25 @@ def _wave_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select(F.format_string("wave_%02d", "wave").alias("wave_id"), "size", "lo", "hi")
 
 
-def _percentiles(part: DataFrame, column: str, name: str, rows: int) -> DataFrame:
-    """(value, name): the average rank of each value as a share of all rows."""
-    counts = part.groupBy(F.col(column).alias(f"{name}_value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = running_total(counts, [F.col(f"{name}_value").asc()], "upto", "n")
-    return upto.select(f"{name}_value", ((F.expr("upto - n + 1") + F.expr("(n - 1) / 2e0")) / F.lit(rows)).alias(name))
+def _percentiles(rows: DataFrame, column: str) -> DataFrame:
+    """(key, share): the average rank of each value as a share of the rows that have one; null has no rank."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_total(counts, [F.col("key").asc()], "upto", "n")
+    known = rows.agg(F.count(column)).first()[0]
+    return upto.select("key", (F.expr("(upto - n + 1) + (n - 1) / 2e0") / F.lit(max(1, known))).alias("share"))
 
 
 def _percentile_rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    rows = part.count()
-    for column, name in (("p_size", "a"), ("p_retailprice", "b")):
-        part = part.join(_percentiles(table(spark, sf_dir, "part"), column, name, rows), F.col(column).eqNullSafe(F.col(f"{name}_value")))
-    return part.select("p_partkey", F.expr("round(0.55e0 * a + 0.45e0 * b + 1e-10, 6)").alias("blend"))
+    """Images by size, bytes and shape: 0.55, 0.25 and 0.20 of their percentile ranks; an unknown measure counts 0."""
+    part = table(spark, sf_dir, "part")
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    rows = part.select("p_partkey", (size * F.floor(price)).alias("area"), F.when(size % 10 != 0, price).alias("bytes"), F.when(size % 7 != 0, size / price).alias("aspect"))
+    out, blend = rows, F.lit(0.0)
+    for column, share in (("area", 0.55), ("bytes", 0.25), ("aspect", 0.20)):
+        ranks = _percentiles(rows, column).toDF(f"{column}_key", f"{column}_share")
+        out = out.join(ranks, F.col(column) == F.col(f"{column}_key"), "left")
+        blend = blend + share * F.coalesce(f"{column}_share", F.lit(0.0))
+    return out.select("p_partkey", F.round(blend + 1e-10, 6).alias("blend"))
 
 
 def _mixed_sort_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
