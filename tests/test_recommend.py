@@ -131,3 +131,15 @@ def test_similar_dishes(spark):
     items = frame(spark, *rows).withColumn("embedding", F.element_at(F.create_map(*(x for k, v in vectors.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("local_id")))
     got = recommend.similar_dishes(items, [1.0, 0.0], "chicken rice", 3).orderBy("rank").collect()
     assert [(r.local_id, r.similarity) for r in got] == [("a", 1.0)]
+
+
+def test_tfidf_never_broadcasts_its_counts(spark, tmp_path):
+    # a small file may hold many rows: what is broadcast is the right side only, terms of the query and hot ones
+    rows = [(i, f"hot soup number{i} with rice") for i in range(400)]
+    spark.createDataFrame(rows, "local_id long, text string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    scores = recommend.tfidf_scores(texts, "hot rice number7")
+    assert "BuildLeft" not in scores._jdf.queryExecution().executedPlan().toString()
+    want = tfidf([t for _, t in rows], "hot rice number7")
+    got = {r.local_id: r.semantic_score for r in scores.collect()}
+    assert got == pytest.approx({i: s for i, s in enumerate(want) if s > 0})
