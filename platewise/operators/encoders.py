@@ -81,14 +81,18 @@ class BagOfWords:
         asked = Counter(query.lower().split())
         if not asked:
             return texts.select("local_id", F.lit(0.0).alias("semantic_score")).limit(0)
-        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-        own = texts.select("local_id", words.alias("words"), F.array_distinct(words).alias("kinds"))
-        count = lambda w: F.size(F.filter("words", lambda x: x == w)).cast("double")
-        norm = F.sqrt(F.aggregate(F.transform("kinds", lambda w: count(w) * count(w)), F.lit(0.0), lambda s, x: s + x)) * float(sum(n * n for n in asked.values()) ** 0.5)
+        words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), "")
+        # only texts that share a word have a score; a word's number is what its removal takes away
+        own = texts.select("local_id", words.alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(asked)))))
         dot = F.lit(0.0)
         for word, n in sorted(asked.items()):
-            dot = dot + count(F.lit(word)) * float(n)
-        return own.select("local_id", F.when(norm > 0, dot / norm).otherwise(0.0).alias("semantic_score")).where("semantic_score > 0")
+            dot = dot + (F.size("words") - F.size(F.array_remove("words", word))) * float(n)
+        # over sorted words, a word that is the n-th of its kind adds n^2 - (n - 1)^2
+        run = lambda s, w: F.when(s["word"] == w, s["run"] + 1).otherwise(1)
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("square"))
+        square = F.aggregate(F.array_sort("words"), start, lambda s, w: F.struct(w.alias("word"), run(s, w).alias("run"), (s["square"] + 2 * run(s, w) - 1).alias("square")), lambda s: s["square"])
+        norm = F.sqrt(square.cast("double")) * float(sum(n * n for n in asked.values()) ** 0.5)
+        return own.select("local_id", (dot / norm).alias("semantic_score"))
 
 
 @dataclass

@@ -65,3 +65,10 @@ def test_combinations_use_the_reranked_scores(spark):
     best = again.combinations.orderBy("rank").first()
     assert set(best.item_ids) == {"b", "c"}
     assert encoders.recommend_all(items.limit(0), request, CHAIN).rows.count() == 0
+
+
+def test_bag_of_words_counts_repeats_and_skips_texts_without_a_word_of_the_query(spark):
+    rows = spark.createDataFrame([(1, "rice Rice beans  rice"), (2, "soup"), (3, " "), (4, "a rice a")], "local_id long, text string")
+    got = encoders.BagOfWords().scores(rows, "rice rice tea")
+    assert "filter(" not in got._jdf.queryExecution().optimizedPlan().toString().replace("Filter (", "")
+    assert {r.local_id: r.semantic_score for r in got.collect()} == pytest.approx({1: 6 / (10**0.5 * 5**0.5), 4: 2 / (5**0.5 * 5**0.5)})
