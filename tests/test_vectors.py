@@ -64,3 +64,16 @@ def test_inverted_file_covers_all_rows_and_reaches_its_recall(spark, monkeypatch
     probes = index.tuned(queries, 5, 0.9)
     assert probes < 16 and index.recall(queries, 5, probes) >= 0.9
     assert found(index.search(queries, 5, 16, digits=9)) == brute_force(x, range(0, 1500, 15), 5)
+
+
+def test_cosine_pairs_in_many_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    values = [[float(x) for x in rng.normal(size=5)] for _ in range(70)] + [None, [0.0] * 5, [1.0, None, 0.0, 0.0, 1.0]]
+    rows = spark.createDataFrame([*enumerate(values), (None, [1.0] * 5)], "vec_id long, embedding array<float>")
+    found = vectors.cosine_pairs(rows, rows.where("vec_id % 6 = 0"), "vec_id", "embedding", cells=64)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are no interpreted folds
+    got = {(r.query_id, r.row_id): r.cosine for r in found.collect()}
+    x = np.array([v if v is not None and None not in v else [0.0] * 5 for v in values], np.float32).astype(float)
+    norm = np.linalg.norm(x, axis=1)
+    want = {(a, b): float(x[a] @ x[b] / (norm[a] * norm[b])) if norm[a] * norm[b] else 0.0 for a in range(0, len(x), 6) for b in range(len(x)) if a != b}
+    assert got == pytest.approx(want, abs=5.1e-5)
