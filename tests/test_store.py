@@ -171,3 +171,13 @@ def test_answers_of_all_shapes(spark):
     for bad in ("{items", '{"items": 4}'):
         with pytest.raises(Exception, match="no list"):
             spark.createDataFrame([(bad,)], "t string").select(store.response_items("t", "id int")).collect()
+
+
+def test_equal_texts_are_compared_once_and_all_are_answered(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"k{i:02d}", "t", f"s{i}", "n", "rice soup" if i % 2 else "beef stew") for i in range(20)], retrieval.DOCUMENT)
+    queries = spark.createDataFrame([(i, "rice soup") for i in range(9)], "local_id long, query_text string")
+    scans, share = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: scans.append(1) or share(self, value))
+    got = retrieval.retrieve(docs, queries, 3, block=1)
+    assert len(scans) == 1
+    assert {(r.local_id, r["rank"]): (r.source_id, r.similarity) for r in got.collect()} == {(i, n + 1): (s, 1.0) for i in range(9) for n, s in enumerate(["s1", "s3", "s5"])}
