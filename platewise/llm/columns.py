@@ -24,11 +24,14 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, share:
     """Inner or left join with a table of unique keys of bounded width that holds the number of ``left`` rows of each key.
 
     Fewer than ``share`` keys hold more than one in ``share`` of the rows: these are broadcast, so a hot key
-    stays spread as it is. What goes through the shuffle is free of hot keys.
+    stays spread as it is. What goes through the shuffle is free of hot keys; they are left out by a filter, not by another join.
     """
     total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     limit = max(1, int(total) // share)
     hot = right.where(F.col(count) > limit)
+    keys = [r[0] for r in hot.select(on).collect()]  # fewer than ``share``
+    if not keys:
+        return left.join(right, on, how)
     spread = left.join(F.broadcast(hot), on)
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(count) <= limit), on, how)
+    rest = left.where(~F.coalesce(F.col(on).isin(keys), F.lit(False))).join(right.where(F.col(count) <= limit), on, how)
     return spread.unionByName(rest)

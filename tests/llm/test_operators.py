@@ -464,3 +464,16 @@ def test_pipeline_stages(spark):
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
     out = corpus_pipeline.tokens(spark, docs, SF)
     assert out.count() == docs.count() > 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_counted_sets_hot_keys_apart_without_another_join(spark, how):
+    from platewise.llm.columns import join_counted
+
+    keys = [b"hot"] * 60 + [f"k{i}".encode() for i in range(40)] + [None]
+    left = spark.createDataFrame([(k if k is None else bytearray(k), i) for i, k in enumerate(keys)], "key binary, i int")
+    right = spark.createDataFrame([(bytearray(b"hot"), 60, 1)] + [(bytearray(f"k{i}".encode()), 1, 2) for i in range(0, 40, 2)], "key binary, n long, v int")
+    got = join_counted(left, right, "key", "n", share=10, how=how)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    value = lambda k: 1 if k == b"hot" else 2 if k and int(k[1:]) % 2 == 0 else None
+    assert {(r.i, r.v) for r in got.collect()} == {(i, value(k)) for i, k in enumerate(keys) if how == "left" or value(k)}
