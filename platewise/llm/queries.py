@@ -71,7 +71,7 @@ from j group by doc_id
 @_register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules.judge(docs, table(spark, sf_dir, "labels"), sample=4000)
+    out = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 

@@ -310,6 +310,20 @@ def test_rules_odd_rows(spark, odd):
     assert len(got) == 11 and all(r.kept == (not r.base_failed) for r in got)
 
 
+def test_rules_learn_from_every_labelled_row(spark):
+    from pyspark.sql import functions as F
+
+    from platewise.llm.sampling import seeded_order
+
+    # the bad rows come after the first 4,000 in the order of the former sample
+    ids = [r.id for r in spark.range(4300).orderBy(seeded_order(F.col("id"), 7), "id").collect()]
+    text = lambda i, bad: " ".join(f"w{i + j}{'#$' * bad}" for j in range(25))
+    docs = spark.createDataFrame([(i, text(i, at >= 4150)) for at, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(at < 4150)) for at, i in enumerate(ids)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert not any(got[i] for i in ids[4150:]) and sum(not got[i] for i in ids[:4150]) <= int(0.002 * 4150)
+
+
 # --- quality classifier
 def test_co_training_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
