@@ -24,6 +24,8 @@ def append_session(path: str, sessions: DataFrame, items: DataFrame) -> None:
     text = item_text(F.col("dish_name"), F.col("description"), F.col("section"))
     sessions.write.mode("append").parquet(f"{path}/sessions")
     items.write.mode("append").parquet(f"{path}/items")
+    # a small file may hold many rows: they are dealt to all tasks before the vectors are made
+    items = items.repartition("session_id", "local_id")
     embedded = items.where(text != "").select("session_id", "local_id", text.alias("item_text"), hashed_vector(text).alias("embedding"))
     embedded.write.mode("append").parquet(f"{path}/embeddings")
 
