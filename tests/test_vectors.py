@@ -77,3 +77,12 @@ def test_cosine_pairs_in_many_groups_equal_brute_force(spark):
     norm = np.linalg.norm(x, axis=1)
     want = {(a, b): float(x[a] @ x[b] / (norm[a] * norm[b])) if norm[a] * norm[b] else 0.0 for a in range(0, len(x), 6) for b in range(len(x)) if a != b}
     assert got == pytest.approx(want, abs=5.1e-5)
+
+
+def test_cosine_pairs_shuffle_each_row_once(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)], "vec_id long, embedding array<float>")
+    found = vectors.cosine_pairs(rows, rows.where("vec_id % 5 = 0"), "vec_id", "embedding", cells=64)
+    plan = found._jdf.queryExecution()
+    assert "CartesianProduct" in plan.executedPlan().toString() and "Generate" not in plan.optimizedPlan().toString()  # no row travels once a block
+    assert found.count() == 24 * 119
