@@ -41,6 +41,19 @@ def test_odd_rows_as_in_sql(spark, odd, name, monkeypatch):
     assert got == twin(spark, name, tables)
 
 
+@pytest.mark.parametrize("many", [1, 4096])
+def test_every_text_is_asked(spark, odd, monkeypatch, many):
+    path, tables = odd
+    monkeypatch.setattr("platewise.plans.base.TABLES", tuple(tables))
+    monkeypatch.setattr("platewise.operators.overlap.ASKED", many)  # few texts travel, many meet the lines in blocks
+    asked = [(20, "Soup"), (3, "rice and rice with beans"), (7, "--"), (8, "naïve café"), (9, "12345678 90 usd"), (9, "kelvin"), (5, "x"), (1, "th"), (2, "h rice and r"), (4, "the 3 kelvin k or so"), (6, None)]
+    tables["benchmark"] = spark.createDataFrame(asked, "item_id long, text string")
+    tables["benchmark"].write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    got = sorted(str(tuple(r)) for r in __spark_entry__.queries()["dice_similarity"](spark, str(path)).collect())
+    assert got == twin(spark, "dice_similarity", tables)
+    assert len(got) >= 9 and "item_id % 20" not in __spark_entry__.oracle_sql()["dice_similarity"]
+
+
 def test_words_and_pairs_of_texts_are_no_rows(spark):
     plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan("dice_similarity") and "Join Inner" not in plan("dice_similarity").split("MapInArrow")[-1]
